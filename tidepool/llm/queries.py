@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidepool.llm import bpe_automaton as bpe_op
 from tidepool.llm import quality_rules as rules_op
 from tidepool.llm import url_filters as url_op
 from tidepool.llm.runtime import documents
@@ -40,9 +42,21 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 FROM u LEFT JOIN m ON u.page_id IS NOT DISTINCT FROM m.page_id AND u.host = m.host AND u.path = m.path
 """
 
+def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
+    trip = bpe_op.bpe_round_trip(docs, path)
+    return trip.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL}
