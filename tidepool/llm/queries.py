@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe_automaton as bpe_op
+from tidepool.llm import language_id as language_op
+from tidepool.llm import quality_classifier as quality_op
 from tidepool.llm import quality_rules as rules_op
 from tidepool.llm import url_filters as url_op
-from tidepool.llm.runtime import documents
+from tidepool.llm.runtime import documents, remainder
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -20,6 +22,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules_op.quality_rules(docs, rules_op.fit_rules(docs, labels))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_op.train(docs, remainder(F.col("doc_id"), 4) != 2)
+    held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return language_op.language_id(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_op.train(docs, labels, remainder(F.col("doc_id"), 3) != 1)
+    held = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return quality_op.quality_scores(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_op.url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_op.rules_frame(spark, URL_RULES))
 
@@ -55,6 +71,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe,
 }
