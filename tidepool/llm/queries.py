@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import bpe_automaton as bpe_op
 from tidepool.llm import language_id as language_op
+from tidepool.llm import minhash_dedup as minhash_op
 from tidepool.llm import quality_classifier as quality_op
 from tidepool.llm import quality_rules as rules_op
 from tidepool.llm import url_filters as url_op
@@ -17,6 +18,10 @@ from tidepool.llm.runtime import documents, remainder
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_op.near_duplicates(documents(spark, sf_dir)).drop("row_key")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return rules_op.quality_rules(docs, rules_op.fit_rules(docs, labels))
@@ -70,6 +75,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
