@@ -16,7 +16,7 @@ own ids, as the vocabulary file says. Repeated rows are encoded one by one.
 from __future__ import annotations
 
 import json
-from itertools import chain
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from tidepool.llm.textbuf import slices
 
 #: Fixed value of byte-level vocabularies: the split of a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words whose ids one worker remembers; beyond that it starts anew.
-MEMO_WORDS = 400_000
+#: Words whose ids one worker remembers, twice over.
+MEMO_WORDS = 250_000
 LONG_WORD = 64
 NEVER = 1 << 60
 
@@ -41,17 +41,28 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if chr(x) not in letters)}
 
 
+def pack(ids) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unpack(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 class Memo(dict):
-    """Ids of the words met lately; it starts anew when full, and long words pass through."""
+    """Ids of the words met lately. When full, what it holds becomes ``old``, from which words come back on use; long words pass through."""
 
     def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.old = automaton, {}
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.automaton.encode_word(word.encode())
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = pack(self.automaton.encode_word(word.encode()))
         if len(word) <= LONG_WORD:
             if len(self) >= MEMO_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -67,7 +78,7 @@ class Automaton:
         self.lost: dict[tuple[int, int], int] = {}  # (state, label) -> merge that took the arc
         self.left: dict[int, tuple[int, int]] = {}  # label -> (its left part, its merge)
         users = {0: len(self.target)}
-        self.memo: dict[tuple[int, int], bool] = {}
+        self.memo: dict[int, bool] = {}
         for k, (a, b, c) in enumerate(merges):
             if a not in self.target or b not in self.target or c in self.target or not self.step(a, b, k):
                 continue
@@ -84,18 +95,23 @@ class Automaton:
             self.lost[state, b] = k
         self.memo.clear()
         self.tokens = {labels[t]: t for t in self.target}
-        self.prefixes: dict[bytes, int] = {}
+        #: Labels as a trie: a node holds its nodes by byte, and at -1 the label that ends there.
+        self.root: dict = {}
         for label, t in self.tokens.items():
-            for i in range(1, len(label)):
-                self.prefixes.setdefault(label[:i], -1)
-            self.prefixes[label] = t
+            node = self.root
+            for byte in label:
+                node = node.setdefault(byte, {})
+            node[-1] = t
+        self.size = {t: len(label) for label, t in self.tokens.items()}
+        #: The longest shorter label that each label begins with, or -1.
+        self.shorter = {t: next((s for i in range(len(label) - 1, 0, -1) if (s := self.tokens.get(label[:i], -1)) >= 0), -1) for label, t in self.tokens.items()}
         self.words = Memo(self)
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
 
     def step(self, last: int, label: int, now: int = NEVER - 1) -> bool:
         """Whether the state that arcs ``last`` lead to has an arc ``label``, before merge ``now``."""
-        known = self.memo.get((last, label))
+        known = self.memo.get(last << 20 | label)
         if known is not None:
             return known
         state, before, out = self.target[last], now, True
@@ -111,49 +127,68 @@ class Automaton:
                 made = min(made, k)
             state, k = self.parent[state]
             before = min(before, k)
-        self.memo[last, label] = out
-        if len(self.memo) > 4 * MEMO_WORDS:
+        self.memo[last << 20 | label] = out
+        if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         return out
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Ids along the accepting path of one word; each position is reached by exactly one arc."""
+        """Ids along the accepting path of one word, longer arcs tried first.
+
+        Each position is reached by one arc only, so a position from which nothing leads on is never tried again.
+        """
         whole = self.tokens.get(word)
         if whole is not None:
             return (whole,)
-        n, prefixes, memo, step = len(word), self.prefixes, self.memo, self.step
-        last = [-1] * (n + 1)
-        for i in range(n):
-            at = last[i]
-            for j in range(i + 1, n + 1):
-                t = prefixes.get(word[i:j])
-                if t is None:
-                    break
-                if t >= 0 and last[j] < 0:
-                    if i:
-                        ok = memo.get((at, t))
-                        if not (step(at, t) if ok is None else ok):
-                            continue
-                    last[j] = t
-        out = []
-        while n:
-            t = last[n]
-            out.append(t)
-            n -= len(self.labels[t])
-        return tuple(out[::-1])
-
-    def encode(self, text: str) -> list[int]:
+        n, root, size, shorter, memo = len(word), self.root, self.size, self.shorter, self.memo
         out: list[int] = []
+        dead = set()
+        at, label = 0, -1
+        while at < n:
+            if label < 0:
+                node = root
+                for j in range(at, n):
+                    node = node.get(word[j])
+                    if node is None:
+                        break
+                    if -1 in node:
+                        label = node[-1]
+            while label >= 0:
+                if (after := at + size[label]) not in dead:
+                    if not out:
+                        break
+                    ok = memo.get(out[-1] << 20 | label)
+                    if self.step(out[-1], label) if ok is None else ok:
+                        break
+                label = shorter[label]
+            if label >= 0:
+                out.append(label)
+                at, label = after, -1
+            else:
+                dead.add(at)
+                label = out.pop()
+                at -= size[label]
+                label = shorter[label]
+                while label < 0:
+                    dead.add(at)
+                    label = out.pop()
+                    at -= size[label]
+                    label = shorter[label]
+        return tuple(out)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
         at = 0
         for m in self.special.finditer(text) if self.special else ():
-            out.extend(chain.from_iterable(map(self.words.__getitem__, self.split.findall(text[at : m.start()]))))
-            out.append(self.specials[m[0]])
+            out.extend(map(self.words.__getitem__, self.split.findall(text[at : m.start()])))
+            out.append(pack([self.specials[m[0]]]))
             at = m.end()
-        out.extend(chain.from_iterable(map(self.words.__getitem__, self.split.findall(text[at:] if at else text))))
-        return out
+        out.extend(map(self.words.__getitem__, self.split.findall(text[at:] if at else text)))
+        return b"".join(out)
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.labels.__getitem__, unpack(ids))).decode("utf-8", "replace")
 
 
 def read_vocabulary(path: str) -> str:
@@ -193,8 +228,8 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
             _COMPILED[key] = compile_automaton(vocabulary)
         automaton = _COMPILED[key]
         for batch in slices(batches):
-            ids = [np.array(automaton.encode(t or ""), "<u4") for t in batch.column("text").to_pylist()]
-            texts = [automaton.decode(x.tolist()) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            ids = [automaton.encode(t or "") for t in batch.column("text").to_pylist()]
+            texts = [automaton.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
