@@ -12,6 +12,7 @@ from tidepool.llm import language_id as language_op
 from tidepool.llm import minhash_dedup as minhash_op
 from tidepool.llm import quality_classifier as quality_op
 from tidepool.llm import quality_rules as rules_op
+from tidepool.llm import run_length_dedup as repeat_op
 from tidepool.llm import url_filters as url_op
 from tidepool.llm.runtime import documents, remainder
 
@@ -22,6 +23,15 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_op.near_duplicates(documents(spark, sf_dir)).drop("row_key")
 
 
+def removal_digests(removed: DataFrame) -> DataFrame:
+    gone = F.aggregate(F.zip_with("span_starts", "span_ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(repeat_op.remove_repeats(documents(spark, sf_dir)))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return rules_op.quality_rules(docs, rules_op.fit_rules(docs, labels))
@@ -76,6 +86,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
