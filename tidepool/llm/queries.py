@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidepool.llm import bpe_automaton as bpe_op
 from tidepool.llm import language_id as language_op
 from tidepool.llm import minhash_dedup as minhash_op
+from tidepool.llm import phrase_dedup as phrase_op
 from tidepool.llm import quality_classifier as quality_op
 from tidepool.llm import quality_rules as rules_op
 from tidepool.llm import run_length_dedup as repeat_op
@@ -55,6 +56,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_op.url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_op.rules_frame(spark, URL_RULES))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_op.remove_phrases(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 OP7_SQL = r"""
 WITH u AS (
   SELECT page_id,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL}
