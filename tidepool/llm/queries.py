@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe_automaton as bpe_op
+from tidepool.llm import hmm_scoring as hmm_op
 from tidepool.llm import language_id as language_op
 from tidepool.llm import minhash_dedup as minhash_op
 from tidepool.llm import phrase_dedup as phrase_op
@@ -60,6 +61,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_op.remove_phrases(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = remainder(F.col("doc_id"), 7)
+    scores = hmm_op.hmm_scores(documents(spark, sf_dir), part != 2)
+    return scores.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP7_SQL = r"""
 WITH u AS (
   SELECT page_id,
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filters": op7_url_filters,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_hmm_scoring": op10_hmm_scoring,
 }
 
 ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL}
