@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe_automaton as bpe_op
+from tidepool.llm import decontamination as leak_op
 from tidepool.llm import hmm_scoring as hmm_op
 from tidepool.llm import language_id as language_op
 from tidepool.llm import minhash_dedup as minhash_op
@@ -25,6 +26,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_op.near_duplicates(documents(spark, sf_dir)).drop("row_key")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_op.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def removal_digests(removed: DataFrame) -> DataFrame:
     gone = F.aggregate(F.zip_with("span_starts", "span_ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return removed.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -98,6 +103,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
