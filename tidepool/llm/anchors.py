@@ -56,10 +56,10 @@ def occurrences(grams: np.ndarray, k: int, window: int, offsets: np.ndarray) ->
     return doc, mix(grams[own[first]] ^ U64(0x452821E638D01377)), own[first], at[first], at[last]
 
 
-def exact_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, text and two hashes (t1, t2) of the text; rows with both equal hold the same text. Null texts count as empty."""
+def exact_copies(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``carry``, text and two hashes (t1, t2) of the text; rows with both equal hold the same text. Null texts count as empty."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+    return docs.select("doc_id", *carry, text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
 
 
 def repeated(anchors: DataFrame) -> DataFrame:

@@ -279,12 +279,16 @@ def repeated_ranges(docs: DataFrame, p: Settings) -> DataFrame:
     return ranges.groupBy("t1").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
 
-def remove_repeats(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
-    """doc_id, row_text hashes t1 and t2, n_bytes, span_starts, span_ends (maximal removed runs), kept (remaining bytes) of every row of ``docs``."""
+def remove_repeats(docs: DataFrame, p: Settings = Settings(), carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, the columns ``carry``, n_bytes, span_starts, span_ends (maximal removed runs), kept of every row of ``docs``.
+
+    ``kept`` are the remaining bytes, or with ``as_text`` the text in them without the halves of characters cut at a run's edge.
+    """
     spark = docs.sparkSession
     prepare(spark)
     ranges = repeated_ranges(docs, p)
-    texts = an.exact_copies(docs)
+    texts = an.exact_copies(docs, carry)
+    columns = ["doc_id", *carry]
     copies = texts.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
 
     def run(batches):
@@ -308,7 +312,9 @@ def remove_repeats(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
                 run_ends.append(np.flatnonzero(edge == -1).tolist())
                 kept.append(data[a:b][~gone].tobytes())
             whole = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array(np.diff(offsets)), pa.array(run_starts, whole), pa.array(run_ends, whole), pa.array(kept, pa.binary())], ["doc_id", "t1", "t2", "n_bytes", "span_starts", "span_ends", "kept"])
+            left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.diff(offsets)), pa.array(run_starts, whole), pa.array(run_ends, whole), left], [*columns, "n_bytes", "span_starts", "span_ends", "kept"])
 
-    joined = texts.join(copies, ["t1", "t2"]).join(ranges, "t1", "left").select("doc_id", "t1", "t2", "text", "copies", "starts", "ends")
-    return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t1 long, t2 long, n_bytes long, span_starts array<long>, span_ends array<long>, kept binary")
+    joined = texts.join(copies, ["t1", "t2"]).join(ranges, "t1", "left").select(*columns, "text", "copies", "starts", "ends")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return joined.mapInArrow(run, f"{kinds}, n_bytes long, span_starts array<long>, span_ends array<long>, kept {'string' if as_text else 'binary'}")
