@@ -1,13 +1,13 @@
 """Benchmark decontamination by q-gram counting in diagonal bands.
 
-Texts are compared as UTF-8 bytes with A-Z lower-cased and runs of white space as one space. An item of n
-bytes leaks into a document if a stretch of it is within k = RATE * n edits. Such a stretch shares at least
+Texts are compared by characters, in lower case (where that is one character) and with runs of white space
+as one space. An item of n characters leaks into a document if a stretch of it is within k = RATE * n edits. Such a stretch shares at least
 n + 1 - q - k q of the item's q-grams with the item (the q-gram lemma), all on diagonals that differ by at
 most 2 k. So shared q-grams are counted in bands of diagonals that overlap by half, bands below the bound go,
 and a banded alignment decides on the rest.
 
 The items' q-grams are sent to all tasks, ITEM_BYTES of item text at most; a larger benchmark is gone through
-in several passes over the documents. Items with fewer than LEAST bytes are too short to be told from chance
+in several passes over the documents. Items with fewer than LEAST characters are too short to be told from chance
 and aren't looked for; null texts are empty, null ids are carried through, repeated rows give repeated results.
 """
 
@@ -19,47 +19,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.runtime import prepare
-from tidepool.llm.textbuf import IS_SPACE, LOWER, U64, byte_prefix, rolling, slices, text_buffers
+from tidepool.llm.textbuf import U64, mix, prefix, rolling, slices, text_buffers
 
 Q, RATE, LEAST = 10, 0.06, 32
 ITEM_BYTES = 8 << 20
 FILTER_BITS = 22
 
 
-def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, document offsets, where each byte was) of lower-cased texts with single spaces; none at either end."""
-    space = IS_SPACE[data]
-    keep = ~space
-    after = np.zeros(len(data), bool)
-    after[1:] = keep[:-1]
-    after[offsets[:-1][offsets[:-1] < len(data)]] = False
-    at = np.flatnonzero(keep | (space & after))
-    out = LOWER[data[at]]
-    out[IS_SPACE[out]] = 32
-    bounds = np.searchsorted(at, offsets)
-    last = bounds[1:] - 1
-    trail = last[(bounds[1:] > bounds[:-1])]
-    trail = trail[out[trail] == 32]
-    if len(trail):
-        stay = np.ones(len(at), bool)
-        stay[trail] = False
-        bounds = np.r_[0, np.cumsum(stay)][bounds]
-        at, out = at[stay], out[stay]
-    return out, bounds, at
+_CASED = 0x1F000  # no character from here on has a case
+_LOWER = np.arange(0x110000, dtype=np.uint32)
+_LOWER[:_CASED] = [ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(_CASED)]
+_SPACE = np.zeros(0x110000, bool)
+_SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
+_VALUE = mix(np.arange(0x110000, dtype=U64) + U64(0xA0761D6478BD642F))
+
+
+def normalised(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, document offsets, where in its document each character was) of lower-cased texts with single spaces and none at either end."""
+    data, ends = text_buffers(column)
+    bounds = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][ends]
+    chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    space = _SPACE[chars]
+    after = np.zeros(len(chars), bool)
+    after[1:] = ~space[:-1]
+    after[bounds[:-1][bounds[:-1] < len(chars)]] = False
+    before = np.zeros(len(chars), bool)  # whether anything but space follows in the document
+    last = np.flatnonzero(~space)
+    if len(last):
+        doc_end = np.repeat(bounds[1:], np.diff(bounds))
+        at_or_after = np.searchsorted(last, np.arange(len(chars)))
+        before = (at_or_after < len(last)) & (last[np.minimum(at_or_after, len(last) - 1)] < doc_end)
+    keep = ~space | (after & before)
+    at = np.flatnonzero(keep)
+    out = np.where(space[at], np.uint32(32), _LOWER[chars[at]])
+    offsets = np.searchsorted(at, bounds)
+    return out, offsets, at - np.repeat(bounds[:-1], np.diff(offsets))
+
+
+def _find(text: np.ndarray, wanted: np.ndarray) -> int:
+    """Where ``wanted`` first occurs in ``text``, or -1."""
+    raw, part, at = text.tobytes(), wanted.tobytes(), -1
+    while (at := raw.find(part, at + 1)) >= 0:
+        if not at % wanted.itemsize:
+            return at // wanted.itemsize
+    return -1
 
 
 class Items:
     """q-grams of a benchmark: sorted hashes with the items and positions they come from."""
 
     def __init__(self, ids: list, texts: list[str | None]):
-        data, offsets = text_buffers(pa.array(texts, pa.string()))
-        self.data, self.offsets, _ = normalised(data, offsets)
+        self.data, self.offsets, _ = normalised(pa.array(texts, pa.string()))
         self.ids = ids
         self.size = np.diff(self.offsets)
         self.edits = (RATE * self.size).astype(np.int64)
         self.bound = self.size + 1 - Q - self.edits * Q
         self.width = 2 * self.edits + 1
-        grams = rolling(byte_prefix(self.data), Q)
+        grams = rolling(prefix(_VALUE[self.data]), Q)
         item = np.searchsorted(self.offsets, np.arange(len(grams)), "right") - 1
         at = np.arange(len(grams)) - self.offsets[item]
         ok = (at + Q <= self.size[item]) & (self.size[item] >= LEAST)
@@ -73,7 +89,7 @@ class Items:
 
     def bands(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, first and last diagonal) of bands that hold enough shared q-grams. A diagonal is where the item would begin."""
-        grams = rolling(byte_prefix(data), Q)
+        grams = rolling(prefix(_VALUE[data]), Q)
         at = np.flatnonzero(self.filter[(grams >> U64(64 - FILTER_BITS)).astype(np.int64)])
         low = np.searchsorted(self.grams, grams[at], "left")
         count = np.searchsorted(self.grams, grams[at], "right") - low
@@ -91,12 +107,10 @@ class Items:
         band = diagonal // self.width[item]
         doc = np.concatenate([doc[row], doc[row]])
         item, band = np.concatenate([item, item]), np.concatenate([band, band - 1])
-        least = int(band.min())
         order = np.lexsort((band, item, doc))
         doc, item, band = doc[order], item[order], band[order]
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
         hits = np.diff(np.r_[first, len(doc)])
-        assert least <= int(band[0])
         enough = first[hits >= self.bound[item[first]]]
         w = self.width[item[enough]]
         return list(zip(doc[enough].tolist(), item[enough].tolist(), (band[enough] * w).tolist(), ((band[enough] + 2) * w - 1).tolist(), strict=True))
@@ -105,7 +119,7 @@ class Items:
 def align(item: np.ndarray, text: np.ndarray, first: int, last: int) -> tuple[int, int]:
     """(least edits, end in ``text``) of ``item`` against any stretch of ``text`` that begins on a diagonal from ``first`` to ``last``.
 
-    A row of the table is one byte of the item; column d is diagonal first + d.
+    A row of the table is one character of the item; column d is diagonal first + d.
     """
     columns = last - first + 1
     far = len(item) + columns + 1
@@ -113,29 +127,29 @@ def align(item: np.ndarray, text: np.ndarray, first: int, last: int) -> tuple[in
     begin = first + steps
     row = np.where((begin >= 0) & (begin <= len(text)), 0, far)
     row = np.minimum.accumulate(row - steps) + steps
-    padded = np.full(len(item) + columns + 1, 256, np.int16)
+    padded = np.full(len(item) + columns + 1, -1, np.int64)
     low, high = max(0, first), min(len(text), first + len(padded))
     if low < high:
         padded[low - first : high - first] = text[low:high]
     for i, symbol in enumerate(item):
-        follow = row + (padded[i : i + columns] != symbol)  # the next byte of both
-        skip = np.r_[row[1:], far] + 1  # a byte of the item only
+        follow = row + (padded[i : i + columns] != symbol)  # the next character of both
+        skip = np.r_[row[1:], far] + 1  # a character of the item only
         row = np.minimum(follow, skip)
-        row = np.minimum.accumulate(row - steps) + steps  # bytes of the text only
+        row = np.minimum.accumulate(row - steps) + steps  # characters of the text only
         row[(begin + i + 1 > len(text)) | (begin + i + 1 < 0)] = far
     best = int(row.argmin())
     return int(row[best]), first + best + len(item)
 
 
 def _leaks(items: Items, data: np.ndarray, offsets: np.ndarray):
-    """(document, item, start, end, edits): of each document and item the stretch with the fewest edits; bytes of the normalised text."""
+    """(document, item, start, end, edits): of each document and item the stretch with the fewest edits; characters of the normalised text."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for doc, item, first, last in items.bands(data, offsets):
         if best.get((doc, item), (1,))[0] == 0:
             continue
         text, wanted = data[offsets[doc] : offsets[doc + 1]], items.text(item)
         low = max(0, first)
-        found = text[low : last + len(wanted) + 1].tobytes().find(wanted.tobytes())
+        found = _find(text[low : last + len(wanted) + 1], wanted)
         if found >= 0:
             best[doc, item] = (0, low + found, low + found + len(wanted))
             continue
@@ -149,7 +163,7 @@ def _leaks(items: Items, data: np.ndarray, offsets: np.ndarray):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, item_id, start, end, edits: every item that leaks into a document, with the best stretch as bytes of its text.
+    """doc_id, item_id, start, end, edits: every item that leaks into a document, with the best stretch as character positions of its text.
 
     ``carry`` names further columns of ``docs`` to keep.
     """
@@ -170,12 +184,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_B
         def run(batches, shipped=shipped):
             items = shipped.value
             for batch in slices(batches):
-                data, offsets, at = normalised(*text_buffers(batch.column("text")))
-                base = text_buffers(batch.column("text"))[1]
+                data, offsets, at = normalised(batch.column("text"))
                 found = _leaks(items, data, offsets)
                 doc = np.array([f[0] for f in found], np.int64)
-                start = [int(at[offsets[d] + s] - base[d]) for d, _, s, _, _ in found]
-                end = [int(at[offsets[d] + e - 1] + 1 - base[d]) for d, _, _, e, _ in found]
+                start = [int(at[offsets[d] + s]) for d, _, s, _, _ in found]
+                end = [int(at[offsets[d] + e - 1]) + 1 for d, _, _, e, _ in found]
                 rows = [batch.column(c).take(pa.array(doc)) for c in columns]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array([items.ids[f[1]] for f in found], item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([f[4] for f in found], pa.int64())], [*columns, "item_id", "start", "end", "edits"])
 
