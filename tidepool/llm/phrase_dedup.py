@@ -158,10 +158,12 @@ def repeated_phrases(docs: DataFrame, p: Settings) -> DataFrame:
     """(t1, starts): word positions of phrases that a smaller doc_id holds, for each text, as its smallest doc_id holds it."""
     texts = an.exact_copies(docs)
     anchors = stored(_anchors(texts, p))
-    marks = an.repeated(anchors)
-    once = texts.join(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least")), ["t1", "t2"]).where(F.col("doc_id") == F.col("least"))
-    segments = stored(_segments(once.join(marks, "t1"), p))
-    discard(anchors)
+    # One row a text is enough, the one with the smallest doc_id; its text is shuffled once.
+    marks = stored(an.repeated(anchors))
+    first = texts.where(F.col("doc_id").isNotNull()).groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
+    wanted = marks.join(first, "t1").withColumnsRenamed({"t1": "w1", "t2": "w2"})
+    segments = stored(_segments(texts.join(wanted, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & (F.col("doc_id") == F.col("least"))), p))
+    discard(anchors, marks)
     starts = None
     for last in (False, True):
         kinds = segments.groupBy("key", "d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
@@ -190,7 +192,7 @@ def remove_phrases(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
     prepare(spark)
     starts = repeated_phrases(docs, p)
     texts = an.exact_copies(docs)
-    least = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
+    known = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least")).join(starts, "t1", "left").withColumnsRenamed({"t1": "w1", "t2": "w2"})
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -232,7 +234,7 @@ def remove_phrases(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
             n_removed = np.r_[0, np.cumsum(gone)][words.first]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(np.diff(n_removed).astype(np.int64)), span_starts, span_ends, kept], ["doc_id", "n_words", "n_removed", "span_starts", "span_ends", "kept"])
 
-    joined = texts.join(least, ["t1", "t2"]).join(starts, "t1", "left").select("doc_id", "text", "least", "starts")
+    joined = texts.join(known, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("doc_id", "text", "least", "starts")
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, span_starts array<long>, span_ends array<long>, kept string")
 
 
