@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.common import DOC_SCHEMA, awkward, frame, shared
 from tidepool.llm import hmm_scoring as op
@@ -76,20 +77,15 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert {k: len(x) for k, x in got.items()} == dict(seen)
 
 
-def test_probabilities_sum_to_one(spark):
-    """Over all texts of one word, the unseen ones of each symbol together, plus the empty text: P(first token) = 1."""
+def test_distributions_and_equal_texts(spark):
     docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(["a b", "a c a", "d"] * 3)])
-    from pyspark.sql import functions as F
-
-    model = op.starting_point([])
+    model = op.starting_point([np.array([1, 2, op.END]), np.array([op.END])])
     assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
     scored = {r.doc_id: r for r in op.hmm_scores(docs, F.lit(True)).collect()}
     assert len(scored) == 9 and scored[0].score == scored[3].score
 
 
 def test_nothing_to_learn(spark):
-    from pyspark.sql import functions as F
-
     docs = frame(spark, awkward())
     got = op.hmm_scores(docs, F.lit(False)).collect()
     assert len(got) == len(awkward()) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)

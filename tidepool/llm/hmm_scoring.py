@@ -1,8 +1,9 @@
 """LM scoring by a hidden Markov model over words.
 
-Texts become blocks: one row holds many documents as token numbers into the block's own sorted list
-of word hashes. Corpus counts of every word are aggregated over all blocks and joined back to each
-block's list, so neither the vocabulary nor its counts are ever gathered in one place.
+Texts become blocks: one row holds many documents as token numbers into the block's own list of word
+hashes, frequent ones first. Corpus counts of every word are aggregated over all blocks and joined back
+to each block's list, so neither the vocabulary nor its counts are ever gathered in one place. From then
+on a block holds its tokens' symbols and what the counts say of each document.
 
 A word belongs to one of 2**SYMBOL_BITS symbols by its hash, the end of a text is a symbol of its own.
 The model emits symbols from latent states and, given the symbol, a word by its smoothed share of the
@@ -36,7 +37,7 @@ END = SYMBOLS
 STATES, ROUNDS = 4, 2
 #: Training documents that the starting point is found on.
 START_ROWS, START_ROUNDS = 1500, 6
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 GROUP_TOKENS = 600_000
 SLICES = 16
 
@@ -164,22 +165,30 @@ def starting_point(sequences: list[np.ndarray], seed: int = 11) -> Model:
 
 
 def _blocks(docs: DataFrame, train: Column) -> DataFrame:
-    """Rows (block, doc_ids, train, sizes, words, tokens): all documents of about BLOCK_BYTES of text, tokenised."""
+    """Rows (block, doc_ids, train, sizes, words, low, high): all documents of about BLOCK_BYTES of text, tokenised.
+
+    ``low`` and ``high`` are the lower two bytes and the rest of the token numbers.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def packed(parts):
         ids, flags, sizes, hashes = ([p[i] for p in parts] for i in range(4))
-        words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+        words, tokens, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        tokens = place[tokens]
         return pa.RecordBatch.from_pydict(
             {
                 "block": pa.array([uuid.uuid4().int >> 65]), "doc_ids": pa.array([sum((x.to_pylist() for x in ids), [])], pa.list_(ids[0].type)), "train": pa.array([np.concatenate(flags).tobytes()], pa.binary()),
-                "sizes": pa.array([np.concatenate(sizes).astype(np.int32).tobytes()], pa.binary()), "words": pa.array([words.tobytes()], pa.binary()), "tokens": pa.array([tokens.astype(np.int32).tobytes()], pa.binary()),
+                "sizes": pa.array([np.concatenate(sizes).astype(np.int32).tobytes()], pa.binary()), "words": pa.array([words[order].tobytes()], pa.binary()),
+                "low": pa.array([tokens.astype(np.uint16).tobytes()], pa.binary()), "high": pa.array([(tokens >> 16).astype(np.uint8 if len(words) < 1 << 24 else np.int32).tobytes()], pa.binary()),
             }
         )
 
     def run(batches):
         parts, size = [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2 << 20):
             data, offsets = text_buffers(batch.column("text"))
             words = Words(data, offsets)
             parts.append((batch.column("doc_id"), pc.fill_null(batch.column("train"), False).to_numpy(zero_copy_only=False).astype(np.uint8), words.count, words.hashes(lower=True)))
@@ -190,39 +199,43 @@ def _blocks(docs: DataFrame, train: Column) -> DataFrame:
         if parts:
             yield packed(parts)
 
-    return docs.select("doc_id", "text", train.alias("train")).mapInArrow(run, f"block long, doc_ids array<{kind}>, train binary, sizes binary, words binary, tokens binary")
+    return docs.select("doc_id", "text", train.alias("train")).mapInArrow(run, f"block long, doc_ids array<{kind}>, train binary, sizes binary, words binary, low binary, high binary")
 
 
 def _array(column: pa.Array, i: int, dtype) -> np.ndarray:
     return np.frombuffer(column[i].as_py(), dtype)
 
 
+def _tokens(batch, i: int, words: int) -> np.ndarray:
+    high = _array(batch.column("high"), i, np.uint8 if words < 1 << 24 else np.int32)
+    return _array(batch.column("low"), i, np.uint16).astype(np.int32) | high.astype(np.int32) << 16
+
+
 def _word_rows(blocks: DataFrame) -> DataFrame:
-    """(block, word, n): every word of every block's list with its tokens in training documents."""
+    """(block, place, word, n): every word of every block's list with its tokens in training documents."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                words, tokens = _array(batch.column("words"), i, np.int64), _array(batch.column("tokens"), i, np.int32)
+                words = _array(batch.column("words"), i, np.int64)
                 train = np.repeat(_array(batch.column("train"), i, np.uint8), _array(batch.column("sizes"), i, np.int32))
-                n = np.bincount(tokens, weights=train, minlength=len(words)).astype(np.int64)
+                n = np.bincount(_tokens(batch, i, len(words)), weights=train, minlength=len(words)).astype(np.int64)
                 for a in range(0, len(words), 50_000):
                     part = words[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("block")[i].as_py())), pa.array(part), pa.array(n[a : a + 50_000])], ["block", "word", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column("block")[i].as_py())), pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part), pa.array(n[a : a + 50_000])], ["block", "place", "word", "n"])
 
-    return blocks.select("block", "train", "sizes", "words", "tokens").mapInArrow(run, "block long, word long, n long")
+    return blocks.select("block", "train", "sizes", "words", "low", "high").mapInArrow(run, "block long, place int, word long, n long")
 
 
-def _with_counts(blocks: DataFrame, rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``blocks`` with ``counts``: for each word of a block's list its corpus count, in the list's order."""
-    found = rows.select("block", "word").join(counts, "word").select("block", "word", "c")
+def _lists(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(block, places, c): the places in a block's list of words that training has, and their corpus counts."""
+    found = rows.select("block", "place", "word").join(counts, "word").select("block", "place", "c")
 
     def run(batches):
-        now, words, c = None, [], []
+        now, places, c = None, [], []
 
         def packed():
-            w, n = np.concatenate(words), np.concatenate(c)
-            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int64()), "found": pa.array([w.tobytes()], pa.binary()), "c": pa.array([n.tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int64()), "places": pa.array([np.concatenate(places).tobytes()], pa.binary()), "c": pa.array([np.concatenate(c).tobytes()], pa.binary())})
 
         for batch in batches:
             block = batch.column("block").to_numpy()
@@ -230,33 +243,50 @@ def _with_counts(blocks: DataFrame, rows: DataFrame, counts: DataFrame) -> DataF
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if block[a] != now and words:
+                if block[a] != now and places:
                     yield packed()
-                    words, c = [], []
+                    places, c = [], []
                 now = int(block[a])
-                words.append(batch.column("word").to_numpy()[a:b])
+                places.append(batch.column("place").to_numpy()[a:b])
                 c.append(batch.column("c").to_numpy()[a:b])
-        if words:
+        if places:
             yield packed()
 
-    lists = found.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, found binary, c binary")
-    return blocks.join(lists, "block", "left")
+    return found.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, places binary, c binary")
+
+
+def _counted(blocks: DataFrame, lists: DataFrame, symbol_totals, n: int, v: int) -> DataFrame:
+    """Rows (doc_ids, train, sizes, symbols, known, base, given): token symbols, and sums over each document's words.
+
+    ``known`` counts words seen in training, ``base`` adds their unigram log10 probabilities, ``given`` those given their symbols.
+    """
+    kind = blocks.schema["doc_ids"].dataType.simpleString()
 
+    def run(batches):
+        whole = symbol_totals.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, sizes = _array(batch.column("words"), i, np.uint64), _array(batch.column("sizes"), i, np.int32)
+                c = np.zeros(len(words), np.int64)
+                if batch.column("places")[i].is_valid:
+                    c[_array(batch.column("places"), i, np.int32)] = _array(batch.column("c"), i, np.int64)
+                tokens, symbols = _tokens(batch, i, len(words)), symbols_of(words)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                total = lambda x: np.bincount(doc, weights=x[tokens], minlength=len(sizes))
+                sums = (total(c > 0).astype(np.int64), total(np.log10((c + 1) / (n + (v + 1)))), total(np.log10((c + 1) / whole[symbols])))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(x).slice(i, 1) for x in ("doc_ids", "train", "sizes")), pa.array([symbols[tokens].astype(np.uint16).tobytes()], pa.binary()), *(pa.array([x.tobytes()], pa.binary()) for x in sums)],
+                    ["doc_ids", "train", "sizes", "symbols", "known", "base", "given"],
+                )
 
-def _counts_of(batch, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of a block's list, their corpus counts)."""
-    words = _array(batch.column("words"), i, np.uint64)
-    c = np.zeros(len(words), np.int64)
-    if batch.column("found")[i].is_valid:
-        found, n = _array(batch.column("found"), i, np.uint64), _array(batch.column("c"), i, np.int64)
-        c[np.searchsorted(words, found)] = n
-    return words, c
+    joined = blocks.join(lists, "block", "left").select("doc_ids", "train", "sizes", "words", "low", "high", "places", "c")
+    return joined.mapInArrow(run, f"doc_ids {kind}, train binary, sizes binary, symbols binary, known binary, base binary, given binary")
 
 
-def _sequences(batch, i: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sequences(batch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols of all documents of a block in turn, each with its end; their sizes)."""
-    sizes, tokens = _array(batch.column("sizes"), i, np.int32).astype(np.int64), _array(batch.column("tokens"), i, np.int32)
-    return np.insert(symbols_of(words)[tokens], np.cumsum(sizes), END), sizes + 1
+    sizes = _array(batch.column("sizes"), i, np.int32).astype(np.int64)
+    return np.insert(_array(batch.column("symbols"), i, np.uint16).astype(np.int32), np.cumsum(sizes), END), sizes + 1
 
 
 def _round(blocks: DataFrame, model: Model) -> Counts:
@@ -267,7 +297,7 @@ def _round(blocks: DataFrame, model: Model) -> Counts:
         model, counts = shipped.value, Counts.empty()
         for batch in batches:
             for i in range(batch.num_rows):
-                symbols, sizes = _sequences(batch, i, _array(batch.column("words"), i, np.uint64))
+                symbols, sizes = _sequences(batch, i)
                 train = _array(batch.column("train"), i, np.uint8) > 0
                 log_likelihood(model, symbols[np.repeat(train, sizes)], sizes[train], counts)
         parts = np.array_split(counts.flat(), SLICES)
@@ -281,7 +311,7 @@ def _round(blocks: DataFrame, model: Model) -> Counts:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "sums"])
 
     kind = "slice int, sums binary"
-    rows = blocks.select("train", "sizes", "words", "tokens").mapInArrow(expect, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect()
+    rows = blocks.select("train", "sizes", "symbols").mapInArrow(expect, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect()
     if not rows:
         return Counts.empty()
     return Counts.of(np.concatenate([np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: r.slice)]))
@@ -319,29 +349,24 @@ def hmm_scores(docs: DataFrame, train: Column, rounds: int = ROUNDS) -> DataFram
     for r in per_symbol:
         symbol_tokens[r.symbol], symbol_words[r.symbol] = r.c, r.v
     n, v = int(symbol_tokens.sum()) + ends, int(symbol_words.sum()) + (ends > 0)
-    blocks = stored(_with_counts(plain, rows, counts))
-    discard(plain, counts)
+    lists = stored(_lists(rows, counts))
+    blocks = stored(_counted(plain, lists, spark.sparkContext.broadcast(symbol_tokens + symbol_words + 1), n, v))  # one number a symbol
+    discard(plain, counts, lists)
 
     model = starting_point(_sample(docs, admitted, START_ROWS))
     for _ in range(rounds if ends else 0):
         model = _round(blocks, model).model()
-    shipped = spark.sparkContext.broadcast((model, symbol_tokens + symbol_words + 1))  # fixed size
+    shipped = spark.sparkContext.broadcast(model)  # fixed size
 
     def run(batches):
-        model, whole = shipped.value
+        model = shipped.value
         for batch in batches:
             for i in range(batch.num_rows):
-                words, c = _counts_of(batch, i)
-                symbols, sizes = _sequences(batch, i, words)
-                tokens = _array(batch.column("tokens"), i, np.int32)
-                doc = np.repeat(np.arange(len(sizes)), sizes - 1)
-                given = np.log10((c + 1) / whole[symbols_of(words)])
-                base = np.log10((c + 1) / (n + (v + 1)))
-                total = lambda x: np.bincount(doc, weights=x[tokens], minlength=len(sizes))
-                score = log_likelihood(model, symbols, sizes) / np.log(10) + total(given)
-                out = batch.column("doc_ids")[i].values
+                symbols, sizes = _sequences(batch, i)
+                known, base, given = _array(batch.column("known"), i, np.int64), _array(batch.column("base"), i, float), _array(batch.column("given"), i, float)
+                score = log_likelihood(model, symbols, sizes) / np.log(10) + given
                 yield pa.RecordBatch.from_arrays(
-                    [out, pa.array(sizes), pa.array(total(c > 0).astype(np.int64) + (ends > 0)), pa.array(np.full(len(sizes), n)), pa.array(total(base) + np.log10((ends + 1) / (n + (v + 1)))), pa.array(score)],
+                    [batch.column("doc_ids").slice(i, 1).flatten(), pa.array(sizes), pa.array(known + (ends > 0)), pa.array(np.full(len(sizes), n)), pa.array(base + np.log10((ends + 1) / (n + (v + 1)))), pa.array(score)],
                     ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
