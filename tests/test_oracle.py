@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import rows
-from tidepool.plans import registry
+from tidepool.plans import registry, registry_tools  # noqa: F401
 
 DATA = "/root/testdata/sf0.01"
 

@@ -90,3 +90,17 @@ def write_markdown(memory: DataFrame, folder: str) -> None:
             system.move(f"{target}.part", target)
 
     as_markdown(memory).foreachPartition(run)
+
+
+def front_fields(files: DataFrame) -> DataFrame:
+    """(path, id, name, domain) by patterns only, for files (path, text) whose YAML can't be trusted; a domain list in one line isn't read."""
+    front = F.regexp_extract("text", r"(?s)\A---[ \t]*\n(.*?)\n---", 1)
+    one = lambda k: F.regexp_replace(F.trim(F.regexp_extract(front, rf"(?m)^{k}:[ \t]*(.*)$", 1)), "^[\"']|[\"']$", "")
+    block = F.regexp_extract(front, r"(?m)^domain:[ \t]*\n((?:[ \t]*-[ \t]*.+\n?)+)", 1)
+    listed = F.transform(F.filter(F.split(block, "\n"), lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(x, "^[ \t]*-[ \t]*|[ \t]+$", ""))
+    return files.select("path", one("id").alias("id"), one("name").alias("name"), F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit("未分类"))).alias("domain"))
+
+
+def write_table(memory: DataFrame, path: str) -> None:
+    """The steady form: Parquet in partitions by store, so that leaving out the archive prunes directories."""
+    memory.repartition("store").write.partitionBy("store").mode("overwrite").parquet(path)
