@@ -78,3 +78,13 @@ def test_import_goes_on(spark, tmp_path):
     table = spark.read.parquet(out)
     assert first > 3 and table.count() == first + 1 == table.select("chunk_id").distinct().count()
     assert imports.progress(table).agg(F.sum("turns")).collect()[0][0] == 61
+
+
+def test_windows_equal_batch(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select(F.get_json_object("props", "$.k").cast("long").alias("bucket_id"), F.col("ts").cast("timestamp").alias("at"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/e")
+    q = sessions.activation_windows(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/e")).writeStream.format("memory").queryName("window_sink").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = spark.sql("SELECT bucket_id, start, max(hits) AS hits FROM window_sink GROUP BY 1, 2")
+    want = events.groupBy("bucket_id", F.window("at", "1 day").start.alias("start")).agg(F.count("*").alias("hits"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

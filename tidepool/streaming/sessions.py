@@ -107,3 +107,14 @@ def cached_reasoning(messages: DataFrame, keep_minutes: int = 60) -> DataFrame:
         yield pd.DataFrame(out, columns=["session_id", "seq", "reasoning"])
 
     return messages.groupBy("session_id").applyInPandasWithState(run, "session_id long, seq long, reasoning string", "kept string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def activation_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """(bucket_id, start, hits) of a stream (bucket_id, at): activations in tumbling windows, late ones up to ``late``.
+
+    An extension: it has no counterpart among the memory tools, and feeds counts into ``operators.writes.touched``.
+    """
+    from pyspark.sql import functions as F
+
+    counted = events.withWatermark("at", late).groupBy("bucket_id", F.window("at", width)).agg(F.count("*").alias("hits"))
+    return counted.select("bucket_id", F.col("window.start").alias("start"), "hits")
