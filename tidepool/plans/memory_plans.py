@@ -122,7 +122,10 @@ def pulse(memory: DataFrame) -> DataFrame:
     return with_score(memory).select("id", line.alias("line"))
 
 
-def feelings(memory: DataFrame, budget: int, k: int = 1000) -> DataFrame:
-    """Feelings, latest first, up to the one that exceeds the budget of their joined text."""
-    lines = memory.where((F.col("type") == "feel") & (F.col("store") != "archive")).select("id", "created", text.without_links(F.left("content", F.lit(200))).alias("line")).orderBy(F.desc("created"), "id").limit(k)
+def feelings(memory: DataFrame, budget: int) -> DataFrame:
+    """Feelings, latest first, up to the one that exceeds the budget of their joined text.
+
+    A line counts at least 0.05 tokens for the character that joins it, so no more than 20 lines a token can fit.
+    """
+    lines = memory.where((F.col("type") == "feel") & (F.col("store") != "archive")).select("id", "created", text.without_links(F.left("content", F.lit(200))).alias("line")).orderBy(F.desc("created"), "id").limit(20 * (budget + 1) + 2)
     return pack_joined(lines, budget, [F.desc("created"), F.col("id")]).select("id", "total")

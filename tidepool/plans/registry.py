@@ -85,9 +85,9 @@ def token_estimate(spark, d):
     return memories(spark, d).select("id", text.token_estimate(F.col("content")).alias("tokens"), text.content_hash(F.col("content")).alias("content_hash"), text.without_links(linked).alias("plain"))
 
 
-@query("safe_name", MEM + r"SELECT id, left(regexp_replace(trim(regexp_replace(left(content, 120), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s-]', '', 'g')), '^\s+|\s+$', '', 'g'), 80) AS name FROM mem WHERE id < 200")
+@query("safe_name", MEM + r"SELECT id, left(regexp_replace(trim(regexp_replace(content, '[^\p{L}\p{M}\p{Nd}\p{Pc}\s-]', '', 'g')), '^\s+|\s+$', '', 'g'), 80) AS name FROM mem")
 def safe_name(spark, d):
-    return memories(spark, d).where("id < 200").select("id", text.safe_name(F.left("content", F.lit(120))).alias("name"))
+    return memories(spark, d).select("id", text.safe_name(F.col("content")).alias("name"))
 
 
 @query("thinking_mode", MEM + "SELECT id, CASE id % 4 WHEN 0 THEN 'enabled' WHEN 1 THEN 'disabled' WHEN 2 THEN '' ELSE 'disabled' END AS mode FROM mem")
@@ -113,12 +113,14 @@ def predicate_flags(spark, d):
     )
 
 
-for _name, _words in {"domain_filter": ["EN", "zz"], "domain_filter_fallback": ["zz"]}.items():
-    _sql = MEM + (f"SELECT id, score FROM scored WHERE lang_of(domain) IN ({', '.join(repr(w.lower()) for w in _words)})" if _name == "domain_filter" else "SELECT id, score FROM scored")
+@query("domain_filter", MEM + "SELECT id, score FROM scored WHERE lower(domain[1]) IN ('en', 'zz')")
+def domain_filter(spark, d):
+    return predicates.in_domains(scored(spark, d), ["EN", "zz"]).select("id", "score")
 
-    @query(_name, _sql.replace("lang_of(domain)", "lower(domain[1])"))
-    def domain_filter(spark, d, words=tuple(_words)):
-        return predicates.in_domains(scored(spark, d), list(words)).select("id", "score")
+
+@query("domain_filter_fallback", MEM + "SELECT id, score FROM scored")
+def domain_filter_fallback(spark, d):
+    return predicates.in_domains(scored(spark, d), ["zz"]).select("id", "score")
 
 
 @query("broken_rows", MEM + "SELECT id, id % 5 = 0 OR id % 7 = 0 AS broken FROM mem")
@@ -253,9 +255,9 @@ def injection_before(spark, d):
 
 RECALL = (
     with_(sql.MEM, sql.ROUNDS)
-    + f""", sess AS (SELECT DISTINCT session_id FROM rounds WHERE session_id < 40),
-kw AS (SELECT session_id, m.id, ((m.id * 31 + session_id * 17) % 100)::DOUBLE / 100 AS score FROM sess JOIN mem m ON m.id % 25 = session_id % 25 AND m.id < 250),
-se AS (SELECT session_id, m.id, ((m.id * 13 + session_id * 29) % 100)::DOUBLE / 100 AS score FROM sess JOIN mem m ON m.id % 20 = session_id % 20 AND m.id < 250),
+    + f""", sess AS (SELECT DISTINCT session_id FROM rounds),
+kw AS (SELECT session_id, m.id, ((m.id * 31 + session_id * 17) % 100)::DOUBLE / 100 AS score FROM sess JOIN mem m ON m.id % 25 = session_id % 25 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, m.id) <= 10),
+se AS (SELECT session_id, m.id, ((m.id * 13 + session_id * 29) % 100)::DOUBLE / 100 AS score FROM sess JOIN mem m ON m.id % 20 = session_id % 20 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, m.id) <= 10),
 met AS (SELECT coalesce(k.session_id, s.session_id) AS session_id, coalesce(k.id, s.id) AS id, coalesce(k.score, 0) AS k, coalesce(s.score, 0) AS s FROM kw k FULL JOIN se s ON k.session_id = s.session_id AND k.id = s.id),
 sc AS (SELECT met.session_id, met.id, round((s * 0.45::DOUBLE + k * 0.35::DOUBLE + importance::DOUBLE / 10 * 0.1::DOUBLE + exp(-0.1::DOUBLE * days) * 0.1::DOUBLE) * {sql.cooled(f"(epoch_us({sql.NOW}) // 1000000 - epoch_us(injected_at) // 1000000)::DOUBLE / 3600")}, 4) AS score
   FROM met JOIN mem USING (id) LEFT JOIN lasts l ON l.session_id = met.session_id AND l.bucket_id = met.id WHERE {sql.CAN_RECALL}),
@@ -267,11 +269,15 @@ SELECT session_id, id, score, rank FROM rk WHERE (rank = 1 AND score >= 0.55) OR
 
 
 def _channels(spark: SparkSession, d: str):
-    sessions = rounds(spark, d).where("session_id < 40").select("session_id").distinct()
-    few = memories(spark, d).where("id < 250").select("id")
-    keyword = sessions.withColumn("m", F.col("session_id") % 25).join(few.withColumn("m", F.col("id") % 25), "m").select("session_id", "id", ((F.col("id") * 31 + F.col("session_id") * 17) % 100 / F.lit(100.0)).alias("score"))
-    semantic = sessions.withColumn("m", F.col("session_id") % 20).join(few.withColumn("m", F.col("id") % 20), "m").select("session_id", "id", ((F.col("id") * 13 + F.col("session_id") * 29) % 100 / F.lit(100.0)).alias("score"))
-    return keyword, semantic
+    """What both channels of a search answer each session: the ten best of the memories they meet. Meeting is by residues, which stand in for words and vectors."""
+    session_ids, ids = rounds(spark, d).select("session_id").distinct(), memories(spark, d).select("id")
+
+    def channel(residue: int, a: int, b: int) -> DataFrame:
+        met = session_ids.withColumn("m", F.col("session_id") % residue).join(ids.withColumn("m", F.col("id") % residue), "m")
+        scored = met.select("session_id", "id", ((F.col("id") * a + F.col("session_id") * b) % 100 / F.lit(100.0)).alias("score"))
+        return ranking.top_per(scored, "session_id", 10, F.desc("score"), F.col("id")).drop("rank")
+
+    return channel(25, 31, 17), channel(20, 13, 29)
 
 
 @query("recall_cards", RECALL)
@@ -353,15 +359,15 @@ def pattern_clusters(spark, d):
 # --- intervals, orders, packing
 
 
-@query("ripple", MEM + f", p AS (SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS nth, abs(epoch(a.created) - epoch(b.created)) / 3600 AS gap_hours FROM mem a JOIN mem b ON a.id <> b.id AND abs(epoch(a.created) - epoch(b.created)) <= 48 * 3600 WHERE a.id % 10 = 3 AND b.store <> 'archive' AND b.{sql.CAN_DREAM.replace('NOT pinned', 'NOT b.pinned').replace('NOT protected', 'NOT b.protected')}) SELECT source, target, nth, gap_hours FROM p WHERE nth <= 5")
+@query("ripple", MEM + f", p AS (SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS nth, abs(epoch(a.created) - epoch(b.created)) / 3600 AS gap_hours FROM mem a JOIN mem b ON a.id <> b.id AND abs(epoch(a.created) - epoch(b.created)) <= 48 * 3600 WHERE b.store <> 'archive' AND b.{sql.CAN_DREAM.replace('NOT pinned', 'NOT b.pinned').replace('NOT protected', 'NOT b.protected')}) SELECT source, target, nth, gap_hours FROM p WHERE nth <= 5")
 def ripple(spark, d):
     m = memories(spark, d)
-    return writes.ripple_targets(m, m.where("id % 10 = 3").select("id"))
+    return writes.ripple_targets(m, m.select("id"))
 
 
-@query("core_order", MEM + "SELECT id, importance, last_active FROM mem WHERE pinned OR protected ORDER BY importance DESC, last_active DESC, id LIMIT 15")
+@query("core_order", MEM + "SELECT id, importance, last_active FROM mem WHERE pinned OR protected ")
 def core_order(spark, d):
-    return ranking.top(memories(spark, d).where(predicates.is_core()).select("id", "importance", "last_active"), 15, F.desc("importance"), F.desc("last_active"), F.col("id"))
+    return memories(spark, d).where(predicates.is_core()).select("id", "importance", "last_active").orderBy(F.desc("importance"), F.desc("last_active"), "id")
 
 
 @query("recent_order", MEM + f"SELECT id, created FROM mem WHERE type <> 'feel' AND NOT pinned AND NOT protected AND created >= {sql.NOW} - to_hours(72) ORDER BY created DESC, id LIMIT 6")
@@ -381,7 +387,7 @@ def shuffled_order(spark, d):
     return ranked.select("id", "score", F.row_number().over(Window.orderBy(*ranking.mixed(F.col("rk"), F.col("id"), 3))).alias("place"))
 
 
-@query("feelings_pack", MEM + f", l AS (SELECT id, created, {sql.links_off('left(content, 200)')} AS line FROM mem WHERE type = 'feel' AND store <> 'archive' ORDER BY created DESC, id LIMIT 1000), t AS (SELECT id, created, trunc(sum({sql.token_parts('line')}) OVER w + 0.05::DOUBLE * (row_number() OVER w - 1))::INT AS total FROM l WINDOW w AS (ORDER BY created DESC, id)) SELECT id, total FROM (SELECT *, lag(total, 1, 0) OVER (ORDER BY created DESC, id) AS before FROM t) WHERE before <= 400")
+@query("feelings_pack", MEM + f", l AS (SELECT id, created, {sql.links_off('left(content, 200)')} AS line FROM mem WHERE type = 'feel' AND store <> 'archive' ), t AS (SELECT id, created, trunc(sum({sql.token_parts('line')}) OVER w + 0.05::DOUBLE * (row_number() OVER w - 1))::INT AS total FROM l WINDOW w AS (ORDER BY created DESC, id)) SELECT id, total FROM (SELECT *, lag(total, 1, 0) OVER (ORDER BY created DESC, id) AS before FROM t) WHERE before <= 400")
 def feelings_pack(spark, d):
     return plans.feelings(memories(spark, d), 400)
 
@@ -404,9 +410,9 @@ def hybrid_search(spark, d):
 @query("merge_candidate")
 def merge_candidate(spark, d):
     """The best match of each new text within its domain: (item_id, id, score, verdict); pinned ones aren't merged into."""
-    news = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id < 3").select("item_id", F.left("text", F.lit(60)).alias("new"))
-    m = memories(spark, d).where("store <> 'archive' AND domain[0] = 'es'")
-    met = plans.relevance(m.join(F.broadcast(news)), plans.topic_score(F.col("new"), F.col("name"), F.col("domain"), F.col("tags"), F.col("content")), None, None)  # three rows
+    news = spark.createDataFrame([(0, "the tion of ing", "en"), (1, "eau la que", "fr"), (2, "doc 7", "es")], "item_id long, new string, lang string")
+    m = memories(spark, d).where("store <> 'archive'")
+    met = plans.relevance(m.join(F.broadcast(news), F.get("domain", F.lit(0)) == F.col("lang")), plans.topic_score(F.col("new"), F.col("name"), F.col("domain"), F.col("tags"), F.col("content")), None, None)  # three rows
     best = ranking.top_per(met.select("item_id", "id", F.round("relevance", 2).alias("score"), predicates.is_core().alias("core")), "item_id", 1, F.desc("score"), F.col("id"))
     return best.select("item_id", "id", "score", F.when((F.col("score") > 75) & ~F.col("core"), "merge").otherwise("create").alias("verdict"))
 
@@ -527,9 +533,9 @@ def decay_stats(spark, d):
     return writes.decay_stats(writes.decay_cycle(scored(spark, d), F.col("score")))
 
 
-@query("touch_snapshot", with_(sql.MEM, sql.ROUNDS) + f", hit AS (SELECT bucket_id AS id, count(*) AS hits FROM rounds WHERE session_id < 20 GROUP BY 1), p AS (SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS nth FROM mem a JOIN hit h ON h.id = a.id JOIN mem b ON a.id <> b.id AND abs(epoch(a.created) - epoch(b.created)) <= 48 * 3600 WHERE b.store <> 'archive' AND b.type NOT IN ('permanent', 'feel') AND NOT b.pinned AND NOT b.protected), w AS (SELECT target AS id, sum(hits) AS waves FROM p JOIN hit h ON h.id = p.source WHERE nth <= 5 GROUP BY 1) SELECT m.id, round(m.activation_count + coalesce(hits, 0) + coalesce(waves, 0) * 0.3::DOUBLE, 1) AS activation_count, CASE WHEN hits IS NOT NULL THEN {sql.NOW} ELSE last_active END AS last_active FROM mem m LEFT JOIN hit USING (id) LEFT JOIN w USING (id)")
+@query("touch_snapshot", with_(sql.MEM, sql.ROUNDS) + f", hit AS (SELECT bucket_id AS id, count(*) AS hits FROM rounds GROUP BY 1), p AS (SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS nth FROM mem a JOIN hit h ON h.id = a.id JOIN mem b ON a.id <> b.id AND abs(epoch(a.created) - epoch(b.created)) <= 48 * 3600 WHERE b.store <> 'archive' AND b.type NOT IN ('permanent', 'feel') AND NOT b.pinned AND NOT b.protected), w AS (SELECT target AS id, sum(hits) AS waves FROM p JOIN hit h ON h.id = p.source WHERE nth <= 5 GROUP BY 1) SELECT m.id, round(m.activation_count + coalesce(hits, 0) + coalesce(waves, 0) * 0.3::DOUBLE, 1) AS activation_count, CASE WHEN hits IS NOT NULL THEN {sql.NOW} ELSE last_active END AS last_active FROM mem m LEFT JOIN hit USING (id) LEFT JOIN w USING (id)")
 def touch_snapshot(spark, d):
-    return writes.touched(memories(spark, d), rounds(spark, d).where("session_id < 20").select(F.col("bucket_id").alias("id")), now_column()).select("id", "activation_count", "last_active")
+    return writes.touched(memories(spark, d), rounds(spark, d).select(F.col("bucket_id").alias("id")), now_column()).select("id", "activation_count", "last_active")
 
 
 @query("summary_cache", MEM + f"SELECT id, sha256(content) AS content_hash, CASE WHEN id % 2 = 0 THEN 'cached' ELSE {sql.summary()} END AS summary FROM mem")

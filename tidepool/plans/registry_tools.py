@@ -105,9 +105,10 @@ def keyword_lists(spark, d):
 @query("held_texts")
 def held_texts(spark, d):
     """What becomes of five new texts: merged into a memory or created."""
-    news = spark.read.parquet(f"{d}/benchmark.parquet").where("item_id < 5").select(
-        (F.lit(10_000_000) + F.col("item_id")).alias("new_id"), F.left("text", F.lit(40)).alias("content"), F.array(F.lit("es")).alias("domain"), F.array(F.lit("new")).alias("tags"), F.lit(0.6).alias("valence"), F.lit(0.4).alias("arousal"),
-        F.lit(5).alias("importance"), (F.col("item_id") == 4).alias("pinned"), F.lit("dynamic").alias("type"),
+    said = [(0, "the tion of ing", "en"), (1, "eau la que", "fr"), (2, "doc 7", "es"), (3, "sch ung", "de"), (4, "keep this", "en")]
+    news = spark.createDataFrame(said, "n long, content string, lang string").select(
+        (F.lit(10_000_000) + F.col("n")).alias("new_id"), "content", F.array("lang").alias("domain"), F.array(F.lit("new")).alias("tags"), F.lit(0.6).alias("valence"), F.lit(0.4).alias("arousal"),
+        F.lit(5).alias("importance"), (F.col("n") == 4).alias("pinned"), F.lit("dynamic").alias("type"),
     )
     return tools.hold(memories(spark, d), news, now_column())[1]
 
