@@ -30,7 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = minhash_dedup.near_duplicates(docs).where("kept").select("row_key", F.col("doc_id").alias("id")).distinct()
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
-    kept = keyed.join(found, (F.col("key") == F.col("row_key")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    # Spelt so that only the key deals out the rows: the window below then needs no other shuffle of the texts.
+    same = F.coalesce(F.col("doc_id") == F.col("id"), F.col("doc_id").isNull() & F.col("id").isNull())
+    kept = keyed.join(found.hint("merge"), (F.col("key") == F.col("row_key")) & same)
     once = Window.partitionBy("key", "doc_id").orderBy("lang", "source", "n_chars")
     return kept.withColumn("nth", F.row_number().over(once)).where("nth = 1 OR text IS NULL").select(*COLUMNS)
 
