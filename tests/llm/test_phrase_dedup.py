@@ -39,12 +39,13 @@ def same(spark, rows, p=op.Settings()):
 
 def test_equals_brute_force(spark):
     rows = awkward() + [(100 + i, *r[1:]) for i, r in enumerate(shared(41, 90))]
-    same(spark, [*rows, (50, rows[-1][1], None, None, None), (None, rows[-2][1], None, None, None), rows[-3]])
+    same(spark, [*rows, (50, rows[-1][1], None, None, None), (None, rows[-2][1], None, None, None), rows[-3], (901, "And " * 60, None, None, None), (902, "x " + "And " * 40, None, None, None)])
 
 
 @pytest.mark.parametrize("crowd", [4000, 2])
 def test_crowded_anchors(spark, crowd):
-    same(spark, shared(43, 80), op.Settings(5, 2, 50, crowd))
+    rows = [*shared(43, 80), (900, "And " * 60, None, None, None), (901, "so And And " * 20, None, None, None), (902, "And " * 9, None, None, None)]
+    same(spark, rows, op.Settings(5, 2, 50, crowd))
 
 
 def test_empty(spark):

@@ -60,13 +60,15 @@ def test_index_equals_brute_force():
 def test_production_length(spark):
     rows = [(100 + i, *r[1:]) for i, r in enumerate(shared(21, 90))] + [r for r in awkward() if r[1] is None or len(r[1]) < 20_000]
     rows += [(900, "z" * 450, None, None, None), (901, "q" * 399, None, None, None), (902, "q" * 399, None, None, None), (903, "ab" * 200 + "c", None, None, None), (904, "ab" * 200 + "d", None, None, None)]
+    rows += [(905, "And " * 150 + "end", None, None, None), (906, "x " + "And " * 130, None, None, None), (907, "one two three " * 60, None, None, None), (908, "ab" * 130, None, None, None)]
     assert any(r[2] for r in brute(rows, 400))
     same(spark, rows)
 
 
 @pytest.mark.parametrize("crowd", [4000, 3, 1])
 def test_crowded_anchors(spark, crowd):
-    same(spark, shared(31, 80), op.Settings(40, 16, 3000, crowd, 6))
+    rows = [*shared(31, 80), (900, "And " * 60, None, None, None), (901, "so And And " * 20, None, None, None)]
+    same(spark, rows, op.Settings(40, 16, 3000, crowd, 6))
 
 
 def test_empty(spark):

@@ -8,6 +8,7 @@ are one *occurrence*. Only anchors that occur in several places can belong to wi
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,8 +83,37 @@ def members(values: np.ndarray, wanted: list[np.ndarray], doc: np.ndarray, docs:
     return out
 
 
-def lists(column) -> list[np.ndarray]:
+def lists(column: pa.ListArray) -> list[np.ndarray]:
     """An Arrow column of long lists as numpy arrays."""
     flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     offsets = offsets - offsets[0]
     return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def once_each(owner: np.ndarray, *content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first of each, order, bounds) of rows that agree in ``owner`` and ``content``: group g is ``order[bounds[g]:bounds[g + 1]]``.
+
+    Text that repeats a few words has an occurrence at every repeat; a document then sends each content once, with all its places.
+    """
+    order = np.lexsort((*content, owner))
+    fresh = np.ones(len(order), bool)
+    for x in (owner, *content):
+        same = x[order[1:]] == x[order[:-1]]
+        fresh[1:] = same if x is owner else fresh[1:] & same
+    fresh[1:] = ~fresh[1:]
+    cut = np.flatnonzero(fresh)
+    return order[cut], order, np.r_[cut, len(order)]
+
+
+def place_lists(places: np.ndarray, order: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(places[order].astype(np.int64)))
+
+
+def pieces(batch: pa.RecordBatch, limit: int = 400_000):
+    """The rows of a batch in parts that hold about ``limit`` places once each of their windows has its own."""
+    weight = np.diff(batch.column("places").offsets.to_numpy()).astype(np.int64) * batch.column("windows").to_numpy()
+    group = (np.cumsum(weight) - weight // 2) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)

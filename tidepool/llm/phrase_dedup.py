@@ -57,19 +57,23 @@ def _anchors(texts: DataFrame, p: Settings) -> DataFrame:
     return texts.select("t1", "text").mapInArrow(run, "t1 long, anchor long").withColumn("multi", F.lit(False))
 
 
-_SEGMENT = "key long, d1 long, d2 long, t1 long, id long, start int, windows int, codes binary"
+_SEGMENT = "key long, d1 long, d2 long, t1 long, id long, places array<long>, windows int, codes binary"
 
 
-def _segment_batch(window, key, t1, ids, start, codes, first, last):
-    """Segments ``first`` to ``last + window`` of the joined ``codes``."""
+def _digests(window, codes, first, last):
+    """128 bits that stand for a segment's words."""
     end = last + window
     pre = prefix(mix(codes.astype(U64) + U64(1)))
     d1 = span(pre, first, end)
-    d2 = mix(span(pre, (first + end) // 2, end) + mix(d1 ^ U64(3)))
-    raw = codes.tobytes()
+    return d1, mix(span(pre, (first + end) // 2, end) + mix(d1 ^ U64(3)))
+
+
+def _segment_batch(window, key, d1, d2, t1, ids, places, codes, first, last):
+    """Segments ``first`` to ``last + window`` of the joined ``codes``, each with the word positions at which its text holds it."""
+    raw, end = codes.tobytes(), last + window
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), t1, ids, pa.array(start.astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array([raw[4 * a : 4 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
-        ["key", "d1", "d2", "t1", "id", "start", "windows", "codes"],
+        [pa.array(key.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), t1, ids, places, pa.array((last - first + 1).astype(np.int32)), pa.array([raw[4 * a : 4 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
+        ["key", "d1", "d2", "t1", "id", "places", "windows", "codes"],
     )
 
 
@@ -80,7 +84,11 @@ def _segments(texts: DataFrame, p: Settings) -> DataFrame:
             hashes, doc, anchor, _, first, last = _occurrences(words, p)
             hit = an.members(anchor.view(np.int64), an.lists(batch.column("anchors")), doc, len(words.count))
             doc, anchor, first, last = doc[hit], anchor[hit], first[hit], last[hit]
-            yield _segment_batch(p.window, anchor, batch.column("t1").take(pa.array(doc)), batch.column("doc_id").take(pa.array(doc)), first - words.first[doc], (hashes >> U64(32)).astype(np.uint32), first, last)
+            codes = (hashes >> U64(32)).astype(np.uint32)
+            d1, d2 = _digests(p.window, codes, first, last)
+            lead, order, bounds = an.once_each(doc, anchor, d1, d2)
+            places, owner = an.place_lists(first - words.first[doc], order, bounds), pa.array(doc[lead])
+            yield _segment_batch(p.window, anchor[lead], d1[lead], d2[lead], batch.column("t1").take(owner), batch.column("doc_id").take(owner), places, codes, first[lead], last[lead])
 
     return texts.select("doc_id", "t1", "text", "anchors").mapInArrow(run, _SEGMENT)
 
@@ -89,16 +97,20 @@ def _single(segments: DataFrame, p: Settings) -> DataFrame:
     """Every phrase of every segment as a segment of its own, keyed by its content."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in an.pieces(whole)):
             parts = batch.column("codes").to_pylist()
-            windows, start, key = (batch.column(c).to_numpy() for c in ("windows", "start", "key"))
+            windows, key = (batch.column(c).to_numpy() for c in ("windows", "key"))
+            begins = an.lists(batch.column("places"))
             codes = np.frombuffer(b"".join(parts), np.uint32)
             base = np.r_[0, np.cumsum([len(x) // 4 for x in parts])]
             row = np.repeat(np.arange(len(parts)), windows)
             inner = np.arange(len(row)) - np.r_[0, np.cumsum(windows)][row]
             first = base[row] + inner
             made = mix(span(prefix(mix(codes.astype(U64) + U64(2))), first, first + p.window) ^ mix(key[row].view(U64)))
-            yield _segment_batch(p.window, made, batch.column("t1").take(pa.array(row)), batch.column("id").take(pa.array(row)), start[row] + inner, codes, first, first)
+            moved = [begins[r] + i for r, i in zip(row.tolist(), inner.tolist(), strict=True)]
+            places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in moved])].astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *moved])))
+            d1, d2 = _digests(p.window, codes, first, first)
+            yield _segment_batch(p.window, made, d1, d2, batch.column("t1").take(pa.array(row)), batch.column("id").take(pa.array(row)), places, codes, first, first)
 
     return segments.mapInArrow(run, _SEGMENT)
 
@@ -166,22 +178,22 @@ def repeated_phrases(docs: DataFrame, p: Settings) -> DataFrame:
     discard(anchors, marks)
     starts = None
     for last in (False, True):
-        kinds = segments.groupBy("key", "d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+        distinct = stored(segments.groupBy("key", "d1", "d2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("windows").alias("windows"), F.first("codes").alias("codes")))
+        kinds = distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.min("least").alias("low"), F.max("most").alias("high")).where("low <> high")
         kinds = stored(kinds.select("key", "kinds"))
         crowded = kinds.where(F.col("kinds") > p.crowd).select("key")
         more = not last and not crowded.isEmpty()
-        small = segments.join((kinds.where(F.col("kinds") <= p.crowd) if more else kinds).select("key"), "key", "left_semi")
-        distinct = small.groupBy("key", "d1", "d2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.first("windows").alias("windows"), F.first("codes").alias("codes"))
-        found = stored(_located(distinct, p))
-        hits = segments.select("key", "d1", "d2", "t1", "id", "start").join(found, ["key", "d1", "d2"])
-        at = F.filter(F.transform("holders", lambda who, i: F.when(who < F.col("id"), F.col("start") + i)), lambda x: x.isNotNull())
+        small = distinct.join((kinds.where(F.col("kinds") <= p.crowd) if more else kinds).select("key"), "key", "left_semi")
+        found = stored(_located(small, p))
+        hits = segments.select("key", "d1", "d2", "t1", "id", "places").join(found, ["key", "d1", "d2"])
+        inner = F.filter(F.transform("holders", lambda who, i: F.when(who < F.col("id"), i)), lambda x: x.isNotNull())
+        at = F.flatten(F.transform("places", lambda x: F.transform(inner, lambda i: x + i)))
         part = stored(hits.select("t1", at.alias("starts")).where(F.size("starts") > 0))
-        discard(found)
         starts = part if starts is None else starts.unionByName(part)
+        cut = stored(_single(segments.join(crowded, "key", "left_semi"), p)) if more else None
+        discard(found, distinct, kinds, segments)
         if not more:
             break
-        cut = stored(_single(segments.join(crowded, "key", "left_semi"), p))
-        discard(kinds, segments)
         segments = cut
     return starts.groupBy("t1").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 

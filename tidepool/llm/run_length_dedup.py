@@ -158,11 +158,11 @@ def _anchors(texts: DataFrame, p: Settings) -> DataFrame:
     return texts.select("t1", "text").mapInArrow(run, "t1 long, anchor long, multi boolean")
 
 
-_SEGMENT = "key long, d1 long, d2 long, t1 long, start long, windows long, anchor_at long, bytes binary"
+_SEGMENT = "key long, d1 long, d2 long, t1 long, places array<long>, windows long, anchor_at long, bytes binary"
 
 
 def _segments(texts: DataFrame, p: Settings) -> DataFrame:
-    """Segments of every repeated anchor of ``texts`` (t1, text, anchors); ``start`` is a byte position in the text."""
+    """Segments of every repeated anchor of ``texts`` (t1, text, anchors); ``places`` are the byte positions in the text at which it begins."""
 
     def run(batches):
         for batch in slices(batches, limit=2 << 20):
@@ -171,20 +171,26 @@ def _segments(texts: DataFrame, p: Settings) -> DataFrame:
             doc, anchor, at, first, last = an.occurrences(rolling(pre, p.gram), p.gram, p.length, offsets)
             hit = an.members(anchor.view(np.int64), an.lists(batch.column("anchors")), doc, len(offsets) - 1)
             doc, anchor, at, first, last = doc[hit], anchor[hit], at[hit], first[hit], last[hit]
-            yield _segment_batch(p.length, batch.column("t1").take(pa.array(doc)), anchor, data, pre, first, last, at, offsets[doc])
+            d1, d2 = _digests(p.length, pre, first, last, at)
+            lead, order, bounds = an.once_each(doc, anchor, d1, d2)
+            places = an.place_lists(first - offsets[doc], order, bounds)
+            yield _segment_batch(p.length, batch.column("t1").take(pa.array(doc[lead])), anchor[lead], d1[lead], d2[lead], places, data, first[lead], last[lead], at[lead])
 
     return texts.select("t1", "text", "anchors").mapInArrow(run, _SEGMENT)
 
 
-def _segment_batch(length, t1, key, data, pre, first, last, at, base):
+def _digests(length, pre, first, last, at):
+    """128 bits that stand for a segment's bytes and for where its anchor lies."""
     end = last + length
     d1 = span(pre, first, end)
-    # The second digest also fixes where the anchor lies.
-    d2 = mix(span(pre, (first + end) // 2, end) ^ mix((at - first).astype(U64) + U64(17)) ^ mix(d1 + U64(5)))
-    raw = data.tobytes()
+    return d1, mix(span(pre, (first + end) // 2, end) ^ mix((at - first).astype(U64) + U64(17)) ^ mix(d1 + U64(5)))
+
+
+def _segment_batch(length, t1, key, d1, d2, places, data, first, last, at):
+    raw, end = data.tobytes(), last + length
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), t1, pa.array(first - base), pa.array(last - first + 1), pa.array(at - first), pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
-        ["key", "d1", "d2", "t1", "start", "windows", "anchor_at", "bytes"],
+        [pa.array(key.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), t1, places, pa.array(last - first + 1), pa.array(at - first), pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
+        ["key", "d1", "d2", "t1", "places", "windows", "anchor_at", "bytes"],
     )
 
 
@@ -192,10 +198,11 @@ def _blocks(segments: DataFrame, width: int, p: Settings) -> DataFrame:
     """The same windows in segments of at most ``width``, keyed by the bytes that all windows of a block share."""
 
     def run(batches):
-        for batch in slices(batches, column="bytes", limit=1 << 20):
+        for batch in (piece for part in slices(batches, column="bytes", limit=1 << 20) for piece in an.pieces(part)):
             data, offsets = text_buffers(batch.column("bytes").cast(pa.large_binary()).view(pa.large_string()))
             pre = byte_prefix(data)
-            windows, lead, start, key = (batch.column(c).to_numpy() for c in ("windows", "anchor_at", "start", "key"))
+            windows, lead, key = (batch.column(c).to_numpy() for c in ("windows", "anchor_at", "key"))
+            begins = an.lists(batch.column("places"))
             # A window's offset is how far before the anchor it starts; blocks are runs of offsets.
             high, low = lead, lead - windows + 1
             top, bottom = high // width, low // width
@@ -205,7 +212,11 @@ def _blocks(segments: DataFrame, width: int, p: Settings) -> DataFrame:
             anchor = offsets[row] + lead[row]
             core = span(pre, anchor - block * width, anchor - (block * width + width - 1) + p.length)
             made = mix(core ^ mix(key[row].view(U64) + block.astype(U64)))
-            yield _segment_batch(p.length, batch.column("t1").take(pa.array(row)), made, data, pre, anchor - far, anchor - near, anchor, offsets[row] - start[row])
+            first, last = anchor - far, anchor - near
+            moved = [begins[r] + f for r, f in zip(row.tolist(), (first - offsets[row]).tolist(), strict=True)]
+            places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in moved])].astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *moved])))
+            d1, d2 = _digests(p.length, pre, first, last, anchor)
+            yield _segment_batch(p.length, batch.column("t1").take(pa.array(row)), made, d1, d2, places, data, first, last, anchor)
 
     return segments.mapInArrow(run, _SEGMENT)
 
@@ -246,35 +257,36 @@ def _marked(distinct: DataFrame, p: Settings) -> DataFrame:
 
 
 def _distinct(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("key", "d1", "d2").agg(F.count("*").alias("times"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    return segments.groupBy("key", "d1", "d2").agg(F.sum(F.size("places")).alias("times"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
 
 
 def repeated_ranges(docs: DataFrame, p: Settings) -> DataFrame:
     """(t1, starts, ends): byte ranges that repeated strings cover, of each different text that has any. They may overlap."""
     texts = an.exact_copies(docs)
     anchors = stored(_anchors(texts, p))
-    marks = an.repeated(anchors)
-    # One row a text is enough; equal rows only repeat it.
-    once = texts.join(texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least")), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
-    segments = stored(_segments(once.join(marks, "t1"), p))
-    discard(anchors)
+    marks = stored(an.repeated(anchors))
+    # One row a text is enough, that with the least doc_id; equal rows only repeat it. Its text is shuffled once.
+    first = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
+    wanted = marks.join(first, "t1").withColumnsRenamed({"t1": "w1", "t2": "w2"}).hint("merge")
+    least = F.coalesce(F.col("doc_id") == F.col("least"), F.col("least").isNull())
+    segments = stored(_segments(texts.join(wanted, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & least), p))
+    discard(anchors, marks)
     ranges = None
     # An anchor of few different segments goes to a shard; one of many is cut further.
     for width in (p.block_windows, 1, 0):
-        kinds = segments.groupBy("key", "d1", "d2").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1")
-        kinds = stored(kinds)
+        distinct = stored(_distinct(segments))
+        kinds = stored(distinct.groupBy("key").agg(F.count("*").alias("kinds"), F.sum("times").alias("n")).where("n > 1"))
         crowded = kinds.where(F.col("kinds") > p.crowd).select("key")
         more = width > 0 and not crowded.isEmpty()
-        small = segments.join((kinds.where(F.col("kinds") <= p.crowd) if more else kinds).select("key"), "key", "left_semi")
-        found = stored(_marked(_distinct(small), p))
-        part = segments.select("key", "d1", "d2", "t1", "start").join(found, ["key", "d1", "d2"]).select("t1", F.transform("starts", lambda x: x + F.col("start")).alias("starts"), F.transform("ends", lambda x: x + F.col("start")).alias("ends"))
-        part = stored(part)
-        discard(found)
+        small = distinct.join((kinds.where(F.col("kinds") <= p.crowd) if more else kinds).select("key"), "key", "left_semi")
+        found = stored(_marked(small, p))
+        spread = lambda c: F.flatten(F.transform("places", lambda x: F.transform(c, lambda y: x + y))).alias(c)
+        part = stored(segments.select("key", "d1", "d2", "t1", "places").join(found, ["key", "d1", "d2"]).select("t1", spread("starts"), spread("ends")))
         ranges = part if ranges is None else ranges.unionByName(part)
+        cut = stored(_blocks(segments.join(crowded, "key", "left_semi"), width, p)) if more else None
+        discard(found, distinct, kinds, segments)
         if not more:
             break
-        cut = stored(_blocks(segments.join(crowded, "key", "left_semi"), width, p))
-        discard(kinds, segments)
         segments = cut
     return ranges.groupBy("t1").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
 
@@ -315,6 +327,7 @@ def remove_repeats(docs: DataFrame, p: Settings = Settings(), carry: tuple[str,
             left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.diff(offsets)), pa.array(run_starts, whole), pa.array(run_ends, whole), left], [*columns, "n_bytes", "span_starts", "span_ends", "kept"])
 
-    joined = texts.join(copies, ["t1", "t2"]).join(ranges, "t1", "left").select(*columns, "text", "copies", "starts", "ends")
+    known = copies.join(ranges, "t1", "left").withColumnsRenamed({"t1": "w1", "t2": "w2"}).hint("merge")
+    joined = texts.join(known, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select(*columns, "text", "copies", "starts", "ends")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return joined.mapInArrow(run, f"{kinds}, n_bytes long, span_starts array<long>, span_ends array<long>, kept {'string' if as_text else 'binary'}")
