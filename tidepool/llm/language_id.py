@@ -24,7 +24,7 @@ from tidepool.llm.runtime import prepare
 from tidepool.llm.textbuf import slices, text_buffers
 
 #: Documents learned from at most, chosen by a hash of doc_id, the same number for each language.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 BUCKETS = Buckets((1, 2, 3), 14, words=False)
 EPOCHS, RATE, SCALE, AMBIGUOUS = 12, 0.5, 40.0, 0.2
 _LETTER = regex.compile(r"\p{L}")
@@ -114,8 +114,11 @@ def train(docs: DataFrame, where: Column | None = None, train_rows: int = TRAIN_
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "at": pa.array([m[0].tobytes() for m in made], pa.binary()), "share": pa.array([m[1].tobytes() for m in made], pa.binary())})
 
     sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")  # bounded by train_rows
-    got = sorted(map(tuple, sample.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, at binary, share binary").collect()))
-    return fit_codes([(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for _, _, a, s in got], [x[1] for x in got])
+    got = sample.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, at binary, share binary").toArrow()
+    keys = list(zip(*(got.column(c).to_pylist() for c in ("doc_id", "lang")), strict=True))
+    order = sorted(range(len(got)), key=keys.__getitem__)
+    at, share = got.column("at"), got.column("share")
+    return fit_codes([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(share[i].as_buffer(), np.float32)) for i in order], [keys[i][1] for i in order])
 
 
 def language_id(docs: DataFrame, model: Codes) -> DataFrame:

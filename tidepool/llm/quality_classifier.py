@@ -23,7 +23,7 @@ from tidepool.llm.runtime import prepare
 from tidepool.llm.textbuf import slices, text_buffers
 
 #: Labelled documents learned from at most, chosen by a hash of doc_id.
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 5000
 BUCKETS = Buckets((3, 4), 16, words=True)
 DIM, EPOCHS, RATE = 8, 6, 0.5
 
@@ -88,8 +88,10 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, train
 
     sample = labelled_sample(docs, labels, target, train_rows, where)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(map(tuple, sample.mapInArrow(run, f"doc_id {kind}, y int, at binary, share binary").collect()))
-    return fit_embeddings([(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for _, _, a, s in got], np.array([y for _, y, _, _ in got], int))
+    got = sample.mapInArrow(run, f"doc_id {kind}, y int, at binary, share binary").toArrow()  # bounded by train_rows
+    order = sorted(range(len(got)), key=list(zip(*(got.column(c).to_pylist() for c in ("doc_id", "y")), strict=True)).__getitem__)
+    at, share, y = got.column("at"), got.column("share"), got.column("y").to_numpy()
+    return fit_embeddings([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(share[i].as_buffer(), np.float32)) for i in order], y[order] if order else np.empty(0, int))
 
 
 def quality_scores(docs: DataFrame, model: Embeddings, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
