@@ -29,7 +29,7 @@ from tidepool.llm.textbuf import slices
 #: Fixed value of byte-level vocabularies: the split of a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words whose ids one worker remembers, twice over.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 LONG_WORD = 64
 NEVER = 1 << 60
 
@@ -95,16 +95,19 @@ class Automaton:
             self.lost[state, b] = k
         self.memo.clear()
         self.tokens = {labels[t]: t for t in self.target}
-        #: Labels as a trie: a node holds its nodes by byte, and at -1 the label that ends there.
-        self.root: dict = {}
-        for label, t in self.tokens.items():
+        #: Labels as a trie: a node holds its nodes by byte, and at -1 the longest label on the way to it.
+        self.root: dict = {-1: -1}
+        for label, t in sorted(self.tokens.items()):
             node = self.root
             for byte in label:
-                node = node.setdefault(byte, {})
+                node = node.setdefault(byte, {-1: node[-1]})
             node[-1] = t
-        self.size = {t: len(label) for label, t in self.tokens.items()}
+        most = max(self.target, default=-1) + 1
+        self.size = [len(labels.get(t, b"")) for t in range(most)]
         #: The longest shorter label that each label begins with, or -1.
-        self.shorter = {t: next((s for i in range(len(label) - 1, 0, -1) if (s := self.tokens.get(label[:i], -1)) >= 0), -1) for label, t in self.tokens.items()}
+        self.shorter = [-1] * most
+        for label, t in self.tokens.items():
+            self.shorter[t] = next((s for i in range(len(label) - 1, 0, -1) if (s := self.tokens.get(label[:i], -1)) >= 0), -1)
         self.words = Memo(self)
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
@@ -147,12 +150,12 @@ class Automaton:
         while at < n:
             if label < 0:
                 node = root
-                for j in range(at, n):
-                    node = node.get(word[j])
-                    if node is None:
+                for byte in word[at:]:
+                    after = node.get(byte)
+                    if after is None:
                         break
-                    if -1 in node:
-                        label = node[-1]
+                    node = after
+                label = node[-1]
             while label >= 0:
                 if (after := at + size[label]) not in dead:
                     if not out:
