@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.common import awkward, frame, shared
 from tidepool.llm import minhash_dedup as op
 from tidepool.llm.components import components
+from tidepool.llm.textbuf import text_buffers
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -63,6 +65,20 @@ def test_small_blocks(spark, monkeypatch):
     check(spark, near_group(5, 90))
 
 
+def test_large_bucket_with_few_shared_bands(spark, monkeypatch):
+    """A pair at 0.75 whose only shared bands are buckets of many other texts, each of which is like no other."""
+    monkeypatch.setattr(op, "BLOCK", 2)
+    core = " ".join(f"c{i}" for i in range(9))
+    pair = [f"{core} s49091 x49091", f"{core} s49091 y49091"]
+    keys = lambda texts: op.band_keys(op.signatures(*op.shingle_sets(*text_buffers(pa.array(texts)))))
+    one, two = keys(pair)
+    both = np.flatnonzero(one == two)
+    others = [f"{core} f{i} g{i}" for i in range(600)]
+    others = [text for text, key in zip(others, keys(others), strict=True) if (key[both] == one[both]).all()]
+    assert 0 < len(both) <= 3 and len(others) > 4 * op.BLOCK + 1
+    check(spark, [(i, text, None, None, None) for i, text in enumerate(others + pair)])
+
+
 def test_empty(spark):
     assert op.near_duplicates(frame(spark, [])).count() == 0
 

@@ -8,7 +8,7 @@ while slots are open) is cut into bands, and classes that share a band meet in a
    verified against it on their full sets. A large group of copies thereby costs one check each.
 2. Links found so far are joined into components. Where a bucket still spans several, its members are
    compared across components by signature, in blocks of bounded size, each pair in the first band that
-   it shares; buckets too large for that are first cut by further shared bands. Members with a partner
+   it shares. A bucket of any size is compared whole, as all pairs of its blocks. Members with a partner
    whose signature agrees come together once more with their texts, and full sets decide there: pairs
    are looked at within a block and never become rows.
 
@@ -171,23 +171,23 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _cells(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Members of buckets (band, path, set_digest, root) with what ``_pairs`` needs, once for each pair of blocks that theirs is in."""
+    """Members of buckets (band, number, set_digest, root) with what ``_pairs`` needs, once for each pair of blocks that theirs is in."""
     sized = members.join(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("set_digest"), F.col("blocks")))
     spread = sized.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    return spread.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "path", "set_digest", "root").join(sketches, "set_digest")
+    return spread.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "number", "set_digest", "root").join(sketches, "set_digest")
 
 
 def _pairs(frame: pd.DataFrame, agree: int):
-    """Positions (i, j) in one cell that lie in different components, whose sketches agree, and that first share the bands of ``path``."""
+    """Positions (i, j) in one cell that lie in different components, whose sketches agree, and whose first shared band is ``number``."""
     sketch = np.frombuffer(b"".join(frame.sketch), np.uint8).reshape(len(frame), SLOTS)
-    bands, root, block, path = np.stack(frame.bands.to_numpy()), frame.root.to_numpy(), frame.block.to_numpy(), list(frame.path.iloc[0])
+    bands, root, block, number = np.stack(frame.bands.to_numpy()), frame.root.to_numpy(), frame.block.to_numpy(), int(frame.number.iloc[0])
     crossing = frame.low.iloc[0] != frame.high.iloc[0]
     for i in range(len(frame) - 1):
         near = np.flatnonzero((sketch[i + 1 :] == sketch[i]).sum(axis=1) >= agree) + i + 1
         near = near[(root[near] != root[i]) & ((block[near] != block[i]) | (not crossing))]
         if len(near):
             same = bands[near] == bands[i]
-            near = near[same[:, path].all(axis=1) & (same[:, : max(path)].sum(axis=1) == len(path) - 1)]
+            near = near[same[:, number] & ~same[:, :number].any(axis=1)]
             if len(near):
                 yield i, near
 
@@ -201,7 +201,7 @@ def _linked(cells: DataFrame, texts: DataFrame) -> DataFrame:
         for i, near in _pairs(frame, agree):
             hit[i] = True
             hit[near] = True
-        return frame[hit][["band", "low", "high", "block", "path", "set_digest", "root", "sketch", "bands"]]
+        return frame[hit][["band", "low", "high", "block", "number", "set_digest", "root", "sketch", "bands"]]
 
     def links(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         shingles, bounds = shingle_sets(*text_buffers(pa.array(frame.text, pa.string())))
@@ -234,7 +234,7 @@ def _linked(cells: DataFrame, texts: DataFrame) -> DataFrame:
                     up[a] = b
         return pd.DataFrame(out, columns=["a", "b"])
 
-    met = stored(cells.groupBy("band", "low", "high").applyInPandas(partners, cells.select("band", "low", "high", "block", "path", "set_digest", "root", "sketch", "bands").schema))
+    met = stored(cells.groupBy("band", "low", "high").applyInPandas(partners, cells.select("band", "low", "high", "block", "number", "set_digest", "root", "sketch", "bands").schema))
     return met.join(texts, "set_digest").groupBy("band", "low", "high").applyInPandas(links, "a binary, b binary")
 
 
@@ -262,17 +262,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
 
     # Step 2: all but the centres, where they still belong to several components.
-    rest = stars.where("mates > 2 and set_digest <> centre").select("band", F.array("number").alias("path"), "set_digest").join(roots.withColumnRenamed("node", "set_digest"), "set_digest", "left").withColumn("root", F.coalesce("root", "set_digest"))
+    rest = stars.where("mates > 2 and set_digest <> centre").select("band", "number", "set_digest").join(roots.withColumnRenamed("node", "set_digest"), "set_digest", "left").withColumn("root", F.coalesce("root", "set_digest"))
     rest = stored(_several(rest))
     if not rest.isEmpty():
-        for _ in range(3):
-            large = rest.groupBy("band").count().where(F.col("count") > 4 * BLOCK).select("band")
-            if large.isEmpty():
-                break
-            further = classes.select("set_digest", F.posexplode("bands").alias("number", "second"))
-            cut = rest.join(large, "band", "left_semi").join(further, "set_digest").where(F.col("number") > F.element_at("path", -1))
-            cut = cut.select(F.xxhash64("band", "second").alias("band"), F.concat("path", F.array("number")).alias("path"), "set_digest", "root")
-            rest = stored(_several(rest.join(large, "band", "left_anti").unionByName(cut)))
         more = stored(_linked(_cells(rest, classes.select("set_digest", "sketch", "bands")), texts))
         if not more.isEmpty():
             roots = components(links.union(more))
