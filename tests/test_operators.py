@@ -1,14 +1,15 @@
 """Properties of operators on small inputs, and edge rows."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import token_estimate
 from tidepool.operators import packing, pairs, predicates, ranking, turns, writes
-from tidepool.plans import tools
-from tidepool.sources.memory import memories, now_column
+from tidepool.plans import registry, tools
+from tidepool.sources.memory import memories, now_column, rounds, turns as turn_table, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -91,6 +92,26 @@ def test_cards_and_fallback(spark):
     assert ("a", 1) not in left and ("c", 1) in left and len(left) == 7
 
 
+def test_searches_meet_all_memories(spark, monkeypatch):
+    """Both channels of the recall against brute force over every memory and vector."""
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 7)
+    split = lambda x: set(re.findall(r"[^\W_]+", (x or "").lower()))
+    sessions = {r.session_id for r in rounds(spark, DATA).select("session_id").distinct().collect()}
+    asked = {r.conv_id: r.query for r in turns.last_messages(turn_table(spark, DATA)).collect() if r.query is not None and r.conv_id in sessions}
+    held = {r.id: split(r.content) for r in memories(spark, DATA).where(predicates.can_be_recalled()).collect()}
+    vecs = {r.id: np.array(r.embedding) for r in vectors(spark, DATA).collect()}
+    cos = lambda a, b: round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6)
+    best = lambda scores: sorted(((-s, i) for i, s in scores.items()))[:10]
+    words, near = registry._searches(spark, DATA)
+    got = lambda df: sorted((r.session_id, -round(r.score, 6), r.id) for r in df.collect())
+    want = [(c, round(s, 6), i) for c, q in asked.items() for s, i in best({i: len(split(q) & w) / len(split(q)) for i, w in held.items() if split(q) & w})]
+    assert len(want) > 50 and got(words) == sorted(want)
+    want = [(c, s, i) for c in asked if c in vecs for s, i in best({i: cos(vecs[c], v) for i, v in vecs.items()})]
+    assert len(want) > 50 and got(near) == sorted(want)
+    met = near.collect()
+    assert any(r.session_id % 20 != r.id % 20 for r in met)
+
+
 def test_hold_and_grow(spark):
     m = memories(spark, DATA)
     same = m.where("store = 'dynamic' AND NOT pinned AND NOT protected AND NOT resolved").orderBy(F.desc("importance"), "days", "id").limit(1).select("id", "content", "domain").collect()[0]

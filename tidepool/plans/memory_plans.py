@@ -83,6 +83,16 @@ def word_topic(words: list[str]) -> Column:
     return sum((F.contains(F.lower("content"), F.lit(w.lower())).cast("int") for w in words), F.lit(0)) / F.lit(float(len(words)))
 
 
+def word_hits(memory: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(session_id, id, score): the ``k`` memories that hold most of the words of each of ``queries`` (session_id, query), over all memories that can be recalled.
+
+    The score is the share of the query's different words. Memories that share no word aren't hits.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    held = memory.where(predicates.can_be_recalled()).select("id", words(F.col("content")).alias("words"))
+    return pairs.most_shared(held, queries.select(F.col("session_id").alias("asked_id"), words(F.col("query")).alias("asked")), k).select(F.col("asked_id").alias("session_id"), "id", "score")
+
+
 def recall(memory: DataFrame, keyword: DataFrame, semantic: DataFrame, rounds: DataFrame, now: Column, s: RecallSettings = RecallSettings()) -> DataFrame:
     """(session_id, id, score, rank): one or two cards a session of the candidates of both channels.
 

@@ -269,7 +269,7 @@ SELECT session_id, id, score, rank FROM rk WHERE (rank = 1 AND score >= 0.55) OR
 
 
 def _channels(spark: SparkSession, d: str):
-    """What both channels of a search answer each session: the ten best of the memories they meet. Meeting is by residues, which stand in for words and vectors."""
+    """Candidates that SQL can express: each session meets the memories of its residues only. No search runs; ``_searches`` runs both."""
     session_ids, ids = rounds(spark, d).select("session_id").distinct(), memories(spark, d).select("id")
 
     def channel(residue: int, a: int, b: int) -> DataFrame:
@@ -280,6 +280,26 @@ def _channels(spark: SparkSession, d: str):
     return channel(25, 31, 17), channel(20, 13, 29)
 
 
+def _searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What both searches answer each session, over all memories: (session_id, id, score) by words, and by vectors.
+
+    A session asks the last user message of the conversation of its number; as no model is at hand, the vector of
+    that number stands for the message's. Sessions without a message recall nothing.
+    """
+    asked = turns.last_messages(turn_table(spark, d)).where("query IS NOT NULL").select(F.col("conv_id").alias("session_id"), "query")
+    asked = asked.join(rounds(spark, d).select("session_id").distinct(), "session_id", "left_semi")
+    v = vector_table(spark, d)
+    queries = v.join(asked.select(F.col("session_id").alias("id")), "id", "left_semi").select(F.col("id").alias("asked_id"), F.col("embedding").alias("asked"))
+    near = pairs.nearest_each(v, queries, 10).select(F.col("asked_id").alias("session_id"), "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "similarity")).alias("score"))
+    return plans.word_hits(memories(spark, d), asked, 10), near
+
+
+@query("recall_searched")
+def recall_searched(spark, d):
+    """``recall_cards`` with both searches run over all memories."""
+    return plans.recall(memories(spark, d), *_searches(spark, d), rounds(spark, d), now_column())
+
+
 @query("recall_cards", RECALL)
 def recall_cards(spark, d):
     return plans.recall(memories(spark, d), *_channels(spark, d), rounds(spark, d), now_column())
@@ -395,7 +415,7 @@ def feelings_pack(spark, d):
 @query("recalled_block")
 def recalled_block(spark, d):
     """Cards of each session as one block, the first trimmed if it is too big."""
-    best = plans.recall(memories(spark, d), *_channels(spark, d), rounds(spark, d), now_column()).join(memories(spark, d), "id")
+    best = recall_searched(spark, d).join(memories(spark, d), "id")
     packed = packing.pack_trimmed(best.select("session_id", "id", "rank", plans.summary(F.col("content")).alias("summary")), 60, [F.col("rank")], ("session_id",))
     return packed.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "summary"))), lambda x: F.concat(F.lit("- "), x["summary"])), "\n").alias("block"), F.sum("tokens").alias("tokens"))
 
