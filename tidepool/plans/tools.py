@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,15 @@ def merge_targets(memory: DataFrame, news: DataFrame, s: SearchSettings = Search
     """(new_id, id, score): for each of a few ``news`` (new_id, content, domain) the memory to merge it into, if its best match is good and free.
 
     The best match within the new text's domains is taken as it is: if it is pinned or not good enough, the text stands alone.
-    ``news`` is bounded by MOST_NEW, the number of texts of one call, and therefore sent to all tasks.
+    ``news`` are sent to all tasks, about MOST_NEW at a time; more are gone through in several passes over the memories.
     """
-    fresh = F.broadcast(news.limit(MOST_NEW).select("new_id", F.col("content").alias("new_content"), F.col("domain").alias("new_domain")))
+    passes = max(1, -(-news.count() // MOST_NEW))
+    parts = [_best_targets(memory, news.where(F.pmod(F.xxhash64("new_id"), F.lit(passes)) == n), s) for n in range(passes)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _best_targets(memory: DataFrame, news: DataFrame, s: SearchSettings) -> DataFrame:
+    fresh = F.broadcast(news.select("new_id", F.col("content").alias("new_content"), F.col("domain").alias("new_domain")))  # about MOST_NEW
     live = memory.where(F.col("store") != "archive")
     same = F.arrays_overlap(F.transform("domain", lambda d: F.lower(d)), F.transform("new_domain", lambda d: F.lower(d)))
     met = relevance(live.join(fresh, same), topic_score(F.col("new_content"), F.col("name"), F.col("domain"), F.col("tags"), F.col("content"), s), None, None, s)
