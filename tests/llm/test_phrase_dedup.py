@@ -48,5 +48,12 @@ def test_crowded_anchors(spark, crowd):
     same(spark, rows, op.Settings(5, 2, 50, crowd))
 
 
+def test_ids_of_text(spark):
+    rows = shared(45, 40)
+    docs = spark.createDataFrame([(f"d{r[0]:02}", r[1]) for r in rows], "doc_id string, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in op.remove_phrases(docs, op.Settings(5, 2)).collect()}
+    assert got == {f"d{w[0]:02}": w[1:] for w in brute(rows, 5)}
+
+
 def test_empty(spark):
     assert op.remove_phrases(frame(spark, [])).select(F.sha2("kept", 256)).count() == 0

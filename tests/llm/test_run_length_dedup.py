@@ -9,29 +9,49 @@ from tidepool.llm import queries
 from tidepool.llm import run_length_dedup as op
 
 
-def brute(rows, length):
-    raw = [(r[1] or "").encode() for r in rows]
+def covered(raw, size):
+    """Which bytes of each text strings of ``size`` bytes cover that start elsewhere too."""
     seen = {}
     for t in raw:
-        for i in range(len(t) - length + 1):
-            w = t[i : i + length]
+        for i in range(len(t) - size + 1):
+            w = t[i : i + size]
             seen[w] = seen.get(w, 0) + 1
     out = []
-    for r, t in zip(rows, raw, strict=True):
+    for t in raw:
         gone = np.zeros(len(t), bool)
-        for i in range(len(t) - length + 1):
-            if seen[t[i : i + length]] > 1:
-                gone[i : i + length] = True
+        for i in range(len(t) - size + 1):
+            if seen[t[i : i + size]] > 1:
+                gone[i : i + size] = True
+        out.append(gone)
+    return out
+
+
+def brute(rows, length, least=240):
+    raw = [(r[1] or "").encode() for r in rows]
+    out = []
+    for r, t, gone, shared in zip(rows, raw, covered(raw, length), covered(raw, min(least, length)), strict=True):
         spans = int((np.diff(np.r_[False, gone].astype(int)) == 1).sum())
-        out.append((r[0], len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+        out.append((r[0], len(t), int(gone.sum()), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest(), int(shared.sum())))
     return out
 
 
 def same(spark, rows, settings=op.Settings()):
-    length = settings.length
     key = lambda r: tuple((x is None, x) for x in r)
-    got = queries.removal_digests(op.remove_repeats(frame(spark, rows), settings)).collect()
-    assert sorted(map(tuple, got), key=key) == sorted(brute(rows, length), key=key)
+    got = [tuple(r) for r in queries.removal_digests(op.remove_repeats(frame(spark, rows), settings)).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows, settings.length, settings.least), key=key)
+
+
+def longest_matches(raw):
+    best = [np.zeros(len(x), int) for x in raw]
+    for i, x in enumerate(raw):
+        for j, y in enumerate(raw):
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    m = 0
+                    while (i, p) != (j, q) and p + m < len(x) and q + m < len(y) and x[p + m] == y[q + m]:
+                        m += 1
+                    best[i][p] = max(best[i][p], m)
+    return best
 
 
 def test_index_equals_brute_force():
@@ -39,21 +59,12 @@ def test_index_equals_brute_force():
     for trial in range(60):
         alphabet = "ab" if trial % 2 else "abcdefghi"
         segments = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 40))) for _ in range(rnd.randint(1, 8))]
-        segments += [segments[0] + "x", "y" + segments[-1], "a" * 30]
+        segments += [segments[0] + "x", "y" + segments[-1], "a" * 30, segments[0]]
         raw = [s.encode() for s in segments]
-        index, at = op.build_index(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
-        stats = index.matching_statistics()
-        for i, x in enumerate(raw):
-            for p in range(len(x)):
-                best = 0
-                for j, y in enumerate(raw):
-                    for q in range(len(y)):
-                        if (i, p) != (j, q):
-                            m = 0
-                            while p + m < len(x) and q + m < len(y) and x[p + m] == y[q + m]:
-                                m += 1
-                            best = max(best, m)
-                assert stats[at[i] + p] == best, (segments, i, p)
+        index = op.build_index(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+        windows = np.array([rnd.randint(1, len(x)) for x in raw])
+        want = [b[:w] for b, w in zip(longest_matches(raw), windows, strict=True)]
+        np.testing.assert_array_equal(index.matching_statistics(windows), np.concatenate(want), str(segments))
         assert len(index.run_starts) <= index.n
 
 
@@ -65,10 +76,10 @@ def test_production_length(spark):
     same(spark, rows)
 
 
-@pytest.mark.parametrize("crowd", [4000, 3, 1])
-def test_crowded_anchors(spark, crowd):
+@pytest.mark.parametrize(("crowd", "least", "gram"), [(4000, 40, 16), (4000, 24, 10), (3, 24, 10), (1, 30, 16)])
+def test_crowded_anchors(spark, crowd, least, gram):
     rows = [*shared(31, 80), (900, "And " * 60, None, None, None), (901, "so And And " * 20, None, None, None)]
-    same(spark, rows, op.Settings(40, 16, 3000, crowd, 6))
+    same(spark, rows, op.Settings(40, least, gram, 3000, crowd, 6))
 
 
 def test_empty(spark):

@@ -64,12 +64,13 @@ def exact_copies(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 def repeated(anchors: DataFrame) -> DataFrame:
-    """(t1, anchors) of the texts that hold anchors occurring elsewhere too.
+    """(t1, t2, anchors) of the texts that hold anchors occurring elsewhere too.
 
-    ``anchors`` has (t1, anchor, multi): one row a text and anchor; ``multi`` if the text alone makes it repeated.
+    ``anchors`` has (t1, t2, anchor, multi): one row a text and anchor; ``multi`` if the text alone makes it repeated.
     """
-    several = anchors.groupBy("anchor").agg(F.min("t1").alias("low"), F.max("t1").alias("high"), F.max("multi").alias("multi")).where("low <> high or multi").select("anchor")
-    return anchors.select("t1", "anchor").join(several, "anchor", "left_semi").groupBy("t1").agg(F.collect_set("anchor").alias("anchors"))
+    least = anchors.groupBy("anchor").agg(*(f(c).alias(f.__name__ + c) for c in ("t1", "t2") for f in (F.min, F.max)), F.max("multi").alias("multi"))
+    several = least.where("mint1 <> maxt1 OR mint2 <> maxt2 OR multi").select("anchor")
+    return anchors.select("t1", "t2", "anchor").join(several, "anchor", "left_semi").groupBy("t1", "t2").agg(F.collect_set("anchor").alias("anchors"))
 
 
 def members(values: np.ndarray, wanted: list[np.ndarray], doc: np.ndarray, docs: int) -> np.ndarray:

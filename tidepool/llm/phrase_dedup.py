@@ -7,7 +7,7 @@
    Aho-Corasick automaton over word codes, each with the smallest doc_id that holds it; all segments are streamed through it.
 4. An anchor with very many different segments is cut into single phrases, so that no shard grows with it.
 
-Words are ``[^\\x20\\x09-\\x0D]+``; null texts have none. A null doc_id is neither smaller nor larger than any: such rows keep all
+Words are ``[^\\x20\\x09-\\x0D]+``; null texts have none. Ids are of any type with an order. A null doc_id is neither smaller nor larger than any: such rows keep all
 their words. Rows with the same doc_id don't count against each other.
 """
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidepool.llm import anchors as an
 from tidepool.llm.runtime import discard, prepare, stored
@@ -52,12 +53,13 @@ def _anchors(texts: DataFrame, p: Settings) -> DataFrame:
             doc, anchor = doc[order], anchor[order]
             fresh = np.ones(len(doc), bool)
             fresh[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("t1").take(pa.array(doc[fresh])), pa.array(anchor[fresh].view(np.int64))], ["t1", "anchor"])
+            owner = pa.array(doc[fresh])
+            yield pa.RecordBatch.from_arrays([batch.column("t1").take(owner), batch.column("t2").take(owner), pa.array(anchor[fresh].view(np.int64))], ["t1", "t2", "anchor"])
 
-    return texts.select("t1", "text").mapInArrow(run, "t1 long, anchor long").withColumn("multi", F.lit(False))
+    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, anchor long").withColumn("multi", F.lit(False))
 
 
-_SEGMENT = "key long, d1 long, d2 long, t1 long, id long, places array<long>, windows int, codes binary"
+_SEGMENT = "key long, d1 long, d2 long, t1 long, t2 long, id {id}, places array<long>, windows int, codes binary"
 
 
 def _digests(window, codes, first, last):
@@ -68,12 +70,12 @@ def _digests(window, codes, first, last):
     return d1, mix(span(pre, (first + end) // 2, end) + mix(d1 ^ U64(3)))
 
 
-def _segment_batch(window, key, d1, d2, t1, ids, places, codes, first, last):
-    """Segments ``first`` to ``last + window`` of the joined ``codes``, each with the word positions at which its text holds it."""
+def _segment_batch(window, key, d1, d2, texts, places, codes, first, last):
+    """Segments ``first`` to ``last + window`` of the joined ``codes``, each with its text (t1, t2, id) and the word positions at which that holds it."""
     raw, end = codes.tobytes(), last + window
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), t1, ids, places, pa.array((last - first + 1).astype(np.int32)), pa.array([raw[4 * a : 4 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
-        ["key", "d1", "d2", "t1", "id", "places", "windows", "codes"],
+        [pa.array(key.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *texts, places, pa.array((last - first + 1).astype(np.int32)), pa.array([raw[4 * a : 4 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
+        ["key", "d1", "d2", "t1", "t2", "id", "places", "windows", "codes"],
     )
 
 
@@ -88,9 +90,9 @@ def _segments(texts: DataFrame, p: Settings) -> DataFrame:
             d1, d2 = _digests(p.window, codes, first, last)
             lead, order, bounds = an.once_each(doc, anchor, d1, d2)
             places, owner = an.place_lists(first - words.first[doc], order, bounds), pa.array(doc[lead])
-            yield _segment_batch(p.window, anchor[lead], d1[lead], d2[lead], batch.column("t1").take(owner), batch.column("doc_id").take(owner), places, codes, first[lead], last[lead])
+            yield _segment_batch(p.window, anchor[lead], d1[lead], d2[lead], [batch.column(c).take(owner) for c in ("t1", "t2", "doc_id")], places, codes, first[lead], last[lead])
 
-    return texts.select("doc_id", "t1", "text", "anchors").mapInArrow(run, _SEGMENT)
+    return texts.select("doc_id", "t1", "t2", "text", "anchors").mapInArrow(run, _SEGMENT.format(id=texts.schema["doc_id"].dataType.simpleString()))
 
 
 def _single(segments: DataFrame, p: Settings) -> DataFrame:
@@ -110,14 +112,17 @@ def _single(segments: DataFrame, p: Settings) -> DataFrame:
             moved = [begins[r] + i for r, i in zip(row.tolist(), inner.tolist(), strict=True)]
             places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in moved])].astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *moved])))
             d1, d2 = _digests(p.window, codes, first, first)
-            yield _segment_batch(p.window, made, d1, d2, batch.column("t1").take(pa.array(row)), batch.column("id").take(pa.array(row)), places, codes, first, first)
+            yield _segment_batch(p.window, made, d1, d2, [batch.column(c).take(pa.array(row)) for c in ("t1", "t2", "id")], places, codes, first, first)
 
-    return segments.mapInArrow(run, _SEGMENT)
+    return segments.mapInArrow(run, segments.schema)
 
 
 def _located(distinct: DataFrame, p: Settings) -> DataFrame:
     """(key, d1, d2, holders): for each phrase of a distinct segment the smallest doc_id that holds it, null if only one doc_id does."""
 
+    kind = distinct.schema["least"].dataType
+    arrow = to_arrow_type(kind)
+
     def shard(rows: list[tuple]):
         key, d1, d2, least, most, windows, parts = zip(*rows, strict=True)
         codes = np.frombuffer(b"".join(parts), np.uint32)
@@ -128,12 +133,15 @@ def _located(distinct: DataFrame, p: Settings) -> DataFrame:
         phrase = span(prefix(mix(codes.astype(U64) + U64(2))), first, first + p.window)
         order = np.argsort(phrase, kind="stable")
         cut = np.flatnonzero(np.r_[True, phrase[order[1:]] != phrase[order[:-1]]])
-        holder = np.minimum.reduceat(np.array(least)[row[order]], cut)
-        recurring = holder < np.maximum.reduceat(np.array(most)[row[order]], cut)
+        # Ids by their place in order, so that those of any kind are compared as numbers.
+        ids, at = np.unique(np.array(least + most), return_inverse=True)
+        holder = np.minimum.reduceat(at[: len(rows)][row[order]], cut)
+        recurring = holder < np.maximum.reduceat(at[len(rows) :][row[order]], cut)
+        ids = ids.tolist()
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         listed = codes.tolist()
         for a, who in zip(first[order[cut[recurring]]].tolist(), holder[recurring].tolist(), strict=True):
-            automaton.add_word(tuple(listed[a : a + p.window]), who)
+            automaton.add_word(tuple(listed[a : a + p.window]), ids[who])
         out = []
         if len(automaton):
             automaton.make_automaton()
@@ -147,7 +155,7 @@ def _located(distinct: DataFrame, p: Settings) -> DataFrame:
                 if found is not None:
                     out.append((key[i], d1[i], d2[i], found))
         columns = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(arrow)]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["key", "d1", "d2", "holders"])
 
     def run(batches):
@@ -163,17 +171,17 @@ def _located(distinct: DataFrame, p: Settings) -> DataFrame:
             yield shard(rows)
 
     dealt = distinct.repartition("key").sortWithinPartitions("key", "d1", "d2")
-    return dealt.select("key", "d1", "d2", "least", "most", "windows", "codes").mapInArrow(run, "key long, d1 long, d2 long, holders array<long>")
+    return dealt.select("key", "d1", "d2", "least", "most", "windows", "codes").mapInArrow(run, f"key long, d1 long, d2 long, holders array<{kind.simpleString()}>")
 
 
 def repeated_phrases(docs: DataFrame, p: Settings) -> DataFrame:
-    """(t1, starts): word positions of phrases that a smaller doc_id holds, for each text, as its smallest doc_id holds it."""
+    """(t1, t2, starts): word positions of phrases that a smaller doc_id holds, for each text, as its smallest doc_id holds it."""
     texts = an.exact_copies(docs)
     anchors = stored(_anchors(texts, p))
     # One row a text is enough, the one with the smallest doc_id; its text is shuffled once.
     marks = stored(an.repeated(anchors))
     first = texts.where(F.col("doc_id").isNotNull()).groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
-    wanted = marks.join(first, "t1").withColumnsRenamed({"t1": "w1", "t2": "w2"})
+    wanted = marks.join(first, ["t1", "t2"]).withColumnsRenamed({"t1": "w1", "t2": "w2"})
     segments = stored(_segments(texts.join(wanted, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & (F.col("doc_id") == F.col("least"))), p))
     discard(anchors, marks)
     starts = None
@@ -185,17 +193,17 @@ def repeated_phrases(docs: DataFrame, p: Settings) -> DataFrame:
         more = not last and not crowded.isEmpty()
         small = distinct.join((kinds.where(F.col("kinds") <= p.crowd) if more else kinds).select("key"), "key", "left_semi")
         found = stored(_located(small, p))
-        hits = segments.select("key", "d1", "d2", "t1", "id", "places").join(found, ["key", "d1", "d2"])
+        hits = segments.select("key", "d1", "d2", "t1", "t2", "id", "places").join(found, ["key", "d1", "d2"])
         inner = F.filter(F.transform("holders", lambda who, i: F.when(who < F.col("id"), i)), lambda x: x.isNotNull())
         at = F.flatten(F.transform("places", lambda x: F.transform(inner, lambda i: x + i)))
-        part = stored(hits.select("t1", at.alias("starts")).where(F.size("starts") > 0))
+        part = stored(hits.select("t1", "t2", at.alias("starts")).where(F.size("starts") > 0))
         starts = part if starts is None else starts.unionByName(part)
         cut = stored(_single(segments.join(crowded, "key", "left_semi"), p)) if more else None
         discard(found, distinct, kinds, segments)
         if not more:
             break
         segments = cut
-    return starts.groupBy("t1").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    return starts.groupBy("t1", "t2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def remove_phrases(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
@@ -204,20 +212,19 @@ def remove_phrases(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
     prepare(spark)
     starts = repeated_phrases(docs, p)
     texts = an.exact_copies(docs)
-    known = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least")).join(starts, "t1", "left").withColumnsRenamed({"t1": "w1", "t2": "w2"})
+    known = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least")).join(starts, ["t1", "t2"], "left").withColumnsRenamed({"t1": "w1", "t2": "w2"})
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches):
             data, offsets = text_buffers(batch.column("text"))
             words = Words(data, offsets)
-            ids, least = (pc.fill_null(batch.column(c).cast(pa.int64()), -1).to_numpy() for c in ("doc_id", "least"))
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            known, later = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("known", "later"))
             at = an.lists(pc.fill_null(batch.column("starts"), []))
             gone = np.zeros(len(words.starts), bool)
             for d in np.flatnonzero(known & (words.count >= p.window)).tolist():
                 a, b = words.first[d], words.first[d + 1]
-                if ids[d] > least[d]:
+                if later[d]:
                     gone[a:b] = True
                 elif len(at[d]):
                     gone[a:b] = covered(b - a, at[d], at[d] + p.window)
@@ -232,7 +239,7 @@ def remove_phrases(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
             out = data.copy()
             out[gap] = 32
             bounds = np.r_[0, np.cumsum(keep)][offsets]
-            kept = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out[keep])]).cast(pa.string())
+            kept = pa.Array.from_buffers(pa.large_string(), batch.num_rows, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out[keep])]).cast(pa.string())
             edge = np.diff(np.r_[False, gone, False].astype(np.int8))
             opens, closes = edge[:-1] == 1, edge[1:] == -1
             inner = words.first[:-1][words.doc[1:]][words.doc[1:] != words.doc[:-1]] if len(gone) else np.empty(0, np.int64)
@@ -246,7 +253,7 @@ def remove_phrases(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
             n_removed = np.r_[0, np.cumsum(gone)][words.first]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.count.astype(np.int64)), pa.array(np.diff(n_removed).astype(np.int64)), span_starts, span_ends, kept], ["doc_id", "n_words", "n_removed", "span_starts", "span_ends", "kept"])
 
-    joined = texts.join(known, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("doc_id", "text", "least", "starts")
+    joined = texts.join(known, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select("doc_id", "text", F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("later"), "starts")
     return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, span_starts array<long>, span_ends array<long>, kept string")
 
 

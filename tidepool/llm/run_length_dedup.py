@@ -1,17 +1,20 @@
 """Suffix-array dedup by a run-length index: every byte inside a long string that starts elsewhere too.
 
 1. Exact copies of a text are one text that occurs several times.
-2. Windows of ``length`` bytes meet by their anchors (``anchors``); the stretch of text that holds all
-   windows of one occurrence is a segment, and equal segments are one segment that occurs several times.
+2. Windows of ``least`` bytes meet by their anchors (``anchors``); a segment begins at the first window of an
+   occurrence and ends ``length`` bytes after its last one begins (or with the text), so equal strings of
+   ``length`` bytes lie in segments of one anchor. Equal segments are one segment that occurs several times.
 3. Segments of one anchor come together in a shard. There a suffix array gives the run-compressed
-   Burrows-Wheeler transform; for every end of a run the text position and the length of its match
-   across the run's border are sampled. Between samples a match shortens by one byte a step, so one
-   pass over the text streams its matching statistics, and matches of ``length`` bytes and more are marked.
+   Burrows-Wheeler transform, with the length of the match across each border of two runs sampled; the array
+   itself is dropped. All segments then stream through the runs side by side, a byte a step: where a row lies at
+   an end of its run its match is read from the sample, elsewhere it is one byte shorter than the step before.
+   Besides, windows of ``least`` bytes that are equal and lie alike to their anchor are marked as shared.
 4. An anchor with very many different segments is cut into blocks of windows (keyed by what the
    block's windows have in common), in the end into single windows, so that no shard grows with it.
 
 Texts are UTF-8 bytes; null counts as empty. Matches never cross documents. All rows of a text that
-occurs twice lose everything if it has ``length`` bytes. Null doc_ids are carried through.
+occurs twice lose everything if it has ``length`` bytes. Null doc_ids are carried through, extra columns are not
+looked at, an empty table gives no rows. A very long text is held whole by the task that reads it.
 """
 
 from __future__ import annotations
@@ -26,17 +29,20 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import anchors as an
 from tidepool.llm.runtime import discard, prepare, stored
-from tidepool.llm.textbuf import U64, byte_prefix, covered, mix, rolling, slices, span, text_buffers
-
+from tidepool.llm.textbuf import U64, byte_prefix, covered, duplicated, mix, rolling, slices, span, text_buffers
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``length`` bytes make a repeat; ``gram`` bytes an anchor. A shard takes about ``shard_bytes`` and, of one
-    anchor, up to ``crowd`` different segments; an anchor with more is cut into blocks of ``block_windows``."""
+    """``length`` bytes make a repeat that goes, ``least`` bytes one that is only counted; ``gram`` bytes make an anchor.
+
+    A shard takes about ``shard_bytes`` and, of one anchor, up to ``crowd`` different segments; an anchor with more
+    is cut into blocks of ``block_windows``.
+    """
 
     length: int = 400
-    gram: int = 160
+    least: int = 240
+    gram: int = 96
     shard_bytes: int = 1 << 20
     crowd: int = 4000
     block_windows: int = 32
@@ -49,20 +55,40 @@ _SYMBOLS = 7  # nine-bit symbols in the first sort key
 class RunLengthIndex:
     """Run-compressed transform of segments joined by separators.
 
-    ``symbols`` and ``run_starts`` are the runs; ``samples`` the text positions at run ends and starts, ``matches`` their match lengths.
+    Run i holds ``symbols[i]`` from row ``run_starts[i]`` on; ``matches[i]`` is the match of that row's text with
+    the row above. ``entries`` are the rows at which the segments begin.
     """
 
     n: int
     symbols: np.ndarray
     run_starts: np.ndarray
-    samples: np.ndarray
     matches: np.ndarray
-
-    def matching_statistics(self) -> np.ndarray:
-        """For each text position the longest match that starts at another one, up to its segment's end."""
-        reach = np.zeros(self.n, np.int64)
-        np.maximum.at(reach, self.samples, self.matches + self.samples)
-        return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0)
+    entries: np.ndarray
+
+    def matching_statistics(self, windows: np.ndarray) -> np.ndarray:
+        """For the first ``windows[i]`` bytes of each segment i in turn: the longest match that starts at another place, up to its segment's end."""
+        sizes = np.diff(np.r_[self.run_starts, self.n])
+        by_symbol = np.argsort(self.symbols, kind="stable")
+        image = np.r_[0, np.cumsum(sizes[by_symbol])][:-1]  # the first row whose text begins with a run's symbol, run by run
+        below = np.r_[self.matches[1:], 0]
+        base = np.r_[0, np.cumsum(windows)]
+        out = np.zeros(base[-1], np.int64)
+        lanes = np.argsort(-windows, kind="stable")
+        reach = np.searchsorted(-windows[lanes], -np.arange(1, int(windows.max(initial=0)) + 1), "right").tolist()
+        rows = self.entries[lanes]
+        run = np.searchsorted(self.run_starts, rows, "right") - 1
+        up, down = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
+        for step, many in enumerate(reach):
+            if step:  # to the row of the text that begins one byte later
+                rows, up, down = rows[:many], up[:many], down[:many]
+                at = np.searchsorted(image, rows, "right") - 1
+                run = by_symbol[at]
+                rows = self.run_starts[run] + (rows - image[at])
+            inner = rows - self.run_starts[run]
+            up = np.where(inner == 0, self.matches[run], up - 1)
+            down = np.where(inner == sizes[run] - 1, below[run], down - 1)
+            out[base[lanes[:many]] + step] = np.maximum(up, down)
+        return out
 
 
 def suffix_ranks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -71,44 +97,44 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[t
     ``text`` has symbols from 1 on and 0 at the separators ``ends``, each of which is smaller than all others after it.
     """
     n = len(text)
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    padded = np.r_[text, np.zeros(_SYMBOLS, text.dtype)].astype(U64)
-    key = np.zeros(n, U64)
-    alive = np.ones(n, bool)
-    for j in range(_SYMBOLS):
-        key = (key << U64(9)) | np.where(alive, padded[j : j + n], U64(0))
-        alive &= padded[j : j + n] > 0
-    order = np.argsort(key, kind="stable")
+    to_end = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n)
+    whole = np.r_[text, np.zeros(_SYMBOLS, text.dtype)].astype(U64)
+    two = (whole[:-1] << U64(9)) | whole[1:]
+    four = (two[:-2] << U64(18)) | two[2:]
+    key = (four[:n] << U64(27)) | ((two[4 : n + 4] << U64(9)) | whole[6 : n + 6])
+    short = np.minimum(to_end, _SYMBOLS)
+    key &= ~((U64(1) << (U64(9) * (U64(_SYMBOLS) - short.astype(U64)))) - U64(1))
+    order = np.argsort(key)
     sorted_key = key[order]
-    fresh = np.ones(n, bool)
-    fresh[1:] = (sorted_key[1:] != sorted_key[:-1]) | (to_end[order[1:]] < _SYMBOLS)
-    rank = np.empty(n, np.int64)
+    equal = np.r_[False, sorted_key[1:] == sorted_key[:-1]]
+    # Texts that end within the key are in the order of their separators.
+    tied = np.flatnonzero((equal | np.r_[equal[1:], False]) & (to_end[order] < _SYMBOLS))
+    order[tied] = order[tied][np.lexsort((order[tied], sorted_key[tied]))]
+    fresh = ~equal | (to_end[order] < _SYMBOLS)
+    rank = np.empty(n, np.int32)
     group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank[order] = group
     levels = [(_SYMBOLS, rank)]
     length = _SYMBOLS
-    alone = fresh & np.r_[fresh[1:], True]
-    while not alone.all():
-        open_at = np.flatnonzero(~alone)
-        pos = order[open_at]
-        second = rank[np.minimum(pos + length, n - 1)]
-        again = np.lexsort((second, group[open_at]))
-        pos, second, own = pos[again], second[again], group[open_at]
-        order[open_at] = pos
-        split = np.ones(len(pos), bool)
-        split[1:] = (own[1:] != own[:-1]) | (second[1:] != second[:-1])
-        fresh[open_at] = split
-        group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    open_at = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))
+    while len(open_at):
+        pos, own = order[open_at], group[open_at]
+        both = (own.astype(np.int64) << 32) | rank[np.minimum(pos + length, n - 1)]
+        again = np.argsort(both)
+        both = both[again]
+        order[open_at] = pos = pos[again]
+        split = np.r_[True, both[1:] != both[:-1]]
+        group[open_at] = np.maximum.accumulate(np.where(split, open_at, 0))
         rank = rank.copy()
         rank[pos] = group[open_at]
         length *= 2
         levels.append((length, rank))
-        alone = fresh & np.r_[fresh[1:], True]
+        open_at = open_at[~(split & np.r_[split[1:], True])]
     return order, levels
 
 
-def build_index(data: np.ndarray, offsets: np.ndarray) -> tuple[RunLengthIndex, np.ndarray]:
-    """(index, where each segment starts in its text) of segments given as bytes and bounds."""
+def build_index(data: np.ndarray, offsets: np.ndarray) -> RunLengthIndex:
+    """Index of segments given as bytes and bounds."""
     count = len(offsets) - 1
     starts = offsets[:-1] + np.arange(count)
     ends = offsets[1:] + np.arange(count)
@@ -120,77 +146,81 @@ def build_index(data: np.ndarray, offsets: np.ndarray) -> tuple[RunLengthIndex,
     before = text[order - 1]
     # Separators differ from one another, so each is a run of its own.
     border = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0)) + 1
-    x, y = order[border - 1].copy(), order[border].copy()
-    match = np.zeros(len(border), np.int64)
+    x, y = order[border - 1].astype(np.int32), order[border].astype(np.int32)
+    match = np.zeros(len(border), np.int32)
+    last = np.int32(len(text) - 1)
     for length, rank in reversed(levels):
-        same = rank[np.minimum(x, len(text) - 1)] == rank[np.minimum(y, len(text) - 1)]
-        same &= (x < len(text)) & (y < len(text))
-        match += same * length
-        x += same * length
-        y += same * length
+        same = (rank[np.minimum(x, last)] == rank[np.minimum(y, last)]) & (x <= last) & (y <= last)
+        step = same * np.int32(length)
+        match += step
+        x += step
+        y += step
+    open_at = np.arange(len(border))
     for _ in range(_SYMBOLS - 1):
-        ok = (x < len(text)) & (y < len(text))
-        a, b = text[np.minimum(x, len(text) - 1)], text[np.minimum(y, len(text) - 1)]
-        same = ok & (a == b) & (a > 0)
-        match += same
-        x += same
-        y += same
-    run_starts = np.r_[0, border] if len(order) else border
-    samples = np.concatenate([order[border], order[border - 1]])
-    return RunLengthIndex(len(text), before[run_starts], run_starts, samples, np.concatenate([match, match])), starts
+        a, b = text[np.minimum(x[open_at], last)], text[np.minimum(y[open_at], last)]
+        open_at = open_at[(a == b) & (a > 0) & (x[open_at] <= last) & (y[open_at] <= last)]
+        match[open_at] += 1
+        x[open_at] += 1
+        y[open_at] += 1
+    first = np.flatnonzero(before == 0)
+    entries = np.empty(count, np.int64)
+    entries[np.searchsorted(starts, order[first])] = first
+    run_starts = np.r_[0, border]
+    return RunLengthIndex(len(text), before[run_starts], run_starts, np.r_[0, match].astype(np.int64), entries)
 
 
 def _anchors(texts: DataFrame, p: Settings) -> DataFrame:
     def run(batches):
         for batch in slices(batches, limit=2 << 20):
             data, offsets = text_buffers(batch.column("text"))
-            if len(data) < p.length:
+            if len(data) < p.least:
                 continue
-            doc, anchor, *_ = an.occurrences(rolling(byte_prefix(data), p.gram), p.gram, p.length, offsets)
+            doc, anchor, *_ = an.occurrences(rolling(byte_prefix(data), p.gram), p.gram, p.least, offsets)
             order = np.lexsort((anchor, doc))
             doc, anchor = doc[order], anchor[order]
             fresh = np.ones(len(doc), bool)
             fresh[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
             first = np.flatnonzero(fresh)
             multi = np.diff(np.r_[first, len(doc)]) > 1
-            yield pa.RecordBatch.from_arrays([batch.column("t1").take(pa.array(doc[first])), pa.array(anchor[first].view(np.int64)), pa.array(multi)], ["t1", "anchor", "multi"])
+            owner = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([batch.column("t1").take(owner), batch.column("t2").take(owner), pa.array(anchor[first].view(np.int64)), pa.array(multi)], ["t1", "t2", "anchor", "multi"])
 
-    return texts.select("t1", "text").mapInArrow(run, "t1 long, anchor long, multi boolean")
+    return texts.select("t1", "t2", "text").mapInArrow(run, "t1 long, t2 long, anchor long, multi boolean")
 
 
-_SEGMENT = "key long, d1 long, d2 long, t1 long, places array<long>, windows long, anchor_at long, bytes binary"
+_SEGMENT = "key long, d1 long, d2 long, t1 long, t2 long, places array<long>, windows long, anchor_at long, bytes binary"
 
 
 def _segments(texts: DataFrame, p: Settings) -> DataFrame:
-    """Segments of every repeated anchor of ``texts`` (t1, text, anchors); ``places`` are the byte positions in the text at which it begins."""
+    """Segments of every repeated anchor of ``texts`` (t1, t2, text, anchors); ``places`` are the byte positions in the text at which it begins."""
 
     def run(batches):
         for batch in slices(batches, limit=2 << 20):
             data, offsets = text_buffers(batch.column("text"))
             pre = byte_prefix(data)
-            doc, anchor, at, first, last = an.occurrences(rolling(pre, p.gram), p.gram, p.length, offsets)
+            doc, anchor, at, first, last = an.occurrences(rolling(pre, p.gram), p.gram, p.least, offsets)
             hit = an.members(anchor.view(np.int64), an.lists(batch.column("anchors")), doc, len(offsets) - 1)
             doc, anchor, at, first, last = doc[hit], anchor[hit], at[hit], first[hit], last[hit]
-            d1, d2 = _digests(p.length, pre, first, last, at)
+            end = np.minimum(last + p.length, offsets[doc + 1])
+            d1, d2 = _digests(pre, first, end, at)
             lead, order, bounds = an.once_each(doc, anchor, d1, d2)
-            places = an.place_lists(first - offsets[doc], order, bounds)
-            yield _segment_batch(p.length, batch.column("t1").take(pa.array(doc[lead])), anchor[lead], d1[lead], d2[lead], places, data, first[lead], last[lead], at[lead])
+            places, owner = an.place_lists(first - offsets[doc], order, bounds), pa.array(doc[lead])
+            yield _segment_batch(batch.column("t1").take(owner), batch.column("t2").take(owner), anchor[lead], d1[lead], d2[lead], places, data, first[lead], last[lead], end[lead], at[lead])
 
-    return texts.select("t1", "text", "anchors").mapInArrow(run, _SEGMENT)
+    return texts.select("t1", "t2", "text", "anchors").mapInArrow(run, _SEGMENT)
 
 
-def _digests(length, pre, first, last, at):
+def _digests(pre, first, end, at):
     """128 bits that stand for a segment's bytes and for where its anchor lies."""
-    end = last + length
     d1 = span(pre, first, end)
     return d1, mix(span(pre, (first + end) // 2, end) ^ mix((at - first).astype(U64) + U64(17)) ^ mix(d1 + U64(5)))
 
 
-def _segment_batch(length, t1, key, d1, d2, places, data, first, last, at):
-    raw, end = data.tobytes(), last + length
+def _segment_batch(t1, t2, key, d1, d2, places, data, first, last, end, at):
+    raw = data.tobytes()
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), t1, places, pa.array(last - first + 1), pa.array(at - first), pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
-        ["key", "d1", "d2", "t1", "places", "windows", "anchor_at", "bytes"],
+        [pa.array(key.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), t1, t2, places, pa.array(last - first + 1), pa.array(at - first), pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
+        ["key", "d1", "d2", "t1", "t2", "places", "windows", "anchor_at", "bytes"],
     )
 
 
@@ -210,64 +240,77 @@ def _blocks(segments: DataFrame, width: int, p: Settings) -> DataFrame:
             block = top[row] - (np.arange(len(row)) - np.r_[0, np.cumsum(top - bottom + 1)][row])
             far, near = np.minimum(high[row], block * width + width - 1), np.maximum(low[row], block * width)
             anchor = offsets[row] + lead[row]
-            core = span(pre, anchor - block * width, anchor - (block * width + width - 1) + p.length)
+            core = span(pre, anchor - block * width, anchor - (block * width + width - 1) + p.least)
             made = mix(core ^ mix(key[row].view(U64) + block.astype(U64)))
             first, last = anchor - far, anchor - near
             moved = [begins[r] + f for r, f in zip(row.tolist(), (first - offsets[row]).tolist(), strict=True)]
             places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in moved])].astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int64), *moved])))
-            d1, d2 = _digests(p.length, pre, first, last, anchor)
-            yield _segment_batch(p.length, batch.column("t1").take(pa.array(row)), made, d1, d2, places, data, first, last, anchor)
+            end, owner = np.minimum(last + p.length, offsets[row + 1]), pa.array(row)
+            d1, d2 = _digests(pre, first, end, anchor)
+            yield _segment_batch(batch.column("t1").take(owner), batch.column("t2").take(owner), made, d1, d2, places, data, first, last, end, anchor)
 
     return segments.mapInArrow(run, _SEGMENT)
 
 
+_RANGES = ("starts", "ends", "shared_starts", "shared_ends")
+
+
+def _joined(marked: np.ndarray, row: np.ndarray, place: np.ndarray, size: int, wanted: np.ndarray) -> list[pa.ListArray]:
+    """(starts, ends) in each of the rows ``wanted``: ranges that strings of ``size`` bytes cover where they begin at ``marked`` entries."""
+    at = np.flatnonzero(marked)
+    cut = np.flatnonzero((np.diff(row[at]) > 0) | (np.diff(at) > size)) + 1
+    opens, closes = (at[np.r_[0, cut]], at[np.r_[cut, len(at)] - 1]) if len(at) else (at, at)
+    bounds = pa.array(np.r_[np.searchsorted(row[opens], wanted), len(opens)].astype(np.int32))
+    return [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (place[opens], place[closes] + size)]
+
+
 def _marked(distinct: DataFrame, p: Settings) -> DataFrame:
-    """(key, d1, d2, starts, ends): the ranges of each distinct segment that repeated windows cover."""
+    """(key, d1, d2, starts, ends, shared_starts, shared_ends): the ranges of each distinct segment that repeats of ``length`` and of ``least`` bytes cover."""
 
     def shard(rows: list[tuple]):
-        key, d1, d2, times, windows, parts = zip(*rows, strict=True)
-        offsets = np.r_[0, np.cumsum([len(x) for x in parts])]
-        windows, times = np.array(windows), np.array(times)
-        index, at = build_index(np.frombuffer(b"".join(parts), np.uint8), offsets)
-        stats = index.matching_statistics()
-        out = []
-        for i in range(len(rows)):
-            own = np.arange(windows[i]) if times[i] > 1 else np.flatnonzero(stats[at[i] : at[i] + windows[i]] >= p.length)
-            if len(own):
-                cut = np.flatnonzero(np.diff(own) > p.length)
-                out.append((key[i], d1[i], d2[i], own[np.r_[0, cut + 1]].tolist(), (own[np.r_[cut, len(own) - 1]] + p.length).tolist()))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["key", "d1", "d2", "starts", "ends"])
+        key, d1, d2, times, windows, anchor_at, parts = zip(*rows, strict=True)
+        sizes, windows = np.array([len(x) for x in parts]), np.array(windows)
+        data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum(sizes)]
+        stats = build_index(data, offsets).matching_statistics(windows)
+        row = np.repeat(np.arange(len(rows)), windows)
+        place = np.arange(len(row)) - np.r_[0, np.cumsum(windows)][row]
+        again = np.array(times)[row] > 1
+        first = offsets[row] + place
+        alike = span(byte_prefix(data), first, first + p.least) ^ mix(np.array(key)[row].view(U64) + (np.array(anchor_at)[row] - place).astype(U64))
+        shared = again | duplicated(alike)
+        told = np.flatnonzero(np.logical_or.reduceat(shared, np.r_[0, np.cumsum(windows)[:-1]]))
+        gone = np.where(again, sizes[row] - place, stats) >= p.length
+        lists = [*_joined(gone, row, place, p.length, told), *_joined(shared, row, place, p.least, told)]
+        return pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.int64)[told]) for x in (key, d1, d2)), *lists], ["key", "d1", "d2", *_RANGES])
 
     def run(batches):
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "times", "windows", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "times", "windows", "anchor_at", "bytes")), strict=True):
                 if size >= p.shard_bytes and rows[-1][0] != row[0]:
                     yield shard(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if rows:
             yield shard(rows)
 
     dealt = distinct.repartition("key").sortWithinPartitions("key", "d1", "d2")
-    return dealt.select("key", "d1", "d2", "times", "windows", "bytes").mapInArrow(run, "key long, d1 long, d2 long, starts array<long>, ends array<long>")
+    return dealt.select("key", "d1", "d2", "times", "windows", "anchor_at", "bytes").mapInArrow(run, "key long, d1 long, d2 long" + "".join(f", {c} array<long>" for c in _RANGES))
 
 
 def _distinct(segments: DataFrame) -> DataFrame:
-    return segments.groupBy("key", "d1", "d2").agg(F.sum(F.size("places")).alias("times"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes"))
+    return segments.groupBy("key", "d1", "d2").agg(F.sum(F.size("places")).alias("times"), *(F.first(c).alias(c) for c in ("windows", "anchor_at", "bytes")))
 
 
 def repeated_ranges(docs: DataFrame, p: Settings) -> DataFrame:
-    """(t1, starts, ends): byte ranges that repeated strings cover, of each different text that has any. They may overlap."""
+    """(t1, t2, starts, ends, shared_starts, shared_ends) of each different text with any: byte ranges that repeats cover. They may overlap."""
     texts = an.exact_copies(docs)
     anchors = stored(_anchors(texts, p))
     marks = stored(an.repeated(anchors))
     # One row a text is enough, that with the least doc_id; equal rows only repeat it. Its text is shuffled once.
     first = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
-    wanted = marks.join(first, "t1").withColumnsRenamed({"t1": "w1", "t2": "w2"}).hint("merge")
+    wanted = marks.join(first, ["t1", "t2"]).withColumnsRenamed({"t1": "w1", "t2": "w2"}).hint("merge")
     least = F.coalesce(F.col("doc_id") == F.col("least"), F.col("least").isNull())
     segments = stored(_segments(texts.join(wanted, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & least), p))
     discard(anchors, marks)
@@ -281,21 +324,25 @@ def repeated_ranges(docs: DataFrame, p: Settings) -> DataFrame:
         small = distinct.join((kinds.where(F.col("kinds") <= p.crowd) if more else kinds).select("key"), "key", "left_semi")
         found = stored(_marked(small, p))
         spread = lambda c: F.flatten(F.transform("places", lambda x: F.transform(c, lambda y: x + y))).alias(c)
-        part = stored(segments.select("key", "d1", "d2", "t1", "places").join(found, ["key", "d1", "d2"]).select("t1", spread("starts"), spread("ends")))
+        part = stored(segments.select("key", "d1", "d2", "t1", "t2", "places").join(found, ["key", "d1", "d2"]).select("t1", "t2", *map(spread, _RANGES)))
         ranges = part if ranges is None else ranges.unionByName(part)
         cut = stored(_blocks(segments.join(crowded, "key", "left_semi"), width, p)) if more else None
         discard(found, distinct, kinds, segments)
         if not more:
             break
         segments = cut
-    return ranges.groupBy("t1").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    return ranges.groupBy("t1", "t2").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in _RANGES))
 
 
 def remove_repeats(docs: DataFrame, p: Settings = Settings(), carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
-    """doc_id, the columns ``carry``, n_bytes, span_starts, span_ends (maximal removed runs), kept of every row of ``docs``.
+    """doc_id, the columns ``carry``, n_bytes, span_starts, span_ends (maximal removed runs), n_shared, kept of every row of ``docs``.
 
-    ``kept`` are the remaining bytes, or with ``as_text`` the text in them without the halves of characters cut at a run's edge.
+    ``n_shared`` are the bytes that strings of ``least`` bytes cover which start elsewhere too: passages that are too
+    short to go count there. ``kept`` are the remaining bytes, or with ``as_text`` the text in them without the
+    halves of characters cut at a run's edge.
     """
+    if not p.gram <= p.least <= p.length:
+        raise ValueError("gram <= least <= length must hold")
     spark = docs.sparkSession
     prepare(spark)
     ranges = repeated_ranges(docs, p)
@@ -306,8 +353,13 @@ def remove_repeats(docs: DataFrame, p: Settings = Settings(), carry: tuple[str,
     def run(batches):
         for batch in slices(batches):
             data, offsets = text_buffers(batch.column("text"))
-            starts, ends, copies = an.lists(pc.fill_null(batch.column("starts"), [])), an.lists(pc.fill_null(batch.column("ends"), [])), batch.column("copies").to_numpy()
+            starts, ends, near, near_ends = (an.lists(pc.fill_null(batch.column(c), [])) for c in _RANGES)
+            copies = batch.column("copies").to_numpy()
             kept, run_starts, run_ends = [], [], []
+            sizes = np.diff(offsets)
+            shared = np.where((copies > 1) & (sizes >= p.least), sizes, 0)
+            for d in np.flatnonzero(copies == 1).tolist():
+                shared[d] = covered(int(sizes[d]), near[d], near_ends[d]).sum() if len(near[d]) else 0
             for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 n = b - a
                 if copies[d] > 1 and n >= p.length:
@@ -325,9 +377,9 @@ def remove_repeats(docs: DataFrame, p: Settings = Settings(), carry: tuple[str,
                 kept.append(data[a:b][~gone].tobytes())
             whole = pa.list_(pa.int64())
             left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.diff(offsets)), pa.array(run_starts, whole), pa.array(run_ends, whole), left], [*columns, "n_bytes", "span_starts", "span_ends", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sizes), pa.array(run_starts, whole), pa.array(run_ends, whole), pa.array(shared), left], [*columns, "n_bytes", "span_starts", "span_ends", "n_shared", "kept"])
 
-    known = copies.join(ranges, "t1", "left").withColumnsRenamed({"t1": "w1", "t2": "w2"}).hint("merge")
-    joined = texts.join(known, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select(*columns, "text", "copies", "starts", "ends")
+    known = copies.join(ranges, ["t1", "t2"], "left").withColumnsRenamed({"t1": "w1", "t2": "w2"}).hint("merge")
+    joined = texts.join(known, (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2"))).select(*columns, "text", "copies", *_RANGES)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return joined.mapInArrow(run, f"{kinds}, n_bytes long, span_starts array<long>, span_ends array<long>, kept {'string' if as_text else 'binary'}")
+    return joined.mapInArrow(run, f"{kinds}, n_bytes long, span_starts array<long>, span_ends array<long>, n_shared long, kept {'string' if as_text else 'binary'}")
