@@ -35,6 +35,13 @@ def test_small_memo(library, monkeypatch):
     assert op.unpack(automaton.encode(text * 3)) == library.encode(text * 3, add_special_tokens=False).ids
 
 
+def test_long_words(library):
+    automaton = op.compile_automaton(op.read_vocabulary(PATH))
+    rnd = random.Random(8)
+    for text in ("".join(rnd.choice("qzxjk") for _ in range(1 << 20)), "ab" * 300_000, "=" * 500_000):
+        assert op.unpack(automaton.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_query(spark, library):
     rows = awkward() + shared(5)
     got = op.bpe_round_trip(frame(spark, rows), PATH).select("doc_id", F.hex("ids").alias("ids"), "decoded").collect()

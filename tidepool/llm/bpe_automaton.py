@@ -9,7 +9,7 @@ All arcs of one label lead to one state, hence the tables stay small: per label
 its parent (the state it was copied from, and when) and the arcs it lost (and when). An arc ``c`` is
 present where its left part ``a`` was when ``c`` was made. ``Automaton.step`` reads these tables.
 
-Null texts count as empty and give no ids and the empty text. Special tokens in a text become their
+Null texts count as empty and give no ids and the empty text. A word takes time in proportion to its length, however long. Special tokens in a text become their
 own ids, as the vocabulary file says. Repeated rows are encoded one by one.
 """
 
@@ -29,7 +29,7 @@ from tidepool.llm.textbuf import slices
 #: Fixed value of byte-level vocabularies: the split of a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words whose ids one worker remembers, twice over.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
 LONG_WORD = 64
 NEVER = 1 << 60
 
@@ -108,6 +108,7 @@ class Automaton:
         self.shorter = [-1] * most
         for label, t in self.tokens.items():
             self.shorter[t] = next((s for i in range(len(label) - 1, 0, -1) if (s := self.tokens.get(label[:i], -1)) >= 0), -1)
+        self.longest = max(self.size, default=0)
         self.words = Memo(self)
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
@@ -143,14 +144,14 @@ class Automaton:
         whole = self.tokens.get(word)
         if whole is not None:
             return (whole,)
-        n, root, size, shorter, memo = len(word), self.root, self.size, self.shorter, self.memo
+        n, root, size, shorter, memo, longest = len(word), self.root, self.size, self.shorter, self.memo, self.longest
         out: list[int] = []
         dead = set()
         at, label = 0, -1
         while at < n:
             if label < 0:
                 node = root
-                for byte in word[at:]:
+                for byte in word[at : at + longest]:
                     after = node.get(byte)
                     if after is None:
                         break
