@@ -25,7 +25,7 @@ def corpus(seed, rate):
     rnd = random.Random(seed)
     vocabulary = ["".join(rnd.choice("abcdefé") for _ in range(rnd.randint(1, 6))) for _ in range(60)]
     prose = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
-    items = [(i, prose(rnd.randint(9, 30)).capitalize() + ".") for i in range(12)] + [(50, "too short"), (51, None), (52, "")]
+    items = [(i, prose(rnd.randint(9, 30)).capitalize() + ".") for i in range(12)] + [(50, "Too  short"), (51, None), (52, ""), (53, "ab"), (54, "é!"), (55, "too short")]
     docs = []
     for i in range(60):
         text = prose(rnd.randint(0, 40))
@@ -40,16 +40,25 @@ def corpus(seed, rate):
     return docs, items
 
 
+def leaks(items, text):
+    """Fewest edits of each item that leaks into a text."""
+    out = {}
+    for i, t in items:
+        item, whole = plain(t), plain(text)
+        if len(item) >= op.LEAST and (n := least_edits(item, whole)) <= int(op.RATE * len(item)):
+            out[i] = n
+        if 0 < len(item) < op.LEAST and any(whole.startswith(item, k) and not whole[max(0, k - 1) : k].isalnum() and not whole[k + len(item) :][:1].isalnum() for k in range(len(whole))):
+            out[i] = 0
+    return out
+
+
 def test_equals_brute_force(spark):
     docs, items = corpus(1, 0.12)
     docs += [r for r in awkward() if r[1] is None or len(r[1]) < 1000]
     benchmark = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
-    want = {}
-    for r in docs:
-        for i, text in items:
-            item = plain(text)
-            if len(item) >= op.LEAST and (n := least_edits(item, plain(r[1]))) <= int(op.RATE * len(item)):
-                want[r[0], i] = n
+    docs += [(2000, "It is TOO\nshort.", None, None, None), (2001, "xtoo short, ab", None, None, None), (2002, "cabé! ab", None, None, None), (2003, " é!", None, None, None)]
+    want = {(r[0], i): n for r in docs for i, n in leaks(items, r[1]).items()}
+    assert {i for _, i in want} >= {50, 53, 54, 55}
     for item_bytes in (op.ITEM_BYTES, 400):
         got = op.contaminated(frame(spark, docs), benchmark, item_bytes).collect()
         assert {(r.doc_id, r.item_id): r.edits for r in got} == want and len(got) == len(want)
@@ -69,6 +78,13 @@ def test_align():
         assert edits == least_edits(item, text) and 0 <= end <= len(text)
 
 
+def test_item_ids_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "so this is a line of the benchmark, word for word")], "doc_id long, text string")
+    for kind in ("short", "decimal(10,0)", "string"):
+        items = spark.sql(f"SELECT CAST(7 AS {kind}) AS item_id, 'This is a line of the benchmark, word for word' AS text")
+        assert [str(r.item_id) for r in op.contaminated(docs, items).collect()] == ["7"]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, awkward())

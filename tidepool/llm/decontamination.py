@@ -6,17 +6,25 @@ n + 1 - q - k q of the item's q-grams with the item (the q-gram lemma), all on d
 most 2 k. So shared q-grams are counted in bands of diagonals that overlap by half, bands below the bound go,
 and a banded alignment decides on the rest.
 
+Items with fewer than LEAST characters allow no edit: an automaton finds them whole, with no letter or digit next
+to them on either side.
+
 The items' q-grams are sent to all tasks, ITEM_BYTES of item text at most; a larger benchmark is gone through
-in several passes over the documents. Items with fewer than LEAST characters are too short to be told from chance
-and aren't looked for; null texts are empty, null ids are carried through, repeated rows give repeated results.
+in several passes over the documents. Null and empty texts and items hold nothing and are found nowhere, null ids are
+carried through, repeated rows give repeated results, further columns don't matter, and without documents or items there
+are no rows. Of equally good stretches the first is reported. A very long text is held whole by the task that reads it.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidepool.llm.runtime import prepare
 from tidepool.llm.textbuf import U64, mix, prefix, rolling, slices, text_buffers
@@ -84,6 +92,34 @@ class Items:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.grams >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    @cached_property
+    def short(self):
+        """Automaton of the items under LEAST characters, None without any. Built where it is used."""
+        words: dict[str, list[int]] = {}
+        for i in np.flatnonzero((self.size > 0) & (self.size < LEAST)).tolist():
+            words.setdefault(self.text(i).tobytes().decode("utf-32-le"), []).append(i)
+        if not words:
+            return None
+        automaton = ahocorasick.Automaton()
+        for word, items in words.items():
+            automaton.add_word(word, (len(word), items))
+        automaton.make_automaton()
+        return automaton
+
+    def short_hits(self, data: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(edits, start, end) of the first place of each short item in each document."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if self.short is None:
+            return out
+        for doc, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            text = data[a:b].tobytes().decode("utf-32-le")
+            for end, (size, items) in self.short.iter(text) if text else ():
+                start, end = end + 1 - size, end + 1
+                if not (text[start - 1 : start].isalnum() or text[end : end + 1].isalnum()):
+                    for item in items:
+                        out.setdefault((doc, item), (0, start, end))
+        return out
+
     def text(self, item: int) -> np.ndarray:
         return self.data[self.offsets[item] : self.offsets[item + 1]]
 
@@ -143,7 +179,7 @@ def align(item: np.ndarray, text: np.ndarray, first: int, last: int) -> tuple[in
 
 def _leaks(items: Items, data: np.ndarray, offsets: np.ndarray):
     """(document, item, start, end, edits): of each document and item the stretch with the fewest edits; characters of the normalised text."""
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    best = items.short_hits(data, offsets)
     for doc, item, first, last in items.bands(data, offsets):
         if best.get((doc, item), (1,))[0] == 0:
             continue
@@ -163,7 +199,7 @@ def _leaks(items: Items, data: np.ndarray, offsets: np.ndarray):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, item_id, start, end, edits: every item that leaks into a document, with the best stretch as character positions of its text.
+    """doc_id, item_id, item_size, start, end, edits: every item that leaks into a document, with the best stretch as character positions of its text.
 
     ``carry`` names further columns of ``docs`` to keep.
     """
@@ -174,7 +210,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_B
     columns = ["doc_id", *carry]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     item_kind = benchmark.schema["item_id"].dataType
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind.simpleString()]
+    item_type = to_arrow_type(item_kind)
     out = None
     for n in range(passes):
         part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == n)
@@ -190,8 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_B
                 start = [int(at[offsets[d] + s]) for d, _, s, _, _ in found]
                 end = [int(at[offsets[d] + e - 1]) + 1 for d, _, _, e, _ in found]
                 rows = [batch.column(c).take(pa.array(doc)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array([items.ids[f[1]] for f in found], item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([f[4] for f in found], pa.int64())], [*columns, "item_id", "start", "end", "edits"])
+                yield pa.RecordBatch.from_arrays([*rows, pa.array([items.ids[f[1]] for f in found], item_type), pa.array([int(items.size[f[1]]) for f in found], pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array([f[4] for f in found], pa.int64())], [*columns, "item_id", "item_size", "start", "end", "edits"])
 
-        leaks = docs.select(*columns, "text").mapInArrow(run, f"{kinds}, item_id {item_kind.simpleString()}, start long, end long, edits long")
+        leaks = docs.select(*columns, "text").mapInArrow(run, f"{kinds}, item_id {item_kind.simpleString()}, item_size long, start long, end long, edits long")
         out = leaks if out is None else out.unionByName(leaks)
     return out
