@@ -1,12 +1,12 @@
 """Language ID by error-correcting output codes.
 
-Each language has a codeword; one binary classifier over hashed byte n-grams is learned for each bit.
+Each language has a codeword; one binary classifier over hashed character n-grams is learned for each bit.
 A text's margins are held against every codeword: the one with the least loss, bits weighted by how
 well their classifier separates the sample, is the answer, and a small lead over the next is flagged.
 
 Texts that are null or have no letter are ``und`` with score 0, as are all texts if nothing was
 learned. With one known language the answer is that one, score 1. A null ``doc_id`` is carried through
-and never learned from; repeated rows are judged one by one.
+and never learned from; repeated rows are judged one by one, further columns don't matter.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.ngrams import Buckets
 from tidepool.llm.runtime import prepare
 from tidepool.llm.textbuf import slices, text_buffers
 
-#: Documents learned from at most, chosen by a hash of doc_id, the same number for each language.
-TRAIN_ROWS = 5000
+#: Documents learned from at most, chosen by a hash of doc_id, the same number for each language (one at least).
+TRAIN_ROWS = 6000
 BUCKETS = Buckets((1, 2, 3), 14, words=False)
 EPOCHS, RATE, SCALE, AMBIGUOUS = 12, 0.5, 40.0, 0.2
 _LETTER = regex.compile(r"\p{L}")
@@ -39,7 +39,9 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     bits = 15 + 2 * int(np.ceil(np.log2(n)))
 
     def apart(code):
-        return min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        agree = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(agree, -bits)
+        return -agree.max()
 
     return max((rng.choice(np.array([-1, 1], np.int8), (n, bits)) for _ in range(50)), key=apart)
 
@@ -93,27 +95,28 @@ def fit_codes(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed:
     return Codes(languages, code, weight, bias, trust * bits / trust.sum())
 
 
-def train(docs: DataFrame, where: Column | None = None, train_rows: int = TRAIN_ROWS, languages: int = 200) -> Codes:
-    """Learn from ``lang`` of rows that ``where`` admits: evenly from up to ``languages`` languages, the most frequent ones."""
-    prepare(docs.sparkSession)
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+def train(docs: DataFrame, where: Column | None = None, train_rows: int = TRAIN_ROWS) -> Codes:
+    """Learn from ``lang`` of rows that ``where`` admits: evenly from all languages there are."""
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(where) if where is not None else rows
-    known = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    known = rows.groupBy("lang").count().collect()  # a row a language
     if not known:
         return fit_codes([], [])
     quota = max(1, train_rows // len(known))
-    ids = rows.select("doc_id", "lang")
-    chosen = None
-    for lang in known:  # one bounded top-k a language
-        part = ids.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(quota)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # One pass: rows below a cut that some more than the quota are expected to pass, then the first ones of each language.
+    cuts = spark.createDataFrame([(r.lang, min(1.0, (1.5 * quota + 100) / r["count"])) for r in known], "lang string, cut double")
+    drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("drawn")
+    few = rows.select("doc_id", "lang", drawn).join(F.broadcast(cuts), "lang").where("drawn < cut")
+    chosen = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))).where(F.col("nth") <= quota)
 
     def run(batches):
         for batch in slices(batches):
             made = BUCKETS.sparse(*text_buffers(batch.column("text")))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "at": pa.array([m[0].tobytes() for m in made], pa.binary()), "share": pa.array([m[1].tobytes() for m in made], pa.binary())})
 
-    sample = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")  # bounded by train_rows
+    sample = rows.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")  # bounded by train_rows
     got = sample.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, at binary, share binary").toArrow()
     keys = list(zip(*(got.column(c).to_pylist() for c in ("doc_id", "lang")), strict=True))
     order = sorted(range(len(got)), key=keys.__getitem__)

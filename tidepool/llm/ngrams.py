@@ -1,6 +1,6 @@
-"""Hashed byte n-grams and words of whole texts, as bucket numbers with one range for each kind.
+"""Hashed character n-grams and words of whole texts, as bucket numbers with one range for each kind.
 
-N-grams are taken over the UTF-8 bytes of a text with A-Z lower-cased, across word ends; words are
+N-grams are taken over the code points of a text with A-Z lower-cased, across word ends; words are
 those of ``textbuf``, and each word also counts as one that equals the word before it, or as one that
 does not. ``sums`` adds a weight a bucket over each document; ``sparse`` lists the shares.
 """
@@ -17,8 +17,15 @@ U32 = np.uint32
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], U32)
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points with A-Z lower-cased, document bounds) of UTF-8 texts."""
+    low = LOWER[data]
+    chars = np.frombuffer(low.tobytes().decode("utf-8").encode("utf-32-le"), U32)
+    return chars, offsets if len(chars) == len(data) else np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]
+
+
 class Buckets:
-    """``sizes`` of n-grams in bytes, and whether words count; each kind has 2**bits buckets."""
+    """``sizes`` of n-grams in characters, and whether words count; each kind has 2**bits buckets."""
 
     def __init__(self, sizes: tuple[int, ...], bits: int, words: bool):
         self.sizes, self.bits, self.words = sizes, bits, words
@@ -26,7 +33,7 @@ class Buckets:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each kind: bucket numbers, and where each document's stretch begins and ends."""
-        low = LOWER[data].astype(U32)
+        low, bounds = characters(data, offsets)
         for k, n in enumerate(self.sizes):
             size = max(0, len(low) - n + 1)
             h = low[:size] * _FACTORS[0]
@@ -36,7 +43,7 @@ class Buckets:
                 h += low[j : j + size] * _FACTORS[j]
             h ^= h >> U32(15)
             h *= U32(0x2C1B3C6D)
-            yield (h >> U32(32 - self.bits)).astype(np.int32) + (k << self.bits), np.minimum(offsets[:-1], size), np.maximum(np.minimum(offsets[1:] - n + 1, size), np.minimum(offsets[:-1], size))
+            yield (h >> U32(32 - self.bits)).astype(np.int32) + (k << self.bits), np.minimum(bounds[:-1], size), np.maximum(np.minimum(bounds[1:] - n + 1, size), np.minimum(bounds[:-1], size))
         if self.words:
             words = Words(data, offsets)
             hashes = words.hashes(lower=True)

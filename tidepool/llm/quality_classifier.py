@@ -1,11 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed words and byte n-grams have learned vectors; a document is their average, and a softmax layer
+Hashed words and character n-grams have learned vectors; a document is their average, and a softmax layer
 turns it into class probabilities. Training is stochastic gradient descent in numpy over a bounded
 sample of labelled rows. As averages and the layer are linear, scoring needs one number a bucket.
 
 Null and empty texts get the score of the layer's bias alone. A null ``doc_id`` is carried through
-and never learned from; repeated rows are scored one by one. With labels of one class only, or none,
+and never learned from; repeated rows are scored one by one, further columns don't matter. With labels of one class only, or none,
 the score is that class's smoothed share (0.5 without labels).
 """
 
@@ -23,7 +23,7 @@ from tidepool.llm.runtime import prepare
 from tidepool.llm.textbuf import slices, text_buffers
 
 #: Labelled documents learned from at most, chosen by a hash of doc_id.
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 6000
 BUCKETS = Buckets((3, 4), 16, words=True)
 DIM, EPOCHS, RATE = 8, 6, 0.5
 
