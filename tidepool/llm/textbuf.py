@@ -7,13 +7,14 @@ text exactly as the pattern ``[^\\x20\\x09-\\x0D]+`` cuts its characters. Null t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 IS_SPACE = np.zeros(256, bool)
@@ -27,17 +28,21 @@ _BYTE_VALUE_LOWER = _BYTE_VALUE[LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POWERS = [np.ones(1, U64), np.ones(1, U64)]
+STEP_POWERS, KEPT_POWERS = 1 << 18, 5 << 19
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, _BASE_INV)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _POWERS[i] = np.cumprod(steps, dtype=U64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """The first n powers of the hash base and of its inverse modulo 2**64; kept between calls up to KEPT_POWERS."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size, made = (n // STEP_POWERS + 1) * STEP_POWERS, []
+    for base in (_BASE, _BASE_INV):
+        steps = np.full(size, base, U64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=U64))
+    if size <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,7 +88,10 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts hold about ``limit`` bytes, so memory doesn't follow the batch size."""
+    """The same rows in batches whose texts hold about ``limit`` bytes, so memory doesn't follow the batch size.
+
+    After the last one the worker gives back what it no longer uses: workers outlive their tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -92,6 +100,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
+        del batch
+    release()
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 class Words:
