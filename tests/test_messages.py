@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidepool.functions import answers, messages
-from tidepool.streaming.server_events import assembled, messages_of
+from tidepool.streaming.server_events import messages_of
 
 
 def values(spark, column, *raw):
@@ -66,9 +66,11 @@ def test_server_events(spark):
     call = lambda i, **f: {"index": i, "function": f}
     stream = event(role="assistant", content="猫") + event(content=" é") + event(reasoning_content="why", tool_calls=[call(1, name="g")]) + event(tool_calls=[call(0, name="f", arguments='{"a"'), call(0, arguments=":1}")]) + "data: {bad\n\ndata: [DONE]\n\n"
     raw = stream.encode()
-    whole = assembled([raw])
-    assert whole["content"] == "猫 é" and whole["reasoning_content"] == "why" and [c["function"] for c in whole["tool_calls"]] == [{"name": "f", "arguments": '{"a":1}'}, {"name": "g", "arguments": ""}]
-    assert all(assembled([raw[:i], raw[i:]]) == whole for i in range(0, len(raw), 7)) and assembled([b"data: [DONE]\n\n"]) is None
-    rows = [(1, i, raw[i : i + 5]) for i in range(0, len(raw), 5)] + [(2, 0, b": ping\n\n")]
-    got = messages_of(spark.createDataFrame(rows, "stream_id long, seq long, chunk binary")).collect()
-    assert [(r.stream_id, r.content, r.reasoning) for r in got] == [(1, "猫 é", "why")]
+    instead = event(content="lost") + "data: " + json.dumps({"choices": [{"message": {"content": "said", "tool_calls": [{"id": "c", "type": "t", "function": {"name": "h", "arguments": "{}"}}]}}]}) + "\n\n" + event(content=" on", tool_calls=[call(0, arguments="!")])
+    rows = [(n, i, raw[i : i + n]) for n in (1, 5, 7, 1000) for i in range(0, len(raw), n)] + [(2, 0, b": ping\n\n"), (3, 0, b"data: [DONE]\n\n"), (4, 0, instead.encode()), (6, 0, b"data: 7\n\ndata: {\"choices\": [3, {\"delta\": {\"content\": 5}}]}\n\n")]
+    got = {r.stream_id: r for r in messages_of(spark.createDataFrame(rows, "stream_id long, seq long, chunk binary")).collect()}
+    assert set(got) == {1, 5, 7, 1000, 4}
+    for n in (1, 5, 7, 1000):
+        assert (got[n].role, got[n].content, got[n].reasoning) == ("assistant", "猫 é", "why")
+        assert [c["function"] for c in json.loads(got[n].tool_calls)] == [{"name": "f", "arguments": '{"a":1}'}, {"name": "g", "arguments": ""}]
+    assert got[4].content == "said on" and json.loads(got[4].tool_calls) == [{"id": "c", "type": "t", "function": {"name": "h", "arguments": "{}!"}}]

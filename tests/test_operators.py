@@ -78,11 +78,29 @@ def test_rare_values(spark):
 def test_snapshots_keep_their_columns(spark):
     m = memories(spark, DATA)
     some = m.where("id < 5")
-    for after in (writes.deleted(m, some), writes.archived(m, some), writes.updated(m, some.select("id", F.lit(3).alias("importance")), now_column()), writes.touched(m, some.select("id"), now_column()), writes.reviewed(m, some.select("id", F.lit("pin").alias("action")))):
+    for after in (writes.deleted(m, some), writes.archived(m, some), writes.updated(m, some.select("id", F.lit(3).alias("importance")), now_column()), writes.touched(m, some.select("id"), now_column()), writes.reviewed(m, some.select("id", F.lit("pin").alias("action")), now_column())):
         assert after.columns == m.columns
     assert writes.deleted(m, some.unionAll(some)).count() == m.count() - 5
 
 
+def test_pinning_wins_over_resolving(spark):
+    m = memories(spark, DATA).where("type = 'dynamic' AND NOT pinned AND NOT protected").limit(2)
+    a, b = (r.id for r in m.collect())
+    both = writes.updated(m, m.select("id", (F.col("id") == a).alias("pinned"), F.lit(True).alias("resolved"), F.lit("a/b?").alias("name"), F.lit(4).alias("importance")), now_column())
+    got = {r.id: (r.type, r.store, r.pinned, r.resolved, r.name, r.importance) for r in both.collect()}
+    assert got == {a: ("permanent", "permanent", True, True, "ab", 10), b: ("archived", "archive", False, True, "ab", 4)}
+
+
+def test_source_of_a_feeling_is_digested(spark):
+    m = memories(spark, DATA).where("NOT digested").limit(3)
+    a, b, c = (r.id for r in m.collect())
+    kinds = "new_id long, content string, domain array<string>, tags array<string>, valence double, arousal double, importance int, pinned boolean, type string, source long"
+    news = spark.createDataFrame([(9001, "x", [], [], 0.25, 0.5, 5, False, "feel", a), (9002, "y", [], [], -1.0, 0.5, 5, False, "feel", b), (9003, "z", [], [], 0.5, 0.5, 5, True, "dynamic", c)], kinds)
+    after, _ = tools.hold(m, news, now_column())
+    got = {r.id: (r.digested, r.model_valence) for r in after.where("id < 9000").collect()}
+    assert got == {a: (True, 0.25), b: (True, None), c: (False, None)}
+
+
 def test_cards_and_fallback(spark):
     rows = [("a", 1, 0.9), ("a", 2, 0.8), ("a", 3, 0.7), ("b", 1, 0.9), ("b", 2, 0.7), ("c", 1, 0.54), ("d", 1, 0.6), ("d", 2, 0.52)]
     c = spark.createDataFrame(rows, "session_id string, id long, score double")

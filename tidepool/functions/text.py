@@ -34,6 +34,17 @@ def safe_name(name: Column, most: int = 80) -> Column:
     return F.when(F.coalesce(kept, F.lit("")) == "", "unnamed").otherwise(kept)
 
 
+def masked(key: Column) -> Column:
+    """A secret as it may be shown: four letters at each end of a long one, stars for a short one, "" for none."""
+    key = F.coalesce(key, F.lit(""))
+    return F.when(F.length(key) > 8, F.concat(F.left(key, F.lit(4)), F.lit("..."), F.right(key, F.lit(4)))).when(key != "", "***").otherwise("")
+
+
+def short_id() -> Column:
+    """A new id of twelve hex digits a row."""
+    return F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(12))
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 

@@ -39,12 +39,13 @@ def plain_turns(logs: DataFrame) -> DataFrame:
 
 
 def chunks(turns: DataFrame, target: int = 10_000) -> DataFrame:
-    """(conv_id, chunk, content, first_turn, last_turn, turn_count, tokens): whole turns up to about ``target`` tokens.
+    """(conv_id, chunk, content, first_turn, last_turn, turn_count, tokens, timestamp_start, timestamp_end): whole turns up to about ``target`` tokens.
 
-    A turn over 1.5 times the target stands alone. Whether a turn begins a chunk depends on all before it, so each
+    The start is the first time that a turn of the chunk has, the end that of its last turn; "" without one. A turn over 1.5 times the target stands alone. Whether a turn begins a chunk depends on all before it, so each
     conversation is folded in order; tokens are counted before, in the plan.
     """
-    lines = turns.withColumn("line", turn_line(F.col("role"), F.col("text"))).withColumn("tokens", token_estimate(F.col("line"))).select("conv_id", "turn", "line", "tokens")
+    turns = turns if "timestamp" in turns.columns else turns.withColumn("timestamp", F.lit(""))
+    lines = turns.withColumn("timestamp", F.coalesce("timestamp", F.lit(""))).withColumn("line", turn_line(F.col("role"), F.col("text"))).withColumn("tokens", token_estimate(F.col("line"))).select("conv_id", "turn", "line", "tokens", "timestamp")
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("turn", kind="stable")
@@ -59,8 +60,8 @@ def chunks(turns: DataFrame, target: int = 10_000) -> DataFrame:
             size += row.tokens
             fresh = alone
         return pd.DataFrame(
-            [(g[0].conv_id, i, "\n".join(r.line for r in g), g[0].turn, g[-1].turn, len(g), int(sum(r.tokens for r in g))) for i, g in enumerate(groups)],
-            columns=["conv_id", "chunk", "content", "first_turn", "last_turn", "turn_count", "tokens"],
+            [(g[0].conv_id, i, "\n".join(r.line for r in g), g[0].turn, g[-1].turn, len(g), int(sum(r.tokens for r in g)), next((r.timestamp for r in g if r.timestamp), ""), g[-1].timestamp) for i, g in enumerate(groups)],
+            columns=["conv_id", "chunk", "content", "first_turn", "last_turn", "turn_count", "tokens", "timestamp_start", "timestamp_end"],
         )
 
-    return lines.groupBy("conv_id").applyInPandas(fold, "conv_id long, chunk long, content string, first_turn long, last_turn long, turn_count long, tokens long")
+    return lines.groupBy("conv_id").applyInPandas(fold, "conv_id long, chunk long, content string, first_turn long, last_turn long, turn_count long, tokens long, timestamp_start string, timestamp_end string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.config import DecaySettings
 from tidepool.functions.scoring import clamp, flag, merged_average
+from tidepool.functions.text import safe_name
 from tidepool.operators.pairs import within_hours
 from tidepool.operators.predicates import decays, fades, is_core, resolves_itself, ripples, type_in
 
@@ -32,23 +33,27 @@ def created(rows: DataFrame, now: Column) -> DataFrame:
 def updated(memory: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     """``memory`` with ``patches`` (id and any of PATCHABLE; null leaves a value as it is), one patch an id.
 
-    What is pinned or protected already keeps its importance. Pinning sets it to 10 and moves the row to the
-    permanent store; resolving archives all but permanent memories and feelings. A patched row was active now.
+    What is pinned or protected already keeps its importance. Pinning sets it to 10 and makes the row permanent;
+    otherwise resolving archives all but permanent memories and feelings. A patched row was active now.
     """
     given = [c for c in patches.columns if c in PATCHABLE]
     p = patches.select("id", *[F.col(c).alias(f"new_{c}") for c in given], F.lit(True).alias("patched"))
     both = memory.join(p, "id", "left")
     new = lambda c: F.col(f"new_{c}") if c in given else F.lit(None).cast(memory.schema[c].dataType)
     hit, locked = F.col("patched").isNotNull(), is_core()
-    pinning, resolving = hit & flag(new("pinned")), hit & flag(new("resolved")) & ~type_in("permanent", "feel")
+    pinning = hit & flag(new("pinned"))
+    moves = pinning & ~type_in("permanent")
+    resolving = hit & flag(new("resolved")) & ~type_in("permanent", "feel") & ~moves
     values = {c: F.coalesce(new(c), F.col(c)) for c in given}
-    for c in ("valence", "arousal"):
+    for c in ("valence", "arousal", "model_valence"):
         if c in values:
-            values[c] = clamp(values[c], 0.0, 1.0)
+            values[c] = F.coalesce(clamp(new(c), 0.0, 1.0), F.col(c))
+    if "name" in values:
+        values["name"] = F.when(new("name").isNotNull(), safe_name(new("name"))).otherwise(F.col("name"))
     importance = F.coalesce(F.when(~locked, clamp(new("importance").cast("double"), 1, 10).cast("int")), F.col("importance"))
     values["importance"] = F.when(pinning, 10).otherwise(importance)
-    values["type"] = F.when(resolving, "archived").otherwise(F.col("type"))
-    values["store"] = F.when(resolving, "archive").when(pinning, "permanent").otherwise(F.col("store"))
+    values["type"] = F.when(moves, "permanent").when(resolving, "archived").otherwise(F.col("type"))
+    values["store"] = F.when(moves, "permanent").when(resolving, "archive").otherwise(F.col("store"))
     values["last_active"] = F.when(hit, now).otherwise(F.col("last_active"))
     return both.select(*[values.get(c, F.col(c)).alias(c) for c in memory.columns])
 
@@ -82,28 +87,31 @@ def merged(memory: DataFrame, news: DataFrame, now: Column) -> DataFrame:
     return both.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in memory.columns])
 
 
-def reviewed(memory: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions (id, action): important raises to 9, pin pins, noise resolves and lowers to 1, delete deletes; others change nothing."""
-    both = memory.join(decisions.select("id", "action"), "id", "left")
-    act = lambda name: F.coalesce(F.col("action") == name, F.lit(False))
-    locked, noise = is_core(), act("noise")
-    closes = noise & ~type_in("permanent", "feel")
-    values = {
-        "importance": F.when(act("pin"), 10).when(act("important") & ~locked, 9).when(noise & ~locked, 1).otherwise(F.col("importance")),
-        "pinned": act("pin") | flag(F.col("pinned")), "resolved": noise | flag(F.col("resolved")), "type": F.when(closes, "archived").otherwise(F.col("type")),
-        "store": F.when(closes, "archive").when(act("pin"), "permanent").otherwise(F.col("store")),
-    }
-    return both.where(~act("delete")).select(*[values[c].alias(c) if c in values else F.col(c) for c in memory.columns])
+def reviewed(memory: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """Decisions (id, action): important raises to 9, pin pins, noise resolves and lowers to 1, all as updates; delete deletes; others change nothing."""
+    act = lambda name: F.col("action") == name
+    patches = decisions.where(F.col("action").isin("important", "pin", "noise")).select(
+        "id", F.when(act("important"), 9).when(act("noise"), 1).alias("importance"), F.when(act("pin"), True).alias("pinned"), F.when(act("noise"), True).alias("resolved")
+    )
+    return updated(deleted(memory, decisions.where(act("delete"))), patches, now)
+
+
+def digested(memory: DataFrame, feelings: DataFrame, now: Column) -> DataFrame:
+    """``memory`` in which the sources of ``feelings`` (source, valence) are digested and hold the feeling's valence, if that is one; the last of several counts."""
+    felt = F.when(F.col("valence").between(0, 1), F.col("valence"))
+    patches = feelings.where("source IS NOT NULL").groupBy(F.col("source").alias("id")).agg(F.max_by(felt, F.when(felt.isNotNull(), F.col("new_id"))).alias("model_valence"))
+    return updated(memory, patches.withColumn("digested", F.lit(True)), now)
 
 
-def decay_cycle(memory: DataFrame, score: Column, s: DecaySettings = DecaySettings()) -> DataFrame:
-    """One pass over a snapshot: what resolves itself, what fades. Both are judged on the snapshot's values."""
+def decay_cycle(memory: DataFrame, score: Column, now: Column, s: DecaySettings = DecaySettings()) -> DataFrame:
+    """One pass over a snapshot: what resolves itself, which is an update, and what fades. Both are judged on the snapshot's values."""
     checked = decays() & (F.col("store") != "archive")
     resolves = checked & resolves_itself(F.col("days"), s)
     out = memory.withColumn("checked", checked).withColumn("auto_resolved", resolves).withColumn("score", score)
     out = out.withColumn("faded", F.col("checked") & fades(F.col("score"), s))
     gone = F.col("faded") | F.col("auto_resolved")
-    return out.withColumn("resolved", flag(F.col("resolved")) | F.col("auto_resolved")).withColumn("type", F.when(gone, "archived").otherwise(F.col("type"))).withColumn("store", F.when(gone, "archive").otherwise(F.col("store")))
+    out = out.withColumn("last_active", F.when(F.col("auto_resolved"), now).otherwise(F.col("last_active"))).withColumn("resolved", flag(F.col("resolved")) | F.col("auto_resolved"))
+    return out.withColumn("type", F.when(gone, "archived").otherwise(F.col("type"))).withColumn("store", F.when(gone, "archive").otherwise(F.col("store")))
 
 
 def decay_stats(cycle: DataFrame) -> DataFrame:

@@ -183,6 +183,13 @@ def keyword_search(spark, d):
     return plans.keyword_hits(memories(spark, d), plans.word_topic(WORDS), 10, 0.6, 0.4).select("id", "score")
 
 
+@query("search_list", MEM + RELEVANT + f"SELECT id, name, round(relevance, 2) AS score, array_to_string(domain, ',') AS domain, valence, arousal, left({sql.links_off('content')}, 200) AS content_preview FROM rel WHERE store <> 'archive' AND relevance >= 50 ORDER BY score DESC, id LIMIT 10")
+def search_list(spark, d):
+    """The hits with what a list shows of each."""
+    hits = plans.keyword_hits(memories(spark, d), plans.word_topic(WORDS), 10, 0.6, 0.4)
+    return hits.select("id", "name", "score", F.array_join("domain", ",").alias("domain"), "valence", "arousal", F.left(text.without_links(F.col("content")), F.lit(200)).alias("content_preview"))
+
+
 # --- aggregates
 
 
@@ -366,14 +373,25 @@ def drift_pool(spark, d):
 CLUSTERED = 0.25
 
 
-@query("pattern_clusters")
+PATTERNS = (VECTORS + PAIRS).replace("WITH ", "WITH RECURSIVE ", 1) + f""", p AS (SELECT id, name, content FROM mem WHERE type = 'dynamic' AND NOT pinned AND NOT resolved),
+e AS (SELECT source, list(target) AS near FROM edges WHERE similarity > {CLUSTERED} AND source IN (SELECT id FROM p) AND target IN (SELECT id FROM p) GROUP BY source),
+nodes AS (SELECT v.id, row_number() OVER (ORDER BY v.id) AS n, coalesce(near, []::BIGINT[]) AS near FROM vectors v JOIN p USING (id) LEFT JOIN e ON e.source = v.id),
+r AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS claimed, NULL::BIGINT AS lead, []::BIGINT[] AS own
+  UNION ALL SELECT nodes.n, CASE WHEN list_contains(claimed, id) THEN claimed ELSE claimed || [id] || list_filter(near, lambda x: NOT list_contains(claimed, x)) END,
+    CASE WHEN list_contains(claimed, id) THEN NULL ELSE id END, list_filter(near, lambda x: NOT list_contains(claimed, x)) FROM r JOIN nodes ON nodes.n = r.n + 1)
+SELECT lead, (1 + len(own))::BIGINT AS n, CASE WHEN len(own) >= 4 THEN 'pin' ELSE 'review' END AS action, name, left(content, 200) AS preview, array_to_string(list_sort([lead] || own), ',') AS ids
+FROM r JOIN p ON p.id = r.lead WHERE len(own) >= 2 ORDER BY n DESC, lead LIMIT 20"""
+
+
+@query("pattern_clusters", PATTERNS)
 def pattern_clusters(spark, d):
-    """(lead, n, action): greedy clusters of at least three similar memories; five and more are worth a pin."""
-    m = memories(spark, d).where(predicates.in_patterns()).select("id")
-    v = vector_table(spark, d).join(m, "id", "left_semi")
+    """Greedy clusters of at least three similar memories with what is shown of their leads; five and more are worth a pin."""
+    m = memories(spark, d).where(predicates.in_patterns()).select("id", "name", "content")
+    v = vector_table(spark, d).join(m.select("id"), "id", "left_semi")
     clusters = pairs.leader_clusters(pairs.similar_pairs(v, CLUSTERED).select("source", "target"), v)
-    sized = clusters.groupBy(F.col("leader").alias("lead")).agg(F.count("*").alias("n")).where("n >= 3")
-    return sized.withColumn("action", F.when(F.col("n") >= 5, "pin").otherwise("review")).orderBy(F.desc("n"), "lead").limit(20)
+    sized = clusters.groupBy(F.col("leader").alias("lead")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids")).where("n >= 3")
+    best = sized.withColumn("action", F.when(F.col("n") >= 5, "pin").otherwise("review")).orderBy(F.desc("n"), "lead").limit(20)
+    return best.join(m, best.lead == m.id).select("lead", "n", "action", "name", F.left("content", F.lit(200)).alias("preview"), "ids")
 
 
 # --- intervals, orders, packing
@@ -453,19 +471,20 @@ def last_queries(spark, d):
 
 
 CHUNKS = f"""
-WITH RECURSIVE l AS (SELECT conv_id, turn, line, {sql.tokens('line')} AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM ({TURNS_SQL})),
-f AS (SELECT conv_id, turn, line, tok, n, 0::BIGINT AS chunk, tok::BIGINT AS size, tok > 450 AS alone FROM l WHERE n = 1
-  UNION ALL SELECT l.conv_id, l.turn, l.line, l.tok, l.n,
+WITH RECURSIVE l AS (SELECT conv_id, turn, line, CASE WHEN turn % 3 = 0 THEN '' ELSE 't' || turn END AS said, {sql.tokens('line')} AS tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM ({TURNS_SQL})),
+f AS (SELECT conv_id, turn, line, said, tok, n, 0::BIGINT AS chunk, tok::BIGINT AS size, tok > 450 AS alone FROM l WHERE n = 1
+  UNION ALL SELECT l.conv_id, l.turn, l.line, l.said, l.tok, l.n,
     CASE WHEN l.tok > 450 OR f.alone OR f.size + l.tok > 300 THEN f.chunk + 1 ELSE f.chunk END,
     CASE WHEN l.tok > 450 OR f.alone OR f.size + l.tok > 300 THEN l.tok ELSE f.size + l.tok END, l.tok > 450
   FROM f JOIN l ON l.conv_id = f.conv_id AND l.n = f.n + 1)
-SELECT conv_id, chunk, string_agg(line, chr(10) ORDER BY n) AS content, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turn_count, sum(tok)::BIGINT AS tokens FROM f GROUP BY conv_id, chunk
+SELECT conv_id, chunk, string_agg(line, chr(10) ORDER BY n) AS content, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turn_count, sum(tok)::BIGINT AS tokens, coalesce(arg_min(said, n) FILTER (WHERE said <> ''), '') AS timestamp_start, arg_max(said, n) AS timestamp_end FROM f GROUP BY conv_id, chunk
 """
 
 
 @query("turn_chunks", CHUNKS)
 def turn_chunks(spark, d):
-    return turns.chunks(turn_table(spark, d), 300)
+    """Chunks with the first and last time; the test turns have no times, so some are made up."""
+    return turns.chunks(turn_table(spark, d).withColumn("timestamp", F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("t"), F.col("turn").cast("string")))), 300)
 
 
 @query("plain_log_turns", "SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
@@ -485,8 +504,8 @@ SNAPSHOT = "id, importance, type, store, pinned, resolved, valence, last_active"
 @query(
     "update_snapshot",
     MEM + f"""SELECT id, CASE WHEN id % 11 = 0 THEN 10 WHEN id % 9 = 0 AND NOT (pinned OR protected) THEN 8 ELSE importance END::INT AS importance,
-  CASE WHEN id % 6 = 0 AND type NOT IN ('permanent', 'feel') THEN 'archived' ELSE type END AS type,
-  CASE WHEN id % 6 = 0 AND type NOT IN ('permanent', 'feel') THEN 'archive' WHEN id % 11 = 0 THEN 'permanent' ELSE store END AS store,
+  CASE WHEN id % 11 = 0 AND type <> 'permanent' THEN 'permanent' WHEN id % 6 = 0 AND type NOT IN ('permanent', 'feel') THEN 'archived' ELSE type END AS type,
+  CASE WHEN id % 11 = 0 AND type <> 'permanent' THEN 'permanent' WHEN id % 6 = 0 AND type NOT IN ('permanent', 'feel') THEN 'archive' ELSE store END AS store,
   id % 11 = 0 OR pinned AS pinned, id % 6 = 0 OR resolved AS resolved, CASE WHEN id % 9 = 0 THEN 1::DOUBLE ELSE valence END AS valence,
   CASE WHEN id % 6 = 0 OR id % 9 = 0 OR id % 11 = 0 THEN {sql.NOW} ELSE last_active END AS last_active FROM mem""",
 )
@@ -533,24 +552,24 @@ def merge_snapshot(spark, d):
     return writes.merged(m, news, now_column()).select("id", "valence", "importance", F.array_join("tags", ",").alias("tags"), F.length("content").cast("long").alias("size"))
 
 
-@query("review_snapshot", MEM + "SELECT id, CASE WHEN id % 5 = 1 THEN 10 WHEN id % 5 = 0 AND NOT (pinned OR protected) THEN 9 WHEN id % 5 = 2 AND NOT (pinned OR protected) THEN 1 ELSE importance END::INT AS importance, pinned OR id % 5 = 1 AS pinned, resolved OR id % 5 = 2 AS resolved, CASE WHEN id % 5 = 2 AND type NOT IN ('permanent', 'feel') THEN 'archived' ELSE type END AS type FROM mem WHERE id % 5 <> 3")
+@query("review_snapshot", MEM + "SELECT id, CASE WHEN id % 5 = 1 THEN 10 WHEN id % 5 = 0 AND NOT (pinned OR protected) THEN 9 WHEN id % 5 = 2 AND NOT (pinned OR protected) THEN 1 ELSE importance END::INT AS importance, pinned OR id % 5 = 1 AS pinned, resolved OR id % 5 = 2 AS resolved, CASE WHEN id % 5 = 1 AND type <> 'permanent' THEN 'permanent' WHEN id % 5 = 2 AND type NOT IN ('permanent', 'feel') THEN 'archived' ELSE type END AS type, CASE WHEN id % 5 < 3 THEN " + sql.NOW + " ELSE last_active END AS last_active FROM mem WHERE id % 5 <> 3")
 def review_snapshot(spark, d):
     m = memories(spark, d)
     actions = F.element_at(F.array(*[F.lit(a) for a in ("important", "pin", "noise", "delete", "other")]), (F.col("id") % 5 + 1).cast("int"))
-    return writes.reviewed(m, m.select("id", actions.alias("action"))).select("id", "importance", "pinned", "resolved", "type")
+    return writes.reviewed(m, m.select("id", actions.alias("action")), now_column()).select("id", "importance", "pinned", "resolved", "type", "last_active")
 
 
 DECAY = MEM + f", c AS (SELECT *, {sql.CAN_DREAM} AND store <> 'archive' AS checked FROM scored), y AS (SELECT *, checked AND NOT resolved AND importance <= 4 AND days > 30 AS auto_resolved, checked AND score < 0.3 AS faded FROM c) "
 
 
-@query("decay_cycle", DECAY + "SELECT id, score, resolved OR auto_resolved AS resolved, CASE WHEN faded OR auto_resolved THEN 'archived' ELSE type END AS type, CASE WHEN faded OR auto_resolved THEN 'archive' ELSE store END AS store FROM y")
+@query("decay_cycle", DECAY + "SELECT id, score, resolved OR auto_resolved AS resolved, CASE WHEN faded OR auto_resolved THEN 'archived' ELSE type END AS type, CASE WHEN faded OR auto_resolved THEN 'archive' ELSE store END AS store, CASE WHEN auto_resolved THEN " + sql.NOW + " ELSE last_active END AS last_active FROM y")
 def decay_cycle(spark, d):
-    return writes.decay_cycle(scored(spark, d), F.col("score")).select("id", "score", "resolved", "type", "store")
+    return writes.decay_cycle(scored(spark, d), F.col("score"), now_column()).select("id", "score", "resolved", "type", "store", "last_active")
 
 
 @query("decay_stats", DECAY + "SELECT count(*) FILTER (WHERE checked) AS checked, count(*) FILTER (WHERE faded) AS archived, count(*) FILTER (WHERE auto_resolved) AS auto_resolved, coalesce(min(score) FILTER (WHERE checked), 0) AS lowest_score FROM y")
 def decay_stats(spark, d):
-    return writes.decay_stats(writes.decay_cycle(scored(spark, d), F.col("score")))
+    return writes.decay_stats(writes.decay_cycle(scored(spark, d), F.col("score"), now_column()))
 
 
 @query("touch_snapshot", with_(sql.MEM, sql.ROUNDS) + f", hit AS (SELECT bucket_id AS id, count(*) AS hits FROM rounds GROUP BY 1), p AS (SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS nth FROM mem a JOIN hit h ON h.id = a.id JOIN mem b ON a.id <> b.id AND abs(epoch(a.created) - epoch(b.created)) <= 48 * 3600 WHERE b.store <> 'archive' AND b.type NOT IN ('permanent', 'feel') AND NOT b.pinned AND NOT b.protected), w AS (SELECT target AS id, sum(hits) AS waves FROM p JOIN hit h ON h.id = p.source WHERE nth <= 5 GROUP BY 1) SELECT m.id, round(m.activation_count + coalesce(hits, 0) + coalesce(waves, 0) * 0.3::DOUBLE, 1) AS activation_count, CASE WHEN hits IS NOT NULL THEN {sql.NOW} ELSE last_active END AS last_active FROM mem m LEFT JOIN hit USING (id) LEFT JOIN w USING (id)")

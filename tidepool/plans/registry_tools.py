@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.functions import answers, messages
+from tidepool.functions import answers, messages, text
+from tidepool.operators import writes
 from tidepool.plans import sql, tools
 from tidepool.plans.registry import MEM, query
 from tidepool.sources import markdown
@@ -113,3 +114,14 @@ def held_texts(spark, d):
     return tools.hold(memories(spark, d), news, now_column())[1]
 
 
+@query("digested_sources", MEM + f"SELECT id, digested OR id % 9 = 0 AS digested, CASE WHEN id % 9 = 0 AND id % 13 <= 10 THEN (id % 13)::DOUBLE / 10 END AS model_valence, CASE WHEN id % 9 = 0 THEN {sql.NOW} ELSE last_active END AS last_active FROM mem")
+def digested_sources(spark, d):
+    """Memories that feelings were written about: digested, with the feeling's valence unless it is out of range."""
+    m, k = memories(spark, d), F.col("id")
+    feelings = m.where(k % 9 == 0).select(k.alias("source"), (k + 10_000_000).alias("new_id"), (k % 13 / F.lit(10.0)).alias("valence"))
+    return writes.digested(m, feelings, now_column()).select("id", "digested", "model_valence", "last_active")
+
+
+@query("masked_keys", MEM + "SELECT id, CASE WHEN length(k) > 8 THEN left(k, 4) || '...' || right(k, 4) WHEN k <> '' THEN '***' ELSE '' END AS shown FROM (SELECT id, left(content, (id % 14)::INT) AS k FROM mem)")
+def masked_keys(spark, d):
+    return memories(spark, d).select("id", text.masked(F.left("content", (F.col("id") % 14).cast("int"))).alias("shown"))

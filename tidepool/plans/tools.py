@@ -31,17 +31,20 @@ def merge_targets(memory: DataFrame, news: DataFrame, s: SearchSettings = Search
 
 def _best_targets(memory: DataFrame, news: DataFrame, s: SearchSettings) -> DataFrame:
     fresh = F.broadcast(news.select("new_id", F.col("content").alias("new_content"), F.col("domain").alias("new_domain")))  # about MOST_NEW
-    live = memory.where(F.col("store") != "archive")
-    same = F.arrays_overlap(F.transform("domain", lambda d: F.lower(d)), F.transform("new_domain", lambda d: F.lower(d)))
-    met = relevance(live.join(fresh, same), topic_score(F.col("new_content"), F.col("name"), F.col("domain"), F.col("tags"), F.col("content"), s), None, None, s)
+    low = lambda c: F.array_distinct(F.transform(c, lambda d: F.lower(d)))
+    # Only memories that a full match of topics would bring over the threshold can be merged into; the others can't be the best one either.
+    live = relevance(memory.where(F.col("store") != "archive"), F.lit(1.0), None, None, s).where(F.col("relevance") >= s.merge_threshold).select(*memory.columns)
+    met = live.withColumn("shared", F.explode(low("domain"))).join(fresh.withColumn("shared", F.explode(low("new_domain"))), "shared").dropDuplicates(["new_id", "id"])
+    met = relevance(met, topic_score(F.col("new_content"), F.col("name"), F.col("domain"), F.col("tags"), F.col("content"), s), None, None, s)
     best = ranking.top_per(met.where(F.col("relevance") >= s.threshold).select("new_id", "id", F.round("relevance", 2).alias("score"), predicates.is_core().alias("core")), "new_id", 1, F.desc("score"), F.col("id"))
     return best.where((F.col("score") > s.merge_threshold) & ~F.col("core")).select("new_id", "id", "score")
 
 
 def hold(memory: DataFrame, news: DataFrame, now: Column, s: SearchSettings = SearchSettings()) -> tuple[DataFrame, DataFrame]:
-    """(memory after, (new_id, id, outcome)) of ``news`` (new_id, content, domain, tags, valence, arousal, importance, pinned, type).
+    """(memory after, (new_id, id, outcome)) of ``news`` (new_id, content, domain, tags, valence, arousal, importance, pinned, type, and perhaps source).
 
-    Pinned texts and feelings are always created; others merge into their target or are created under ``new_id``.
+    Pinned texts and feelings are always created; others merge into their target or are created under ``new_id``. The
+    memory that is the ``source`` of a feeling is digested.
     """
     own = F.coalesce("pinned", F.lit(False)) | (F.coalesce("type", F.lit("dynamic")) == "feel")
     targets = merge_targets(memory, news.where(~own), s)
@@ -55,6 +58,8 @@ def hold(memory: DataFrame, news: DataFrame, now: Column, s: SearchSettings = Se
     made = writes.created(decided.where(F.col("id").isNull()).drop("id").select(F.col("new_id").alias("id"), F.lit(None).cast("string").alias("name"), "content", "tags", "domain", "valence", "arousal", "importance", "pinned", F.lit(False).alias("protected"), "type"), now)
     columns = [f.name for f in MEMORY.fields if f.name in memory.columns]
     after = writes.merged(memory.select(*columns), parts, now).unionByName(made.select(*[c for c in columns if c in made.columns]), allowMissingColumns=True)
+    if "source" in news.columns:
+        after = writes.digested(after, news.where("type = 'feel'"), now)
     return after, decided.select("new_id", F.coalesce("id", "new_id").alias("id"), F.when(F.col("id").isNull(), "created").otherwise("merged").alias("outcome"))
 
 

@@ -83,6 +83,8 @@ def write_markdown(memory: DataFrame, folder: str) -> None:
 
         system, base = fs.FileSystem.from_uri(folder)
         for row in rows:
+            if ".." in row.path.split("/") or row.path.startswith("/"):
+                raise ValueError(f"path leaves the folder: {row.path}")
             target = f"{base}/{row.path}"
             system.create_dir(target.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(f"{target}.part") as out:

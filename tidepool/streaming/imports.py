@@ -12,12 +12,12 @@ from tidepool.sources.exports import turns_of
 
 
 def file_chunks(files: DataFrame, target: int) -> DataFrame:
-    """(source_hash, chunk_id, chunk, content, turn_count, tokens) of files (id, text). The chunk id only depends on the file's text and the chunk's place."""
+    """(source_hash, chunk_id, chunk, content, turn_count, tokens, timestamp_start, timestamp_end) of files (id, text). The chunk id only depends on the file's text and the chunk's place."""
     hashed = files.withColumn("source_hash", F.left(content_hash(F.col("text")), F.lit(16))).groupBy("source_hash").agg(F.first("text").alias("text"))
     turns = turns_of(hashed.select(F.col("source_hash").alias("id"), "text"))
-    numbered = turns.select(F.xxhash64("id").alias("conv_id"), F.col("id").alias("source_hash"), F.col("turn").cast("long").alias("turn"), "role", F.col("content").alias("text"))
+    numbered = turns.select(F.xxhash64("id").alias("conv_id"), F.col("id").alias("source_hash"), F.col("turn").cast("long").alias("turn"), "role", F.col("content").alias("text"), "timestamp")
     made = chunks(numbered, target).join(numbered.select("conv_id", "source_hash").distinct(), "conv_id")
-    return made.select("source_hash", F.sha2(F.concat_ws(":", "source_hash", F.col("chunk").cast("string")), 256).alias("chunk_id"), "chunk", "content", "turn_count", "tokens")
+    return made.select("source_hash", F.sha2(F.concat_ws(":", "source_hash", F.col("chunk").cast("string")), 256).alias("chunk_id"), "chunk", "content", "turn_count", "tokens", "timestamp_start", "timestamp_end")
 
 
 def run_import(spark: SparkSession, folder: str, out: str, checkpoint: str, target: int = 10_000) -> StreamingQuery:

@@ -1,63 +1,70 @@
-"""Streamed chat answers: byte chunks of server-sent events folded into whole messages."""
+"""Streamed chat answers: byte chunks of server-sent events as rows, aggregated into whole messages with built-ins only.
+
+A stream's chunks are joined, cut into events, and every choice of an event gives up to two pieces: a ``delta``,
+which adds to what was said, and a ``message``, which takes its place. Events that can't be read say nothing.
+"""
 
 from __future__ import annotations
 
-import codecs
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-SCHEMA = "stream_id long, role string, content string, reasoning string, tool_calls string"
-
-
-def _payloads(chunks: list[bytes]):
-    """Parsed data of each event, whatever the cuts between chunks; unreadable events and the end mark are passed over."""
-    decoder = codecs.getincrementaldecoder("utf-8")("replace")
-    text = "".join(decoder.decode(c) for c in chunks) + decoder.decode(b"", final=True)
-    for event in text.replace("\r\n", "\n").split("\n\n"):
-        data = "\n".join(x.strip()[5:].strip() for x in event.split("\n") if x.strip().startswith("data:"))
-        if data and data != "[DONE]":
-            try:
-                yield json.loads(data)
-            except ValueError:
-                continue
-
-
-def assembled(chunks: list[bytes]) -> dict | None:
-    """The assistant's message in a stream: pieces of text are joined, tool calls are put together by their index. None if nothing was said."""
-    said = {"role": "assistant", "content": "", "reasoning_content": ""}
-    calls: dict[int, dict] = {}
-    for payload in _payloads(chunks):
-        for choice in payload.get("choices", []) if isinstance(payload, dict) else []:
-            delta, whole = (choice.get(k) if isinstance(choice, dict) else None for k in ("delta", "message"))
-            for piece, joins in ((delta, True), (whole, False)):
-                if not isinstance(piece, dict):
-                    continue
-                said["role"] = piece.get("role") or said["role"]
-                for k in ("content", "reasoning_content"):
-                    if isinstance(piece.get(k), str):
-                        said[k] = said[k] + piece[k] if joins else piece[k]
-                listed = [c for c in piece.get("tool_calls") or [] if isinstance(c, dict)]
-                if not joins and isinstance(piece.get("tool_calls"), list):
-                    calls = dict(enumerate(listed))
-                for c in listed if joins else ():
-                    call = calls.setdefault(int(c.get("index", 0)), {"type": "function", "function": {"name": "", "arguments": ""}})
-                    call |= {k: c[k] for k in ("id", "type") if c.get(k)}
-                    for k, part in (c.get("function") or {}).items():
-                        if k in ("name", "arguments") and isinstance(part, str):
-                            call["function"][k] += part
-    if not (calls or said["content"] or said["reasoning_content"]):
-        return None
-    return said | {"tool_calls": [calls[i] for i in sorted(calls)]}
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+TEXTS = ("content", "reasoning_content")
+_CALL = "struct<index:int,id:string,type:string,function:struct<name:string,arguments:string>>"
 
-def messages_of(chunks: DataFrame) -> DataFrame:
-    """One row a stream of (stream_id, seq, chunk); streams that said nothing give none."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        m = assembled([bytes(c) for c in frame.sort_values("seq").chunk])
-        rows = [] if m is None else [(int(frame.stream_id.iloc[0]), m["role"], m["content"] or None, m["reasoning_content"] or None, json.dumps(m["tool_calls"], ensure_ascii=False))]
-        return pd.DataFrame(rows, columns=["stream_id", "role", "content", "reasoning", "tool_calls"])
+def _events(chunks: DataFrame) -> DataFrame:
+    """(stream_id, at, v): the parsed data of each event, whatever the cuts between chunks."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk")))
+    whole = F.make_valid_utf8(F.aggregate(ordered, F.lit(b""), lambda raw, x: F.concat(raw, x["chunk"])).cast("string"))
+    events = chunks.groupBy("stream_id").agg(F.replace(whole, F.lit("\r\n"), F.lit("\n")).alias("text"))
+    rows = events.select("stream_id", F.posexplode(F.split("text", "\n\n")).alias("at", "event"))
+    lines = F.filter(F.transform(F.split("event", "\n"), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("data:")))
+    data = F.array_join(F.transform(lines, lambda x: F.trim(F.substring(x, 6, 1 << 30))), "\n")
+    return rows.select("stream_id", "at", F.try_parse_json(data).alias("v"))
+
+
+def _pieces(events: DataFrame) -> DataFrame:
+    """(stream_id, at, whole, role, content, reasoning_content, calls): what each choice says; ``at`` is its place in the stream."""
+    choices = events.select("stream_id", "at", F.posexplode(F.try_variant_get("v", "$.choices", "array<variant>")).alias("choice", "c"))
+    both = F.array(*(F.struct(F.lit(i).alias("whole"), F.try_variant_get("c", f"$.{k}", "variant").alias("p")) for i, k in enumerate(("delta", "message"))))
+    rows = choices.select("stream_id", "at", "choice", F.explode(both).alias("x")).where("x.p IS NOT NULL AND schema_of_variant(x.p) LIKE 'OBJECT%'")
+    texts = (F.when(F.schema_of_variant(F.try_variant_get("x.p", f"$.{k}", "variant")) == "STRING", F.try_variant_get("x.p", f"$.{k}", "string")).alias(k) for k in TEXTS)
+    return rows.select("stream_id", F.struct("at", "choice", "x.whole").alias("at"), (F.col("x.whole") == 1).alias("whole"), F.try_variant_get("x.p", "$.role", "string").alias("role"), *texts, F.try_variant_get("x.p", "$.tool_calls", f"array<{_CALL}>").alias("calls"))
+
+
+def _since_replaced(pieces: DataFrame, column: str) -> DataFrame:
+    """The pieces that say something in ``column``, from the last one on that takes the place of what was said."""
+    said = pieces.where(F.col(column).isNotNull())
+    last = F.max(F.when(F.col("whole"), F.col("at"))).over(Window.partitionBy("stream_id"))
+    return said.withColumn("last", last).where("last IS NULL OR at >= last").drop("last")
+
+
+def _in_order(value: Column) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("at", value.alias("x")))), lambda y: y["x"])
+
+
+def _latest(column: str) -> Column:
+    """The last value that isn't empty."""
+    given = F.when(F.col(column) != "", F.col(column))
+    return F.max_by(given, F.when(given.isNotNull(), F.col("at")))
+
+
+def messages_of(chunks: DataFrame) -> DataFrame:
+    """(stream_id, role, content, reasoning, tool_calls) of each stream of (stream_id, seq, chunk); streams that said nothing give none.
 
-    return chunks.groupBy("stream_id").applyInPandas(run, SCHEMA)
+    Pieces of one tool call meet by their index: names and arguments are joined in order, of ids and kinds the last counts.
+    """
+    pieces = _pieces(_events(chunks))
+    out = pieces.groupBy("stream_id").agg(F.coalesce(_latest("role"), F.lit("assistant")).alias("role"))
+    for c in TEXTS:
+        joined = _since_replaced(pieces, c).groupBy("stream_id").agg(F.array_join(_in_order(F.col(c)), "").alias(c))
+        out = out.join(joined, "stream_id", "left")
+    calls = _since_replaced(pieces, "calls").select("stream_id", "at", "whole", F.posexplode("calls").alias("place", "c")).where("c IS NOT NULL")
+    calls = calls.select("stream_id", F.struct("at", "place").alias("at"), F.when(F.col("whole"), F.col("place")).otherwise(F.coalesce("c.index", F.lit(0))).alias("index"), "c.id", "c.type", "c.function.name", "c.function.arguments")
+    text = lambda c: F.array_join(_in_order(F.coalesce(c, F.lit(""))), "")
+    merged = calls.groupBy("stream_id", "index").agg(_latest("id").alias("id"), F.coalesce(_latest("type"), F.lit("function")).alias("type"), F.struct(text("name").alias("name"), text("arguments").alias("arguments")).alias("function"))
+    listed = merged.groupBy("stream_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "id", "type", "function"))), lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type"), x["function"].alias("function"))).alias("listed"))
+    none = lambda c: F.when(F.col(c) != "", F.col(c))
+    whole = out.join(listed, "stream_id", "left").select("stream_id", "role", none("content").alias("content"), none("reasoning_content").alias("reasoning"), F.coalesce(F.to_json("listed"), F.lit("[]")).alias("tool_calls"))
+    return whole.where("content IS NOT NULL OR reasoning IS NOT NULL OR tool_calls <> '[]'")
