@@ -35,7 +35,8 @@ def test_sums_equal_brute_force():
         raw = text or ""
         words = raw.split()
         assert count[d] == max(0, len(raw) - 1) + max(0, len(raw) - 2) + 2 * len(words)
-        at, share = buckets.sparse(*text_buffers(pa.array([text])))[0]
+        at, times = buckets.sparse(*text_buffers(pa.array([text])))[0]
+        share = times / max(1, times.sum())
         np.testing.assert_allclose((share[:, None] * weights[at]).sum(axis=0) * count[d] if len(at) else 0, total[d], atol=1e-5)
 
 
@@ -75,6 +76,50 @@ def test_nothing_to_learn(spark):
     assert {r.lang_pred for r in language_id.language_id(one, language_id.train(one)).collect()} == {"xx"}
 
 
+def test_decoding_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4, 7):
+        code = language_id.codewords(n)
+        trust = rng.uniform(0.1, 2, code.shape[1])
+        model = language_id.Codes([f"l{i}" for i in range(n)], code, np.zeros((1, 1)), np.zeros(1), trust)
+        margins = rng.normal(0, 3, (50, code.shape[1]))
+        best, score, lead = model.decode(margins)
+        for row, b, s, far in zip(margins, best, score, lead, strict=True):
+            loss = [sum(t * np.log(1 + np.exp(-m * c)) for m, c, t in zip(row, word, trust, strict=True)) for word in code]
+            ordered = sorted(loss)
+            assert loss[b] == min(loss) and np.isclose(s, np.exp(-loss[b]) / sum(np.exp(-x) for x in loss))
+            assert n == 1 and np.isinf(far) or n > 1 and np.isclose(far, ordered[1] - ordered[0])
+
+
+def test_scores_equal_the_network():
+    """Scoring by one number a bucket gives what averaging the vectors and the layer give."""
+    import pyarrow as pa
+
+    rng, buckets = np.random.default_rng(6), quality_classifier.BUCKETS
+    vectors, layer, bias = rng.normal(size=(buckets.total, 8)), rng.normal(size=(8, 2)), rng.normal(size=2)
+    model = quality_classifier.Embeddings(vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0]))
+    texts = ["", "one two two", "é ü 言葉 words", None]
+    got = model.score(*text_buffers(pa.array(texts)))
+    for text, score in zip(texts, got, strict=True):
+        at, times = buckets.sparse(*text_buffers(pa.array([text])))[0]
+        z = (times / max(1, times.sum())) @ vectors[at] @ layer + bias if len(at) else bias
+        assert np.isclose(score, np.exp(z[1]) / np.exp(z).sum())
+
+
+def test_many_languages(spark):
+    """Every language can be predicted, also beyond the 200 most frequent."""
+    rnd = random.Random(5)
+    rows = []
+    for k in range(260):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(12)]
+        rows += [(4 * k + j, " ".join("".join(rnd.choice(letters) for _ in range(4)) for _ in range(30)), f"l{k:03}", None, None) for j in range(4)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    model = language_id.train(docs)
+    assert len(model.languages) == 260
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(docs, model).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.9
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 5, 9, 40):
         code = language_id.codewords(n)

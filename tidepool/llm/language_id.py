@@ -11,6 +11,7 @@ and never learned from; repeated rows are judged one by one, further columns don
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,9 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.ngrams import Buckets
+from tidepool.llm.ngrams import SAMPLE, Buckets, Shares, sample_columns
 from tidepool.llm.runtime import prepare
-from tidepool.llm.textbuf import slices, text_buffers
+from tidepool.llm.textbuf import release, slices, text_buffers
 
 #: Documents learned from at most, chosen by a hash of doc_id, the same number for each language (one at least).
 TRAIN_ROWS = 6000
@@ -67,7 +68,7 @@ class Codes:
         return SCALE * total / np.maximum(count, 1)[:, None] + self.bias
 
 
-def fit_codes(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 3) -> Codes:
+def fit_codes(rows: Sequence[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 3) -> Codes:
     languages = sorted(set(langs))
     code = codewords(len(languages)) if languages else np.zeros((0, 1), np.int8)
     bits = code.shape[1]
@@ -113,15 +114,16 @@ def train(docs: DataFrame, where: Column | None = None, train_rows: int = TRAIN_
 
     def run(batches):
         for batch in slices(batches):
-            made = BUCKETS.sparse(*text_buffers(batch.column("text")))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "at": pa.array([m[0].tobytes() for m in made], pa.binary()), "share": pa.array([m[1].tobytes() for m in made], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang")} | sample_columns(BUCKETS, batch))
 
     sample = rows.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")  # bounded by train_rows
-    got = sample.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, at binary, share binary").toArrow()
+    got = sample.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {SAMPLE}").toArrow()
     keys = list(zip(*(got.column(c).to_pylist() for c in ("doc_id", "lang")), strict=True))
     order = sorted(range(len(got)), key=keys.__getitem__)
-    at, share = got.column("at"), got.column("share")
-    return fit_codes([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(share[i].as_buffer(), np.float32)) for i in order], [keys[i][1] for i in order])
+    model = fit_codes(Shares(got, order), [keys[i][1] for i in order])
+    del got
+    release()
+    return model
 
 
 def language_id(docs: DataFrame, model: Codes) -> DataFrame:

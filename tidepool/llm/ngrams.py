@@ -2,16 +2,17 @@
 
 N-grams are taken over the code points of a text with A-Z lower-cased, across word ends; words are
 those of ``textbuf``, and each word also counts as one that equals the word before it, or as one that
-does not. ``sums`` adds a weight a bucket over each document; ``sparse`` lists the shares.
+does not. ``sums`` adds a weight a bucket over each document; ``sparse`` lists the counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
-from tidepool.llm.textbuf import LOWER, Words
+from tidepool.llm.textbuf import LOWER, Words, text_buffers
 
 U32 = np.uint32
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F, 0x165667B1, 0xD3A2646D], U32)
@@ -65,7 +66,7 @@ class Buckets:
         return out, count
 
     def sparse(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each document its buckets and their shares of all its occurrences."""
+        """For each document its buckets and how often each occurs, no count over 65535."""
         parts: list[list] = [[] for _ in offsets[1:]]
         for at, starts, ends in self(data, offsets):
             for d, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
@@ -73,5 +74,30 @@ class Buckets:
         out = []
         for p in parts:
             values, counts = np.unique(np.concatenate(p), return_counts=True)
-            out.append((values.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
+            out.append((values.astype(np.int32), np.minimum(counts, 65535).astype(np.uint16)))
         return out
+
+
+SAMPLE = "at binary, times binary"
+
+
+def sample_columns(buckets: Buckets, batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    """The buckets and counts of a batch's texts as the columns of SAMPLE."""
+    made = buckets.sparse(*text_buffers(batch.column("text")))
+    return {"at": pa.array([m[0].tobytes() for m in made], pa.binary()), "times": pa.array([m[1].tobytes() for m in made], pa.binary())}
+
+
+class Shares(Sequence):
+    """(buckets, their shares of all occurrences) of each row of a collected sample, in the given order; made from the bytes on use."""
+
+    def __init__(self, sample: pa.Table, order: list[int]):
+        self.at, self.times, self.order = sample.column("at").combine_chunks(), sample.column("times").combine_chunks(), order
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i >= len(self.order):
+            raise IndexError(i)
+        at, times = (np.frombuffer(c[self.order[i]].as_buffer(), kind) for c, kind in ((self.at, np.int32), (self.times, np.uint16)))
+        return at, times.astype(np.float32) / np.float32(max(1, int(times.sum(dtype=np.int64))))

@@ -11,16 +11,17 @@ the score is that class's smoothed share (0.5 without labels).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from tidepool.llm.ngrams import Buckets
+from tidepool.llm.ngrams import SAMPLE, Buckets, Shares, sample_columns
 from tidepool.llm.quality_rules import labelled_sample
 from tidepool.llm.runtime import prepare
-from tidepool.llm.textbuf import slices, text_buffers
+from tidepool.llm.textbuf import release, slices, text_buffers
 
 #: Labelled documents learned from at most, chosen by a hash of doc_id.
 TRAIN_ROWS = 6000
@@ -40,7 +41,7 @@ class Embeddings:
         return 1 / (1 + np.exp(-np.clip(total[:, 0] / np.maximum(count, 1) + self.bias, -30, 30)))
 
 
-def fit_embeddings(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> Embeddings:
+def fit_embeddings(rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> Embeddings:
     """``rows`` are buckets and shares of each document; a step is one document, the rarer class weighs more."""
     y = np.asarray(y, int)
     if not len(y) or y.min() == y.max():
@@ -78,20 +79,21 @@ def fit_embeddings(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, see
 
 
 def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, train_rows: int = TRAIN_ROWS, target: str = "quality") -> Embeddings:
-    """Learn ``target`` of the rows of ``labels`` that ``where`` admits. Shares are made on the executors."""
+    """Learn ``target`` of the rows of ``labels`` that ``where`` admits. Counts are made on the executors."""
     prepare(docs.sparkSession)
 
     def run(batches):
         for batch in slices(batches):
-            made = BUCKETS.sparse(*text_buffers(batch.column("text")))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "at": pa.array([m[0].tobytes() for m in made], pa.binary()), "share": pa.array([m[1].tobytes() for m in made], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y")} | sample_columns(BUCKETS, batch))
 
     sample = labelled_sample(docs, labels, target, train_rows, where)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(run, f"doc_id {kind}, y int, at binary, share binary").toArrow()  # bounded by train_rows
+    got = sample.mapInArrow(run, f"doc_id {kind}, y int, {SAMPLE}").toArrow()  # bounded by train_rows
     order = sorted(range(len(got)), key=list(zip(*(got.column(c).to_pylist() for c in ("doc_id", "y")), strict=True)).__getitem__)
-    at, share, y = got.column("at"), got.column("share"), got.column("y").to_numpy()
-    return fit_embeddings([(np.frombuffer(at[i].as_buffer(), np.int32), np.frombuffer(share[i].as_buffer(), np.float32)) for i in order], y[order] if order else np.empty(0, int))
+    model = fit_embeddings(Shares(got, order), got.column("y").to_numpy()[order] if order else np.empty(0, int))
+    del got
+    release()
+    return model
 
 
 def quality_scores(docs: DataFrame, model: Embeddings, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

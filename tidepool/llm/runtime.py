@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
