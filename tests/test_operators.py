@@ -43,6 +43,21 @@ def test_within_hours_equals_naive(spark):
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(80) for b in range(80) if a != b and abs(times[a] - times[b]) <= 48 * 3600}
 
 
+def test_first_within_equals_naive(spark):
+    rnd = random.Random(2)
+    times = [rnd.choice([rnd.randrange(0, 40 * 3600), rnd.randrange(0, 200), 7200, 14399, 14400]) for _ in range(150)]
+    seq = [rnd.randrange(0, 100) for _ in times]
+    stamp = F.timestamp_add("SECOND", F.col("s").cast("int"), F.lit("1969-12-31 20:00:00").cast("timestamp_ntz"))
+    m = spark.createDataFrame([(i, q, t) for i, (q, t) in enumerate(zip(seq, times, strict=True))] + [(900, 0, None)], "id long, seq long, s long").withColumn("created", stamp)
+    for hours in (1, 3):
+        got = {(r.source, r.nth): (r.target, round(r.gap_hours * 3600)) for r in pairs.first_within(m.where("id % 2 = 0"), m, hours, 3).collect()}
+        want = {}
+        for a in range(0, 150, 2):
+            near = sorted((seq[b], b) for b in range(150) if b != a and abs(times[a] - times[b]) <= hours * 3600)[:3]
+            want |= {(a, n): (b, abs(times[a] - times[b])) for n, (_, b) in enumerate(near, 1)}
+        assert got == want
+
+
 def test_leader_clusters_are_greedy(spark):
     rnd = random.Random(3)
     edges = sorted({tuple(sorted(rnd.sample(range(40), 2))) for _ in range(60)})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepool.config import DecaySettings
 from tidepool.functions.scoring import clamp, flag, merged_average
 from tidepool.functions.text import safe_name
-from tidepool.operators.pairs import within_hours
+from tidepool.operators.pairs import first_within
 from tidepool.operators.predicates import decays, fades, is_core, resolves_itself, ripples, type_in
 
 DEFAULT_DOMAIN = "未分类"
@@ -121,10 +121,9 @@ def decay_stats(cycle: DataFrame) -> DataFrame:
 
 
 def ripple_targets(memory: DataFrame, touched: DataFrame, hours: int = 48, most: int = 5) -> DataFrame:
-    """(source, target): for each touched row the first rows in scan order that were created within ``hours`` of it."""
-    pairs = within_hours(memory.join(touched.select("id").distinct(), "id", "left_semi"), memory.where(ripples() & (F.col("store") != "archive")), hours)
-    w = Window.partitionBy("source").orderBy("seq")
-    return pairs.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("source", "target", "nth", "gap_hours")
+    """(source, target, nth, gap_hours): for each touched row the first rows in scan order that were created within ``hours`` of it."""
+    sources = memory.join(touched.select("id").distinct(), "id", "left_semi")
+    return first_within(sources, memory.where(ripples() & (F.col("store") != "archive")), hours, most)
 
 
 def touched(memory: DataFrame, activations: DataFrame, now: Column, spread: float = 0.3) -> DataFrame:

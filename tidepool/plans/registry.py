@@ -260,11 +260,13 @@ def injection_before(spark, d):
     return rounds(spark, d).select("session_id", "round_id", "bucket_id", F.max("completed_at").over(w).alias("injected_before"))
 
 
+_SPLIT = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
 RECALL = (
-    with_(sql.MEM, sql.ROUNDS)
-    + f""", sess AS (SELECT DISTINCT session_id FROM rounds),
-kw AS (SELECT session_id, m.id, ((m.id * 31 + session_id * 17) % 100)::DOUBLE / 100 AS score FROM sess JOIN mem m ON m.id % 25 = session_id % 25 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, m.id) <= 10),
-se AS (SELECT session_id, m.id, ((m.id * 13 + session_id * 29) % 100)::DOUBLE / 100 AS score FROM sess JOIN mem m ON m.id % 20 = session_id % 20 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, m.id) <= 10),
+    with_(sql.MEM, sql.ROUNDS, sql.VECTORS)
+    + f""", asked AS (SELECT session_id, {_SPLIT.format("query")} AS asked FROM (SELECT conv_id AS session_id, arg_max(text, turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS query FROM conversations GROUP BY conv_id) WHERE query IS NOT NULL AND session_id IN (SELECT session_id FROM rounds)),
+held AS (SELECT id, {_SPLIT.format("content")} AS words FROM mem WHERE {sql.CAN_RECALL}),
+kw AS (SELECT session_id, id, shared::DOUBLE / len(asked) AS score FROM (SELECT *, len(list_intersect(asked, words)) AS shared FROM asked, held) WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY score DESC, id) <= 10),
+se AS (SELECT session_id, id, greatest(0, least(1, similarity)) AS score FROM (SELECT session_id, v.id, round({sql.cosine("v.embedding", "q.embedding")}, 6) AS similarity FROM asked JOIN vectors q ON q.id = session_id, vectors v) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY similarity DESC, id) <= 10),
 met AS (SELECT coalesce(k.session_id, s.session_id) AS session_id, coalesce(k.id, s.id) AS id, coalesce(k.score, 0) AS k, coalesce(s.score, 0) AS s FROM kw k FULL JOIN se s ON k.session_id = s.session_id AND k.id = s.id),
 sc AS (SELECT met.session_id, met.id, round((s * 0.45::DOUBLE + k * 0.35::DOUBLE + importance::DOUBLE / 10 * 0.1::DOUBLE + exp(-0.1::DOUBLE * days) * 0.1::DOUBLE) * {sql.cooled(f"(epoch_us({sql.NOW}) // 1000000 - epoch_us(injected_at) // 1000000)::DOUBLE / 3600")}, 4) AS score
   FROM met JOIN mem USING (id) LEFT JOIN lasts l ON l.session_id = met.session_id AND l.bucket_id = met.id WHERE {sql.CAN_RECALL}),
@@ -275,18 +277,6 @@ SELECT session_id, id, score, rank FROM rk WHERE (rank = 1 AND score >= 0.55) OR
 )
 
 
-def _channels(spark: SparkSession, d: str):
-    """Candidates that SQL can express: each session meets the memories of its residues only. No search runs; ``_searches`` runs both."""
-    session_ids, ids = rounds(spark, d).select("session_id").distinct(), memories(spark, d).select("id")
-
-    def channel(residue: int, a: int, b: int) -> DataFrame:
-        met = session_ids.withColumn("m", F.col("session_id") % residue).join(ids.withColumn("m", F.col("id") % residue), "m")
-        scored = met.select("session_id", "id", ((F.col("id") * a + F.col("session_id") * b) % 100 / F.lit(100.0)).alias("score"))
-        return ranking.top_per(scored, "session_id", 10, F.desc("score"), F.col("id")).drop("rank")
-
-    return channel(25, 31, 17), channel(20, 13, 29)
-
-
 def _searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """What both searches answer each session, over all memories: (session_id, id, score) by words, and by vectors.
 
@@ -301,20 +291,16 @@ def _searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return plans.word_hits(memories(spark, d), asked, 10), near
 
 
-@query("recall_searched")
-def recall_searched(spark, d):
-    """``recall_cards`` with both searches run over all memories."""
-    return plans.recall(memories(spark, d), *_searches(spark, d), rounds(spark, d), now_column())
-
-
+@query("recall_searched", RECALL)
 @query("recall_cards", RECALL)
 def recall_cards(spark, d):
-    return plans.recall(memories(spark, d), *_channels(spark, d), rounds(spark, d), now_column())
+    """One or two cards a session from both searches over all memories; the older name is kept beside the newer."""
+    return plans.recall(memories(spark, d), *_searches(spark, d), rounds(spark, d), now_column())
 
 
 @query("hybrid_candidates", RECALL.split("SELECT session_id, id, score, rank FROM rk")[0] + "SELECT session_id, id, k, s FROM met")
 def hybrid_candidates(spark, d):
-    keyword, semantic = _channels(spark, d)
+    keyword, semantic = _searches(spark, d)
     met = keyword.withColumnRenamed("score", "k").join(semantic.withColumnRenamed("score", "s"), ["session_id", "id"], "full_outer")
     return met.select("session_id", "id", F.coalesce("k", F.lit(0.0)).alias("k"), F.coalesce("s", F.lit(0.0)).alias("s"))
 
@@ -433,7 +419,7 @@ def feelings_pack(spark, d):
 @query("recalled_block")
 def recalled_block(spark, d):
     """Cards of each session as one block, the first trimmed if it is too big."""
-    best = recall_searched(spark, d).join(memories(spark, d), "id")
+    best = recall_cards(spark, d).join(memories(spark, d), "id")
     packed = packing.pack_trimmed(best.select("session_id", "id", "rank", plans.summary(F.col("content")).alias("summary")), 60, [F.col("rank")], ("session_id",))
     return packed.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "summary"))), lambda x: F.concat(F.lit("- "), x["summary"])), "\n").alias("block"), F.sum("tokens").alias("tokens"))
 
