@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.sources import exports, markdown, providers
@@ -68,3 +69,50 @@ def test_providers(spark):
     assert {r.id: r.answer for r in out.collect()} == {1: "A", 2: None, 3: "", 4: "A", 5: "kept"} and new.count() == 2
     v = providers.hashed_vector("some words and words")
     assert abs(sum(x * x for x in v) - 1) < 1e-9 and providers.hashed_vector("") == [0.0] * 64
+
+
+def test_settings_by_precedence():
+    from tidepool.config import load_settings
+
+    text = "decay: {rate: 0.2, archive_below: 0.5}\nrecall:\n  top_k: 7\n"
+    got = load_settings(text, {"TIDEPOOL_DECAY__RATE": "0.3", "TIDEPOOL_RECALL__MAX_CARDS": " ", "OTHER": "x"}, {"recall": {"top_k": 9}})
+    assert (got.decay.rate, got.decay.archive_below, got.recall.top_k, got.recall.max_cards, got.search.topic) == (0.3, 0.5, 9, 2, 4.0)
+    assert load_settings(None, {}) == load_settings("", {})
+    for bad in ("[1]", "decay: {unknown: 1}"):
+        with pytest.raises((ValueError, TypeError)):
+            load_settings(bad, {})
+
+
+def test_table_by_store_and_domain(spark, tmp_path):
+    from tidepool.sources.markdown import write_table
+    from tidepool.sources.memory import memories
+
+    m = memories(spark, "/root/testdata/sf0.001").withColumn("domain", F.when(F.col("id") % 5 != 0, F.col("domain")))
+    write_table(m, f"{tmp_path}/t")
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert back.count() == m.count() and {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {f"store={r.store}" for r in m.select("store").distinct().collect()}
+    assert back.where("(home = '未分类') <> (id % 5 = 0)").isEmpty()
+
+
+def test_backfill_outcomes(spark):
+    from tidepool.sources import providers
+
+    class Partly:
+        def complete(self, texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return ["[1.0, 2.0]" if "odd" not in t else "none" for t in texts]
+
+    m = spark.createDataFrame([(1, "a"), (2, " \n"), (3, None), (4, "bad"), (5, "odd"), (6, "b")], "id long, content string")
+    rows = providers.backfilled(m, spark.createDataFrame([(6,)], "id long"), Partly)
+    assert {r.id: (r.embedding, r.outcome) for r in rows.collect()} == {1: ([1.0, 2.0], "success"), 2: (None, "skipped"), 3: (None, "skipped"), 4: (None, "failed"), 5: (None, "failed")}
+    assert tuple(providers.backfill_counts(rows).collect()[0]) == (1, 2, 2)
+
+
+def test_retagging(spark):
+    from tidepool.functions import answers
+
+    raw = ['```json\n{"domain": ["a", "b", "c", "d"], "tags": ["1", "2", "3", "4", "5", "6"], "suggested_name": " x/y: ", "valence": 3, "arousal": "0.4"}\n```', "{}", "[]", "broken", '{"valence": "much"}', None]
+    got = [r.t for r in spark.createDataFrame(list(enumerate(raw)), "i int, raw string").select("i", answers.retagging(F.col("raw"), F.lit("old")).alias("t")).orderBy("i").collect()]
+    assert tuple(got[0]) == (["a", "b", "c"], ["1", "2", "3", "4", "5"], "xy", 1.0, 0.4)
+    assert tuple(got[1]) == (["未分类"], [], "old", 0.5, 0.3) and got[2:] == [None] * 4

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import copy
+import os
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
@@ -79,3 +81,32 @@ def settings(overrides: dict[str, Any] | None = None) -> Settings:
     merged = deep_merge(asdict(Settings()), overrides or {})
     kinds = {f.name: f.default_factory for f in fields(Settings)}
     return Settings(**{name: kinds[name](**values) for name, values in merged.items()})
+
+
+ENV_PREFIX = "TIDEPOOL_"
+
+
+def from_environment(environ: Mapping[str, str]) -> dict[str, Any]:
+    """Overrides from variables such as TIDEPOOL_DECAY__RATE=0.1; names in any case, values as YAML scalars. Blank ones set nothing."""
+    import yaml
+
+    out: dict[str, Any] = {}
+    for name, value in sorted(environ.items()):
+        if name.startswith(ENV_PREFIX) and "__" in name and value.strip():
+            group, key = name.removeprefix(ENV_PREFIX).lower().split("__", 1)
+            out.setdefault(group, {})[key] = yaml.safe_load(value)
+    return out
+
+
+def load_settings(text: str | None = None, environ: Mapping[str, str] | None = None, overrides: dict[str, Any] | None = None) -> Settings:
+    """Defaults, then a YAML ``text``, then the environment, then ``overrides``; each is merged over what comes before.
+
+    Settings are values: a change while running is a new call whose result the next plan takes.
+    """
+    import yaml
+
+    held = yaml.safe_load(text) if text else None
+    if held is not None and not isinstance(held, dict):
+        raise ValueError("settings must be a mapping")
+    merged = deep_merge(deep_merge(held or {}, from_environment(os.environ if environ is None else environ)), overrides or {})
+    return settings(merged)

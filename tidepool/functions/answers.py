@@ -10,6 +10,8 @@ from tidepool.functions.scoring import clamp, limited
 
 #: Names and defaults of the contract.
 NO_DOMAIN = "未分类"
+NO_NAME = "未命名"
+NOT_IN_NAMES = r'[<>:"/\\|?*\n\r]'
 PERSONALITY = ("openness", "conscientiousness", "extraversion", "agreeableness", "neuroticism")
 RELATIONSHIP = ("affinity", "dominance", "defensiveness", "trust")
 AFFECT = ("valence", "arousal")
@@ -57,6 +59,23 @@ def analysis(raw: Column, most_tags: int = 15) -> Column:
     )
 
 
+def retagging(raw: Column, name: Column) -> Column:
+    """Struct (domain, tags, name, valence, arousal) of an answer that tags a memory anew: at most five tags, the old name where none is suggested, without signs that files can't have and cut to 20.
+
+    Null, which leaves a memory as it is, if the answer is no JSON object or a mood in it is no number.
+    """
+    v = parsed(unfenced(raw))
+    mood = {p: F.coalesce(get(v, f"$.{p}"), F.lit(d)).try_cast("double") for p, d in (("valence", "0.5"), ("arousal", "0.3"))}
+    suggested = F.coalesce(get(v, "$.suggested_name"), F.lit(""))
+    named = F.regexp_replace(F.when(suggested != "", suggested).otherwise(F.coalesce(name, F.lit(""))), NOT_IN_NAMES, "")
+    short = F.left(F.regexp_replace(named, r"^\s+|\s+$", ""), F.lit(20))
+    out = F.struct(
+        _words(v, "$.domain", 3, F.array(F.lit(NO_DOMAIN))).alias("domain"), _words(v, "$.tags", 5, F.array().cast("array<string>")).alias("tags"),
+        F.when(short != "", short).otherwise(NO_NAME).alias("name"), *[clamp(x, 0, 1).alias(p) for p, x in mood.items()],
+    )
+    return F.when((kind_of(v) == "OBJECT") & mood["valence"].isNotNull() & mood["arousal"].isNotNull(), out)
+
+
 def items(raw: Column, most_tags: int = 15) -> Column:
     """Array of structs of a splitting answer; items without content are dropped, anything but a list gives none."""
     v = parsed(unfenced(raw))

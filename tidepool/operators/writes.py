@@ -58,6 +58,11 @@ def updated(memory: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     return both.select(*[values.get(c, F.col(c)).alias(c) for c in memory.columns])
 
 
+def found(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose id is asked for; ids that it lacks give none."""
+    return table.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def deleted(memory: DataFrame, ids: DataFrame) -> DataFrame:
     return memory.join(ids.select("id").distinct(), "id", "left_anti")
 

@@ -11,6 +11,7 @@ from tidepool.functions import scoring, text
 from tidepool.operators import packing, pairs, predicates, ranking, turns, writes
 from tidepool.plans import memory_plans as plans
 from tidepool.plans import sql
+from tidepool.sources import providers
 from tidepool.sources.memory import memories, now_column, rounds, vectors as vector_table
 from tidepool.sources.memory import turns as turn_table
 
@@ -339,6 +340,25 @@ def missing_vectors(spark, d):
     return memories(spark, d).select("id", "name").join(vector_table(spark, d).select("id"), "id", "left_anti")
 
 
+@query("vector_get", VECTORS + "SELECT id, len(embedding) AS size, round(list_dot_product(embedding, embedding), 6) AS square FROM vectors WHERE id IN (SELECT id FROM mem WHERE type = 'feel')")
+def vector_get(spark, d):
+    """The stored vectors of all feelings."""
+    got = writes.found(vector_table(spark, d), memories(spark, d).where("type = 'feel'"))
+    return got.select("id", F.size("embedding").cast("long").alias("size"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"))
+
+
+@query("vector_delete", VECTORS + "SELECT id FROM vectors WHERE id NOT IN (SELECT id FROM mem WHERE store = 'archive')")
+def vector_delete(spark, d):
+    """The ids whose vectors are left once those of archived memories are deleted."""
+    return writes.deleted(vector_table(spark, d), memories(spark, d).where("store = 'archive'")).select("id")
+
+
+@query("backfill_counts", VECTORS + "SELECT count(*) FILTER (WHERE NOT blank) AS success, 0::BIGINT AS failed, count(*) FILTER (WHERE blank) AS skipped FROM (SELECT regexp_full_match(coalesce(content, ''), '\\s*') AS blank FROM mem WHERE id NOT IN (SELECT id FROM vectors))")
+def backfill_counts(spark, d):
+    """What became of the memories without a vector, by a model that never fails."""
+    return providers.backfill_counts(providers.backfilled(memories(spark, d), vector_table(spark, d), providers.HashedVectors))
+
+
 @query("vector_only_hits", VECTORS + RELEVANT + f", kw AS (SELECT id FROM rel WHERE store <> 'archive' AND relevance >= 50 ORDER BY round(relevance, 2) DESC, id LIMIT 20), nn AS (SELECT v.id, round({sql.cosine('v.embedding', 'q.embedding')}, 6) AS similarity FROM vectors v, (SELECT embedding FROM vectors WHERE id = 7) q ORDER BY 2 DESC, 1 LIMIT 20) SELECT nn.id, round(similarity * 100, 2) AS score, m.type FROM nn JOIN mem m USING (id) WHERE similarity > 0.1 AND id NOT IN (FROM kw)")
 def vector_only_hits(spark, d):
     m, v = memories(spark, d), vector_table(spark, d)

@@ -104,5 +104,9 @@ def front_fields(files: DataFrame) -> DataFrame:
 
 
 def write_table(memory: DataFrame, path: str) -> None:
-    """The steady form: Parquet in partitions by store, so that leaving out the archive prunes directories."""
-    memory.repartition("store").write.partitionBy("store").mode("overwrite").parquet(path)
+    """The steady form: Parquet in partitions by store and first domain (``home``), so that a store or a domain that isn't asked for is never listed.
+
+    Rows of a partition are brought together, and a large one is split again into several files.
+    """
+    home = safe_name(F.coalesce(F.get("domain", F.lit(0)), F.lit("未分类")))
+    memory.withColumn("home", home).hint("rebalance", "store", "home").write.partitionBy("store", "home").mode("overwrite").parquet(path)

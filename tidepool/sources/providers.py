@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -41,6 +42,13 @@ def hashed_vector(text: str, size: int = 64) -> list[float]:
     return [x / norm for x in v] if norm else v
 
 
+class HashedVectors:
+    """A deterministic provider of embeddings for tests: each as a JSON list."""
+
+    def complete(self, texts: list[str]) -> list[str]:
+        return [json.dumps(hashed_vector(t)) for t in texts]
+
+
 def answered(rows: DataFrame, make: Callable[[], Provider], kind: str, column: str = "text", batch: int = 20) -> DataFrame:
     """``rows`` with (answer, error): one client a partition, ``batch`` texts a call, one retry text by text so that a bad one fails alone."""
     limit = INPUT_LIMIT[kind]
@@ -76,3 +84,17 @@ def memoised(rows: DataFrame, cache: DataFrame, make: Callable[[], Provider], ki
     made = answered(misses, make, kind, column).select("content_hash", "answer", "error")
     known = cache.select("content_hash", "answer", F.lit(None).cast("string").alias("error")).unionByName(made)
     return hashed.join(known, "content_hash", "left"), made.where("error IS NULL").select("content_hash", "answer")
+
+
+def backfilled(memory: DataFrame, vectors: DataFrame, make: Callable[[], Provider]) -> DataFrame:
+    """(id, embedding, outcome) of memories without a vector: blank texts are skipped, others succeed or fail by what the model answers (a JSON list of numbers)."""
+    missing = memory.select("id", F.col("content").alias("text")).join(vectors.select("id"), "id", "left_anti")
+    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^\s*$")
+    made = answered(missing.where(~blank), make, "embed").withColumn("embedding", F.from_json("answer", "array<double>"))
+    good = F.coalesce(F.size("embedding") > 0, F.lit(False)) & ~F.coalesce(F.exists("embedding", lambda x: x.isNull()), F.lit(False))
+    rows = made.select("id", F.when(good, F.col("embedding")).alias("embedding"), F.when(good, "success").otherwise("failed").alias("outcome"))
+    return rows.unionByName(missing.where(blank).select("id", F.lit(None).cast("array<double>").alias("embedding"), F.lit("skipped").alias("outcome")))
+
+
+def backfill_counts(rows: DataFrame) -> DataFrame:
+    return rows.agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("success", "failed", "skipped")])
