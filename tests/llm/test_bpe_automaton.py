@@ -30,6 +30,7 @@ def test_equals_library(library):
 
 def test_small_memo(library, monkeypatch):
     monkeypatch.setattr(op, "MEMO_WORDS", 3)
+    monkeypatch.setattr(op, "MEMO_STEPS", 3)
     automaton = op.compile_automaton(op.read_vocabulary(PATH))
     text = "some words repeat and some words do not " + "longword" * 30
     assert op.unpack(automaton.encode(text * 3)) == library.encode(text * 3, add_special_tokens=False).ids

@@ -29,7 +29,9 @@ from tidepool.llm.textbuf import slices
 #: Fixed value of byte-level vocabularies: the split of a text into words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words whose ids one worker remembers, twice over.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 200_000
+#: Pairs of tokens of which one worker remembers whether they can follow each other.
+MEMO_STEPS = 400_000
 LONG_WORD = 64
 NEVER = 1 << 60
 
@@ -132,7 +134,7 @@ class Automaton:
             state, k = self.parent[state]
             before = min(before, k)
         self.memo[last << 20 | label] = out
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_STEPS:
             self.memo.clear()
         return out
 
