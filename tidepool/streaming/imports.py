@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,3 +41,32 @@ def run_import(spark: SparkSession, folder: str, out: str, checkpoint: str, targ
 
 def progress(out: DataFrame) -> DataFrame:
     return out.groupBy("source_hash").agg(F.count("*").alias("chunks"), F.sum("turn_count").alias("turns"), F.sum("tokens").alias("tokens"))
+
+
+def pending_chunks(planned: DataFrame, outcomes: DataFrame, paused: DataFrame) -> DataFrame:
+    """The chunks still to do: those without an outcome, failed ones not among them, of sources (source_hash) that aren't paused."""
+    return planned.join(outcomes.select("chunk_id"), "chunk_id", "left_anti").join(paused.select("source_hash"), "source_hash", "left_anti")
+
+
+def import_status(planned: DataFrame, outcomes: DataFrame, paused: DataFrame, most_errors: int = 100) -> DataFrame:
+    """One row a source of ``planned`` (source_hash, chunk_id, chunk): what became of its chunks, and ``status``.
+
+    ``outcomes`` (chunk_id, api_calls, created, merged, raw, error) has a row for each chunk that was processed, also for
+    failed ones, whose first 200 characters of error are listed with the chunk's number, for the first ``most_errors`` of a
+    source. An outcome written twice, after a restart, counts once. A source without outcomes is idle, or paused if it is
+    in ``paused`` (source_hash); one with all its chunks is completed, whether paused or not.
+    """
+    once = outcomes.dropDuplicates(["chunk_id"]).withColumn("done", F.lit(1))
+    met = planned.join(once, "chunk_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counted = met.groupBy("source_hash").agg(
+        F.count("*").alias("total_chunks"), total("done").alias("processed"), total("api_calls").alias("api_calls"),
+        total("created").alias("memories_created"), total("merged").alias("memories_merged"), total("raw").alias("memories_raw"),
+    )
+    # A bounded rank first, so that no source's list grows with its failures.
+    failed = met.where(F.col("error").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("source_hash").orderBy("chunk", "chunk_id"))).where(F.col("place") <= most_errors)
+    line = F.concat(F.lit("Chunk "), F.col("chunk").cast("string"), F.lit(": "), F.left("error", F.lit(200)))
+    errors = failed.groupBy("source_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]).alias("errors"))
+    held = paused.select("source_hash").distinct().withColumn("held", F.lit(True))
+    status = F.when(F.col("processed") == F.col("total_chunks"), "completed").when(F.col("held"), "paused").when(F.col("processed") > 0, "running").otherwise("idle")
+    return counted.join(errors, "source_hash", "left").join(held, "source_hash", "left").select(*counted.columns, F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), status.alias("status"))

@@ -68,6 +68,16 @@ def moods(events: DataFrame, s: PersonaSettings = PersonaSettings()) -> DataFram
     return events.groupBy("session_id").applyInPandas(run, MOOD_SCHEMA)
 
 
+def last_moods(events: DataFrame, s: PersonaSettings = PersonaSettings()) -> DataFrame:
+    """(session_id, valence, arousal, session_defensiveness) after each session's last message."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        mood = _fold(frame, dict(REST), None, s)[1]
+        return pd.DataFrame([(frame.session_id.iloc[0], *(mood[k] for k in REST))], columns=["session_id", "valence", "arousal", "session_defensiveness"])
+
+    return events.groupBy("session_id").applyInPandas(run, "session_id long, valence double, arousal double, session_defensiveness double")
+
+
 def streamed_moods(events: DataFrame, s: PersonaSettings = PersonaSettings()) -> DataFrame:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mood, at = dict(REST), None
