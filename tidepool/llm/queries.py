@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from tidepool.llm import quality_classifier as quality_op
 from tidepool.llm import quality_rules as rules_op
 from tidepool.llm import run_length_dedup as repeat_op
 from tidepool.llm import url_filters as url_op
-from tidepool.llm.runtime import documents, remainder
+from tidepool.llm import warc as warc_op
+from tidepool.llm.runtime import documents, remainder, shared_folder
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -101,6 +103,22 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
+    warc_op.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    back = warc_op.read_archives(spark, path, strict=True).where(F.col("record_type").isin("response", "revisit"))
+    return back.select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('{_LETTERS}', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS digest FROM p),
+o AS (SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS first_id FROM d WINDOW w AS (PARTITION BY hex ORDER BY page_id NULLS LAST))
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first_id END AS refers_to FROM o
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontamination": op2_decontamination,
@@ -112,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_hmm_scoring": op10_hmm_scoring,
+    "op11_warc": op11_warc,
 }
 
-ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL}
+ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL, "op11_warc": OP11_SQL}
