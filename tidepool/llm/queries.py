@@ -13,6 +13,7 @@ from tidepool.llm import decontamination as leak_op
 from tidepool.llm import hmm_scoring as hmm_op
 from tidepool.llm import language_id as language_op
 from tidepool.llm import minhash_dedup as minhash_op
+from tidepool.llm import periodic_runs as runs_op
 from tidepool.llm import phrase_dedup as phrase_op
 from tidepool.llm import quality_classifier as quality_op
 from tidepool.llm import quality_rules as rules_op
@@ -103,6 +104,29 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of documents whose h = crc32(doc_id) ends in 0, the words from a on repeat the p words at a."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / F.lit(10)), F.col("n")
+    told = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    told = told.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8)) + 1)
+    again = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return told.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def run_digests(collapsed: DataFrame) -> DataFrame:
+    """The contract's columns: the run with most periods (of equal ones the first), and digests of all runs and of the text left."""
+    kind = "struct<start: long, length: long, period: long>"
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    told = collapsed.withColumn("best", best)
+    return told.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(F.encode(lines, "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(runs_op.collapse_runs(with_periods(documents(spark, sf_dir))))
+
+
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
     warc_op.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -131,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_hmm_scoring": op10_hmm_scoring,
     "op11_warc": op11_warc,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL, "op11_warc": OP11_SQL}

@@ -194,3 +194,18 @@ def duplicated(keys: np.ndarray) -> np.ndarray:
 def keyed(doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Hashes that only agree within one document."""
     return mix(hashes ^ mix(doc.astype(U64) + U64(1)))
+
+
+def joined_words(words: Words, gone: np.ndarray) -> pa.Array:
+    """For each document its words that aren't ``gone``, joined by one space."""
+    stay = np.flatnonzero(~gone)
+    change = np.zeros(len(words.data) + 1, np.int32)
+    change[words.starts[stay]] += 1
+    np.subtract.at(change, words.ends[stay], 1)
+    keep = np.cumsum(change[:-1]) > 0
+    gap = words.starts[stay[1:][words.doc[stay[1:]] == words.doc[stay[:-1]]]] - 1  # the byte before each word but the first
+    keep[gap] = True
+    out = words.data.copy()
+    out[gap] = 32
+    bounds = np.r_[0, np.cumsum(keep)][words.offsets].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(words.offsets) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(out[keep])]).cast(pa.string())
