@@ -18,6 +18,7 @@ from tidepool.llm import phrase_dedup as phrase_op
 from tidepool.llm import quality_classifier as quality_op
 from tidepool.llm import quality_rules as rules_op
 from tidepool.llm import run_length_dedup as repeat_op
+from tidepool.llm import source_divergence as source_op
 from tidepool.llm import url_filters as url_op
 from tidepool.llm import warc as warc_op
 from tidepool.llm.runtime import documents, remainder, shared_folder
@@ -143,6 +144,27 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, digest AS payload_digest,
 """
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_op.source_divergence(documents(spark, sf_dir))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT k, lang, term FROM w) GROUP BY ALL HAVING count(*) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+grid AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN kept t ON t.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w)::HUGEINT AS p FROM grid WINDOW w AS (PARTITION BY lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w)::HUGEINT AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM grid GROUP BY ALL) WINDOW w AS (PARTITION BY lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+f AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM f) WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_decontamination": op2_decontamination,
@@ -156,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hmm_scoring": op10_hmm_scoring,
     "op11_warc": op11_warc,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL, "op11_warc": OP11_SQL}
+ORACLES: dict[str, str] = {"op7_url_filters": OP7_SQL, "op11_warc": OP11_SQL, "op13_source_divergence": OP13_SQL}

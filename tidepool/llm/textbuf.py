@@ -118,12 +118,12 @@ def release() -> None:
 
 
 class Words:
-    """Words of a batch. ``first[d]:first[d + 1]`` are the words of document d."""
+    """Words of a batch, between the bytes of ``between``. ``first[d]:first[d + 1]`` are the words of document d."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE):
         n = len(data)
         self.data, self.offsets = data, offsets
-        space = IS_SPACE[data]
+        space = between[data]
         before, after = np.empty(n, bool), np.empty(n, bool)
         if n:
             before[0], after[-1] = True, True
