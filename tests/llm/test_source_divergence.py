@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.common import awkward, frame, shared
@@ -43,28 +44,34 @@ def some(seed):
     return [*rows, *awkward(), rows[3], rows[3], (5000, "only one", "xx", "lonely", None), (5001, None, "yy", None, None), (5002, "two three", "yy", "b", None)]
 
 
-@pytest.mark.parametrize(("leaves", "prefix", "cell", "top"), [(200_000, 4, 4096, 200), (50, 1, 3, 4)])
-def test_equals_brute_force(spark, monkeypatch, leaves, prefix, cell, top):
-    for name, value in (("LEAVES", leaves), ("PREFIX", prefix), ("CELL", cell)):
-        monkeypatch.setattr(op, name, value)
-    rows = some(prefix)
-    got = sorted(map(tuple, op.source_divergence(frame(spark, rows), top=top).collect()))
-    want = brute(rows, top=top)
+@pytest.mark.parametrize("p", [op.Settings(), op.Settings(3, 4, 1, 500, 3, 20)])
+def test_equals_brute_force(spark, p):
+    rows = some(p.prefix)
+    got = sorted(map(tuple, op.source_divergence(frame(spark, rows), p).collect()))
+    want = brute(rows, top=p.top)
     assert got == want and {r[2] for r in want} == {"pair", "term"}
     assert any(r[3] == "b" and r[4] == 0 for r in want if r[0] == "yy")  # no kept terms: 0 for every pair
 
 
-def test_trie_merges_and_walks_in_byte_order():
+def test_tries_merge_and_walk_in_byte_order():
     rnd = random.Random(3)
     terms = ["".join(rnd.choice("abé中z") for _ in range(rnd.randint(0, 6))).encode() for _ in range(800)]
-    halves = [op.Trie(), op.Trie()]
-    for i, t in enumerate(terms):
-        halves[i % 2].add(t, 1, [("s", 2), (str(i % 3), 1)])
-    for leaf in halves[1].walk():
-        halves[0].add(leaf[0], leaf[1], list(leaf[2].items()))
-    got = list(halves[0].walk())
-    assert [t for t, _, _ in got] == sorted(set(terms))
-    assert {t: n for t, n, _ in got} == Counter(terms) and all(c["s"] == 2 * n for _, n, c in got)
+    leaves = [(t, 1, [("s", 2), (str(i % 3), 1)]) for i, t in enumerate(terms)]
+
+    def grown(leaves):
+        names = pa.array(["0", "1", "2", "s"])
+        flat = [(names.to_pylist().index(s), n) for _, _, c in leaves for s, n in c]
+        return op.Trie.merged(pa.array([t for t, _, _ in leaves]), np.array([d for _, d, _ in leaves]), np.array([len(c) for _, _, c in leaves]), names, np.array([s for s, _ in flat]), np.array([n for _, n in flat]))
+
+    for depth in (1, 3, 50):
+        rows = [grown(part).rows("x", depth) for part in (leaves[:300], leaves[300:], leaves[:0]) if part]
+        trie = op._grown(pa.Table.from_batches(rows))
+        got = trie.terms.to_pylist()
+        assert got == sorted(set(terms))
+        assert dict(zip(got, trie.documents.tolist(), strict=True)) == Counter(terms)
+        assert trie.count[trie.source == trie.names.to_pylist().index("s")].tolist() == (2 * trie.documents).tolist()
+        heads = [got[i][:depth] for i in trie.subtries(depth)[:-1]]
+        assert heads == sorted({t[:depth] for t in terms})
 
 
 def test_shares_are_exact():
