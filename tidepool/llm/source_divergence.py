@@ -43,7 +43,7 @@ class Settings:
 
     least: int = 3
     top: int = 200
-    prefix: int = 4
+    prefix: int = 6
     text_bytes: int = 8 << 20
     cell: int = 4096
     share: int = 8192
