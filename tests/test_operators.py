@@ -145,8 +145,7 @@ def test_searches_meet_all_memories(spark, monkeypatch):
     assert any(r.session_id % 20 != r.id % 20 for r in met)
 
 
-def test_merge_targets_of_many_news(spark, monkeypatch):
-    monkeypatch.setattr(tools, "MOST_NEW", 1)
+def test_merge_targets_of_many_news(spark):
     m = memories(spark, DATA)
     same = m.where("store = 'dynamic' AND NOT pinned AND NOT protected AND NOT resolved").orderBy(F.desc("importance"), "days", "id").limit(1)
     news = same.select(F.explode(F.expr("array(9001L, 9002L, 9003L)")).alias("new_id"), F.left("content", F.lit(200)).alias("content"), "domain")

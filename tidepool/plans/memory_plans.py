@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidepool.config import DecaySettings, RecallSettings, SearchSettings
 from tidepool.functions import scoring, text
-from tidepool.functions.fuzzy import topic_score
-from tidepool.operators import pairs, predicates, ranking
+from tidepool.operators import fuzzy_search, pairs, predicates, ranking, writes
 from tidepool.operators.packing import pack, pack_joined
+from tidepool.runtime import cut
 
 MOST_RESULTS, MOST_TOKENS = 50, 20_000
 
@@ -61,21 +61,48 @@ def keyword_hits(memory: DataFrame, topic: Column, k: int, valence: float | None
     return kept.orderBy(F.desc("score"), "id").limit(k)
 
 
-def search(memory: DataFrame, vectors: DataFrame, asked: DataFrame, topic: Column, k: int = 20, max_tokens: int = 10_000, floor: float = 0.5, s: SearchSettings = SearchSettings()) -> DataFrame:
-    """(id, channel, score, tokens, used): keyword hits, then vector hits that they lack, packed into the budget.
+BREATH_COLUMNS = "id", "content", "name", "domain", "valence", "arousal", "model_valence", "digested"
+#: Fixed values of drifting: fewer hits than the first, this share of such searches, at most so many faint memories below that score.
+FEW_HITS, DRIFT_SHARE, MOST_DRIFTED, FAINT = 3, 0.4, 3, 2.0
+DRIFT_POOL = 64
 
-    Both channels are limited before core memories are taken out, so these use up places. Vector hits may be archived.
-    """
-    k = max(min(k, MOST_RESULTS), 20)
-    words = keyword_hits(memory, topic, k, s=s).where(~predicates.is_core()).select("id", "content", "name", "domain", "valence", "arousal", "model_valence", "digested", "score", F.lit(0).alias("channel"))
-    near = pairs.nearest(vectors, asked, k).where(F.col("similarity") > floor).join(words.select("id"), "id", "left_anti")
-    others = near.join(memory, "id").where(~predicates.is_core()).select("id", "content", "name", "domain", "valence", "arousal", "model_valence", "digested", F.round(F.col("similarity") * 100, 2).alias("score"), F.lit(1).alias("channel"))
-    both = words.unionByName(others).withColumn("tokens", text.token_estimate(summary(F.col("content"))))
-    return pack(both, F.lit(min(max_tokens, MOST_TOKENS)), [F.col("channel"), F.desc("score"), F.col("id")]).select("id", "channel", "score", "tokens", "used")
 
+def breath(memory: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20, max_tokens: int = 10_000, floor: float = 0.5, seed: int = 0, s: SearchSettings = SearchSettings()) -> DataFrame:
+    """(asked_id, channel, id, score, valence, tokens, used): what each of ``queries`` (asked_id, query, domains, asked, valence, arousal) brings to mind.
 
-def fuzzy_topic(query: str) -> Column:
-    return topic_score(F.lit(query), F.col("name"), F.col("domain"), F.col("tags"), F.col("content"))
+    Channel 0 are fuzzy hits by words, 1 are vector hits that they lack, packed into the budget in this order; 2 are faint
+    memories that drift up where few were hit. Both searches are limited before core memories are taken out, so these use
+    up places. Vector hits may be archived. A memory's valence is shown as coloured by the mood of the query. Which searches
+    drift, and what drifts, follows from hashes of the seed: a pool of DRIFT_POOL faint memories, from which each takes its own.
+    """
+    k = max(min(k, MOST_RESULTS), 20)
+    moods = queries.select("asked_id", F.col("valence").alias("mood"))
+    words = fuzzy_search.fuzzy_hits(memory, queries.select("asked_id", "query", "domains", "valence", "arousal"), k, s=s)
+    told = memory.select(*BREATH_COLUMNS, predicates.is_core().alias("core"))
+    words = words.join(told, "id").where(~F.col("core")).select("asked_id", *BREATH_COLUMNS, "score", F.lit(0).alias("channel"))
+    near = pairs.nearest_each(vectors, queries.select("asked_id", "asked").where("asked IS NOT NULL"), k).where(F.col("similarity") > floor).join(words.select("asked_id", "id"), ["asked_id", "id"], "left_anti")
+    others = near.join(told, "id").where(~F.col("core")).select("asked_id", *BREATH_COLUMNS, F.round(F.col("similarity") * 100, 2).alias("score"), F.lit(1).alias("channel"))
+    both = cut(words.unionByName(others).join(moods, "asked_id"))
+    shown = both.withColumn("valence", scoring.mood_shift(scoring.number(F.col("valence"), 0.5), F.col("mood"))).withColumn("tokens", text.token_estimate(summary(F.col("content"))))
+    packed = pack(shown, F.lit(min(max_tokens, MOST_TOKENS)), [F.col("channel"), F.desc("score"), F.col("id")], keys=("asked_id",)).select("asked_id", "channel", "id", "score", "valence", "tokens", "used")
+    return packed.unionByName(_drifted(memory, queries, both, seed))
+
+
+def _drifted(memory: DataFrame, queries: DataFrame, hits: DataFrame, seed: int) -> DataFrame:
+    chance = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
+    faint = with_score(memory.where(F.col("store") != "archive")).where(F.col("score") < FAINT).select("id", "score").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(DRIFT_POOL)
+    pool = faint.agg(F.collect_list(F.struct("id", "score")).alias("pool"))
+    met = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "").select("asked_id").join(hits.groupBy("asked_id").agg(F.collect_list("id").alias("met")), "asked_id", "left").withColumn("met", F.coalesce("met", F.array().cast("array<long>")))
+    few = met.where((F.size("met") < FEW_HITS) & (chance(F.col("asked_id"), F.lit("drifts")) < DRIFT_SHARE)).join(F.broadcast(pool))  # one row of DRIFT_POOL
+    left = F.filter("pool", lambda x: ~F.array_contains("met", x["id"]))
+    own = F.transform(F.array_sort(F.transform(left, lambda x: F.struct(F.xxhash64(x["id"], "asked_id", F.lit(seed)).alias("place"), x["id"].alias("id"), x["score"].alias("score")))), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score")))
+    some = few.select("asked_id", F.inline(F.slice(own, 1, F.floor(chance(F.col("asked_id"), F.lit("how many")) * MOST_DRIFTED).cast("int") + 1)))
+    return some.select("asked_id", F.lit(2).alias("channel"), "id", "score", F.lit(None).cast("double").alias("valence"), F.lit(None).cast("int").alias("tokens"), F.lit(None).cast("long").alias("used"))
+
+
+def after_breath(memory: DataFrame, told: DataFrame, now: Column) -> DataFrame:
+    """``memory`` once the hits of a ``breath`` were touched; what only drifted up wasn't."""
+    return writes.touched(memory, cut(told.where("channel < 2").select("id")), now)
 
 
 def word_topic(words: list[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import scoring, text
-from tidepool.operators import packing, pairs, predicates, ranking, turns, writes
+from tidepool.operators import fuzzy_search, packing, pairs, predicates, ranking, turns, writes
 from tidepool.plans import memory_plans as plans
 from tidepool.plans import sql
 from tidepool.sources import providers
@@ -444,21 +444,34 @@ def recalled_block(spark, d):
     return packed.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "summary"))), lambda x: F.concat(F.lit("- "), x["summary"])), "\n").alias("block"), F.sum("tokens").alias("tokens"))
 
 
+def breath_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The searches of the fuzzy queries: each memory whose id is divisible by 50 asks for its name and tags, in its own domain or anywhere, in some mood or none."""
+    m, k = memories(spark, d).where("id % 50 = 0"), F.col("id")
+    asked = m.select(k.alias("asked_id"), F.concat_ws(" ", "name", F.array_join("tags", " ")).alias("query"), F.when(k % 100 == 0, F.col("domain")).alias("domains"), F.when(k % 150 == 0, F.col("valence")).alias("valence"), F.when(k % 150 == 0, F.col("arousal")).alias("arousal"))
+    return asked.join(vector_table(spark, d).select(k.alias("asked_id"), F.col("embedding").alias("asked")), "asked_id", "left")
+
+
+@query("fuzzy_search")
+def fuzzy_search_(spark, d):
+    """The twenty best memories of each search by fuzzy relevance."""
+    return fuzzy_search.fuzzy_hits(memories(spark, d), breath_queries(spark, d).drop("asked"), 20).select("asked_id", "id", "score", "rank")
+
+
 @query("hybrid_search")
 def hybrid_search(spark, d):
-    """The whole search with the fuzzy topic score, over all rows."""
-    m, v = memories(spark, d), vector_table(spark, d)
-    return plans.search(m, v, v.where("id = 7").select(F.col("embedding").alias("asked")), plans.fuzzy_topic("tion en doc 7"), floor=0.1)
+    """Whole searches: fuzzy hits, vector hits, what drifts up, within the budget."""
+    told = plans.breath(memories(spark, d), vector_table(spark, d), breath_queries(spark, d), max_tokens=1000, floor=0.1)
+    return told.withColumn("valence", F.round("valence", 6))
 
 
 @query("merge_candidate")
 def merge_candidate(spark, d):
-    """The best match of each new text within its domain: (item_id, id, score, verdict); pinned ones aren't merged into."""
-    news = spark.createDataFrame([(0, "the tion of ing", "en"), (1, "eau la que", "fr"), (2, "doc 7", "es")], "item_id long, new string, lang string")
-    m = memories(spark, d).where("store <> 'archive'")
-    met = plans.relevance(m.join(F.broadcast(news), F.get("domain", F.lit(0)) == F.col("lang")), plans.topic_score(F.col("new"), F.col("name"), F.col("domain"), F.col("tags"), F.col("content")), None, None)  # three rows
-    best = ranking.top_per(met.select("item_id", "id", F.round("relevance", 2).alias("score"), predicates.is_core().alias("core")), "item_id", 1, F.desc("score"), F.col("id"))
-    return best.select("item_id", "id", "score", F.when((F.col("score") > 75) & ~F.col("core"), "merge").otherwise("create").alias("verdict"))
+    """The best match of each benchmark text, in a domain, in an unknown one or without: (item_id, id, score, verdict); pinned ones aren't merged into."""
+    k = F.col("item_id")
+    news = spark.read.parquet(f"{d}/benchmark.parquet").select(k.alias("asked_id"), F.col("text").alias("query"), F.when(k % 3 == 0, F.array(F.lit("EN"))).when(k % 3 == 1, F.array(F.lit("nowhere"))).alias("domains"), F.lit(None).cast("double").alias("valence"), F.lit(None).cast("double").alias("arousal"))
+    m = memories(spark, d)
+    best = fuzzy_search.fuzzy_hits(m, news, 1).join(m.select("id", predicates.is_core().alias("core")), "id")
+    return best.select(F.col("asked_id").alias("item_id"), "id", "score", F.when((F.col("score") > 75) & ~F.col("core"), "merge").otherwise("create").alias("verdict"))
 
 
 # --- conversations

@@ -2,42 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.config import SearchSettings
 from tidepool.functions import answers
-from tidepool.functions.fuzzy import topic_score
-from tidepool.operators import predicates, ranking, writes
-from tidepool.plans.memory_plans import relevance
+from tidepool.operators import fuzzy_search, predicates, writes
 from tidepool.sources.memory import MEMORY
 
-MOST_NEW = 10_000
 SHORT_TEXT = 30
 
 
 def merge_targets(memory: DataFrame, news: DataFrame, s: SearchSettings = SearchSettings()) -> DataFrame:
-    """(new_id, id, score): for each of a few ``news`` (new_id, content, domain) the memory to merge it into, if its best match is good and free.
+    """(new_id, id, score): for each of ``news`` (new_id, content, domain) the memory to merge it into, if its best match is good and free.
 
-    The best match within the new text's domains is taken as it is: if it is pinned or not good enough, the text stands alone.
-    ``news`` are sent to all tasks, about MOST_NEW at a time; more are gone through in several passes over the memories.
+    The best match within the new text's domains is taken as it is: if it is pinned or not good enough, the text stands
+    alone. A text without domains, or of domains that no live memory has, is matched with all live memories.
     """
-    passes = max(1, -(-news.count() // MOST_NEW))
-    parts = [_best_targets(memory, news.where(F.pmod(F.xxhash64("new_id"), F.lit(passes)) == n), s) for n in range(passes)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _best_targets(memory: DataFrame, news: DataFrame, s: SearchSettings) -> DataFrame:
-    fresh = F.broadcast(news.select("new_id", F.col("content").alias("new_content"), F.col("domain").alias("new_domain")))  # about MOST_NEW
-    low = lambda c: F.array_distinct(F.transform(c, lambda d: F.lower(d)))
-    # Only memories that a full match of topics would bring over the threshold can be merged into; the others can't be the best one either.
-    live = relevance(memory.where(F.col("store") != "archive"), F.lit(1.0), None, None, s).where(F.col("relevance") >= s.merge_threshold).select(*memory.columns)
-    met = live.withColumn("shared", F.explode(low("domain"))).join(fresh.withColumn("shared", F.explode(low("new_domain"))), "shared").dropDuplicates(["new_id", "id"])
-    met = relevance(met, topic_score(F.col("new_content"), F.col("name"), F.col("domain"), F.col("tags"), F.col("content"), s), None, None, s)
-    best = ranking.top_per(met.where(F.col("relevance") >= s.threshold).select("new_id", "id", F.round("relevance", 2).alias("score"), predicates.is_core().alias("core")), "new_id", 1, F.desc("score"), F.col("id"))
-    return best.where((F.col("score") > s.merge_threshold) & ~F.col("core")).select("new_id", "id", "score")
+    queries = news.select(F.col("new_id").alias("asked_id"), F.col("content").alias("query"), F.col("domain").alias("domains"), F.lit(None).cast("double").alias("valence"), F.lit(None).cast("double").alias("arousal"))
+    # A match that isn't over the threshold is no target, whether a better one exists or not.
+    best = fuzzy_search.fuzzy_hits(memory, queries, 1, s.merge_threshold, s).join(memory.select("id", predicates.is_core().alias("core")), "id")
+    return best.where((F.col("score") > s.merge_threshold) & ~F.col("core")).select(F.col("asked_id").alias("new_id"), "id", "score")
 
 
 def hold(memory: DataFrame, news: DataFrame, now: Column, s: SearchSettings = SearchSettings()) -> tuple[DataFrame, DataFrame]:
