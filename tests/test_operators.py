@@ -74,6 +74,27 @@ def test_leader_clusters_are_greedy(spark):
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+def test_a_chain_is_settled_in_as_many_rounds_as_ranges(spark):
+    """10 000 rows, each like the next one only: every second one leads."""
+    n = 10_000
+    chain = spark.range(n - 1).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    for rows, most in ((500_000, 1), (2600, 5)):
+        state, rounds = pairs.leaders(chain, spark.range(n), rows)
+        got = sorted(map(tuple, state.collect()))
+        assert got == [(i, i % 2 == 0) for i in range(n)] and rounds <= most
+
+
+def test_leaders_in_small_ranges(spark):
+    rnd = random.Random(8)
+    edges = sorted({tuple(sorted(rnd.sample(range(300), 2))) for _ in range(700)})
+    want: dict[int, bool] = {}
+    for i in range(300):
+        want[i] = not any(want[a] for a, b in edges if b == i)
+    state, rounds = pairs.leaders(spark.createDataFrame(edges + edges[:5], "source long, target long"), spark.range(300), 40)
+    assert dict(map(tuple, state.collect())) == want and rounds < 18
+    assert pairs.leaders(spark.createDataFrame([], "source long, target long"), spark.range(3))[0].where("leads").count() == 3
+
+
 def test_chunks_lose_nothing(spark):
     rows = [(c, t, "user" if t % 2 else "assistant", " ".join(["w"] * ((7 * c + 13 * t) % 90 + (300 if t == 3 else 0)))) for c in range(5) for t in range(12)]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
