@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import token_estimate
-from tidepool.operators import packing, pairs, predicates, ranking, turns, writes
+from tidepool.operators import packing, pairs, pivots, predicates, ranking, turns, writes
 from tidepool.plans import registry, tools
 from tidepool.sources.memory import memories, now_column, rounds, turns as turn_table, vectors
 
@@ -35,6 +35,31 @@ def test_similar_pairs_in_any_blocks(spark):
         assert {(r.source, r.target) for r in pairs.similar_pairs(v, 0.5, blocks).collect()} == want
 
 
+def test_nearest_by_pivots_equals_the_full_scan(spark, monkeypatch):
+    """Vectors in clumps, where pivots rule most out, and spread ones, where they can't."""
+    monkeypatch.setattr(pivots, "SHARE", 40)
+    rng = np.random.default_rng(4)
+    cos = lambda a, b: round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 6)
+    centres = rng.normal(size=(12, 16))
+    clumped = [c + rng.normal(size=16) * 0.05 for c in centres for _ in range(60)]
+    for vecs, most in ((clumped, 0.35), (list(rng.normal(size=(300, 8))), 1.0), ([*clumped[:5], *clumped[:5], -clumped[0], clumped[0] * 3], 1.0)):
+        rows = [(i, v.tolist()) for i, v in enumerate(vecs)] + [(9000, None), (9001, []), (9002, [0.0] * len(vecs[0])), (9003, [1.0, 2.0]), (9004, [2.0, 1.0])]
+        v = spark.createDataFrame(rows, "id long, embedding array<double>")
+        asked = [(i, vecs[i].tolist()) for i in range(0, len(vecs), 5)] + [(9000, None), (9002, [0.0] * len(vecs[0])), (9003, [1.0, 2.0]), (9005, [1.0])]
+        q = spark.createDataFrame(asked, "asked_id long, asked array<double>")
+        for k in (7,):
+            want = []
+            for a, x in asked:
+                if x and any(x):
+                    scores = sorted((-cos(np.array(x), np.array(y)), i) for i, y in rows if y and any(y) and len(y) == len(x))[:k]
+                    want += [(a, i, -s) for s, i in scores]
+            got = sorted((r.asked_id, r.id, r.similarity) for r in pivots.nearest_by_pivots(v, q, k).collect())
+            assert got == sorted(want)
+        share = pivots.compared(v, q, 7).agg(F.sum("compared")).collect()[0][0] / (len(asked) * len(rows))
+        print(f"{share:.1%} of pairs compared")
+        assert share <= most
+
+
 def test_within_hours_equals_naive(spark):
     rnd = random.Random(1)
     times = [rnd.randrange(0, 500 * 3600) for _ in range(80)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import scoring, text
-from tidepool.operators import fuzzy_search, packing, pairs, predicates, ranking, turns, writes
+from tidepool.operators import fuzzy_search, packing, pairs, pivots, predicates, ranking, turns, writes
 from tidepool.plans import memory_plans as plans
 from tidepool.plans import sql
 from tidepool.sources import providers
@@ -312,10 +312,11 @@ VECTORS = with_(sql.MEM, sql.VECTORS)
 PAIRS = f", edges AS (SELECT a.id AS source, b.id AS target, {sql.cosine('a.embedding', 'b.embedding')} AS similarity FROM vectors a JOIN vectors b ON a.id < b.id)"
 
 
-@query("nearest_vectors", VECTORS + f"SELECT v.id, round({sql.cosine('v.embedding', 'q.embedding')}, 6) AS similarity FROM vectors v, (SELECT embedding FROM vectors WHERE id = 7) q ORDER BY 2 DESC, 1 LIMIT 10")
+@query("nearest_vectors", VECTORS + f"SELECT asked_id, id, similarity FROM (SELECT q.id AS asked_id, v.id, round({sql.cosine('v.embedding', 'q.embedding')}, 6) AS similarity FROM vectors v, (SELECT id, embedding FROM vectors WHERE id % 50 = 0) q) QUALIFY row_number() OVER (PARTITION BY asked_id ORDER BY similarity DESC, id) <= 10")
 def nearest_vectors(spark, d):
+    """The ten vectors nearest to each whose id is divisible by 50, through pivots."""
     v = vector_table(spark, d)
-    return pairs.nearest(v, v.where("id = 7").select(F.col("embedding").alias("asked")), 10)
+    return pivots.nearest_by_pivots(v, v.where("id % 50 = 0").select(F.col("id").alias("asked_id"), F.col("embedding").alias("asked")), 10)
 
 
 @query("similarity_network", VECTORS + PAIRS + f" SELECT source, target, round(similarity, 3) AS similarity FROM edges WHERE similarity > {FLOOR}")
@@ -359,12 +360,13 @@ def backfill_counts(spark, d):
     return providers.backfill_counts(providers.backfilled(memories(spark, d), vector_table(spark, d), providers.HashedVectors))
 
 
-@query("vector_only_hits", VECTORS + RELEVANT + f", kw AS (SELECT id FROM rel WHERE store <> 'archive' AND relevance >= 50 ORDER BY round(relevance, 2) DESC, id LIMIT 20), nn AS (SELECT v.id, round({sql.cosine('v.embedding', 'q.embedding')}, 6) AS similarity FROM vectors v, (SELECT embedding FROM vectors WHERE id = 7) q ORDER BY 2 DESC, 1 LIMIT 20) SELECT nn.id, round(similarity * 100, 2) AS score, m.type FROM nn JOIN mem m USING (id) WHERE similarity > 0.1 AND id NOT IN (FROM kw)")
+@query("vector_only_hits", VECTORS + RELEVANT + f", kw AS (SELECT id FROM rel WHERE store <> 'archive' AND relevance >= 50 ORDER BY round(relevance, 2) DESC, id LIMIT 20), nn AS (SELECT q.id AS asked_id, v.id, round({sql.cosine('v.embedding', 'q.embedding')}, 6) AS similarity FROM vectors v, (SELECT id, embedding FROM vectors WHERE id % 50 = 0) q QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round({sql.cosine('v.embedding', 'q.embedding')}, 6) DESC, v.id) <= 20) SELECT nn.asked_id, nn.id, round(similarity * 100, 2) AS score, m.type FROM nn JOIN mem m USING (id) WHERE similarity > 0.1 AND id NOT IN (FROM kw)")
 def vector_only_hits(spark, d):
+    """What the vectors of all ids divisible by 50 find that one search by words doesn't."""
     m, v = memories(spark, d), vector_table(spark, d)
     words = plans.keyword_hits(m, plans.word_topic(WORDS), 20, 0.6, 0.4).select("id")
-    near = pairs.nearest(v, v.where("id = 7").select(F.col("embedding").alias("asked")), 20).where("similarity > 0.1")
-    return near.join(words, "id", "left_anti").join(m.select("id", "type"), "id").select("id", F.round(F.col("similarity") * 100, 2).alias("score"), "type")
+    near = pivots.nearest_by_pivots(v, v.where("id % 50 = 0").select(F.col("id").alias("asked_id"), F.col("embedding").alias("asked")), 20).where("similarity > 0.1")
+    return near.join(words, "id", "left_anti").join(m.select("id", "type"), "id").select("asked_id", "id", F.round(F.col("similarity") * 100, 2).alias("score"), "type")
 
 
 @query("drift_pool", MEM + RELEVANT + f", hit AS (SELECT id FROM rel WHERE store <> 'archive' AND relevance >= 50 ORDER BY round(relevance, 2) DESC, id LIMIT 20) SELECT id, score FROM scored WHERE store <> 'archive' AND score < 2 AND id NOT IN (FROM hit) ORDER BY (id * 7919 + 5) % 10007, id LIMIT 3")
@@ -424,9 +426,10 @@ def dream(spark, d):
     return plans.dream(memories(spark, d))
 
 
-@query("shuffled_order", MEM + f", b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rk FROM scored WHERE {sql.CAN_SURFACE}) SELECT id, score, row_number() OVER (ORDER BY CASE WHEN rk = 1 THEN 0 WHEN rk <= 20 THEN 1 ELSE 2 END, CASE WHEN rk > 1 AND rk <= 20 THEN (id * 7919 + 3) % 10007 ELSE rk END, rk) AS place FROM b WHERE rk <= 30")
+@query("shuffled_order", MEM + f", b AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rk FROM scored WHERE {sql.CAN_SURFACE}) SELECT id, score, row_number() OVER (ORDER BY CASE WHEN rk = 1 THEN 0 WHEN rk <= 20 THEN 1 ELSE 2 END, CASE WHEN rk > 1 AND rk <= 20 THEN (id * 7919 + 3) % 10007 ELSE rk END, rk) AS place FROM b WHERE rk <= 50")
 def shuffled_order(spark, d):
-    best = scored(spark, d).where(predicates.can_surface()).select("id", "score").orderBy(F.desc("score"), "id").limit(30)
+    """The order of a list of the most results that surfacing may show."""
+    best = scored(spark, d).where(predicates.can_surface()).select("id", "score").orderBy(F.desc("score"), "id").limit(plans.MOST_RESULTS)
     ranked = best.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     return ranked.select("id", "score", F.row_number().over(Window.orderBy(*ranking.mixed(F.col("rk"), F.col("id"), 3))).alias("place"))
 
