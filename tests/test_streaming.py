@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -61,7 +62,12 @@ def test_reasoning_cache(spark, tmp_path):
     rows = [(1, 1, ["idx:0:f:{}"], "because"), (1, 2, ["idx:0:f:{}"], None), (1, 3, ["idx:0:g:{}"], None), (1, 4, [], None), (1, 5, ["idx:0:f:{}"], None), (2, 6, ["idx:0:f:{}"], None)]
     schema = "session_id long, seq long, signature array<string>, reasoning string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/m")
-    got = run(sessions.cached_reasoning(spark.readStream.schema(schema).parquet(f"{tmp_path}/m")), "reason_sink")
+    q = sessions.cached_reasoning(spark.readStream.schema(schema).parquet(f"{tmp_path}/m")).writeStream.format("memory").queryName("reason_sink").outputMode("append").start()
+    end = time.time() + 120
+    while spark.table("reason_sink").count() < len(rows) and time.time() < end:
+        time.sleep(0.2)
+    q.stop()
+    got = spark.table("reason_sink")
     assert {r.seq: r.reasoning for r in got.collect()} == {1: "because", 2: "because", 3: None, 4: None, 5: None, 6: None}
 
 

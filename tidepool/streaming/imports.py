@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidepool.functions.text import content_hash
 from tidepool.operators.turns import chunks
+from tidepool.runtime import cut
 from tidepool.sources.exports import turns_of
 
 
@@ -48,6 +51,40 @@ def pending_chunks(planned: DataFrame, outcomes: DataFrame, paused: DataFrame) -
     return planned.join(outcomes.select("chunk_id"), "chunk_id", "left_anti").join(paused.select("source_hash"), "source_hash", "left_anti")
 
 
+def _held(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``, empty as long as nothing was written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+OUTCOME = "chunk_id string, api_calls int, created int, merged int, raw int, error string"
+
+
+def process_pending(planned: DataFrame, outcomes: str, control: str, process: Callable[[DataFrame], DataFrame], step: int = 100, most_steps: int | None = None) -> int:
+    """Process chunks of ``planned`` (source_hash, chunk_id, chunk, ...) that have no outcome yet, ``step`` at a time; how many steps it took.
+
+    The table ``control`` (source_hash) of paused sources is read anew before each step, so a pause holds from the next step
+    on, and lifting it lets a later call go on. ``process`` gives the rows of OUTCOME for its chunks. A step is one batch of
+    the outcome log and is written as a whole: after a crash the unfinished step is done again under the same number, and
+    no chunk gets a second outcome.
+    """
+    spark, done = planned.sparkSession, 0
+    while most_steps is None or done < most_steps:
+        log = _held(spark, outcomes, OUTCOME + ", batch long")
+        todo = cut(pending_chunks(planned, log, _held(spark, control, "source_hash string")).orderBy("source_hash", "chunk", "chunk_id").limit(step))
+        if todo.isEmpty():
+            break
+        number = (log.agg(F.max("batch")).collect()[0][0] or 0) + 1
+        told = process(todo).select(*[c.split()[0] for c in OUTCOME.split(", ")]).dropDuplicates(["chunk_id"])
+        told.write.mode("overwrite").parquet(f"{outcomes.rstrip('/')}/batch={number}")
+        done += 1
+    return done
+
+
 def import_status(planned: DataFrame, outcomes: DataFrame, paused: DataFrame, most_errors: int = 100) -> DataFrame:
     """One row a source of ``planned`` (source_hash, chunk_id, chunk): what became of its chunks, and ``status``.
 

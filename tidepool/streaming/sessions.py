@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -91,29 +92,31 @@ def streamed_moods(events: DataFrame, s: PersonaSettings = PersonaSettings()) ->
     return events.groupBy("session_id").applyInPandasWithState(run, MOOD_SCHEMA, "valence double, arousal double, defensiveness double, at string", "append", GroupStateTimeout.NoTimeout)
 
 
-def cached_reasoning(messages: DataFrame, keep_minutes: int = 60) -> DataFrame:
+def cached_reasoning(messages: DataFrame, keep_minutes: float = 60) -> DataFrame:
     """Reasoning restored to assistant messages of (session_id, seq, signature, reasoning): a message with tool calls but
     no reasoning gets that of the last one with the same signature; a reply without tool calls clears the session.
 
-    State is one map a session; it is dropped after ``keep_minutes`` without a message.
+    State is one map a session. Each signature is forgotten ``keep_minutes`` after it was stored, however busy its session
+    is; the map is dropped after ``keep_minutes`` without a message.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = json.loads(state.get[0]) if state.exists else {}
+        now, kept = time.time(), json.loads(state.get[0]) if state.exists else {}
+        kept = {name: held for name, held in kept.items() if now - held[1] < keep_minutes * 60}
         out = []
         for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
             name = "\n".join(r.signature) if r.signature is not None and len(r.signature) else ""
-            reasoning = r.reasoning or (kept.get(name) if name else None)
+            reasoning = r.reasoning or (kept[name][0] if name in kept else None)
             if not name:
                 kept = {}
             elif r.reasoning:
-                kept[name] = r.reasoning
+                kept[name] = [r.reasoning, now]
             out.append((r.session_id, r.seq, reasoning))
         state.update((json.dumps(kept),))
-        state.setTimeoutDuration(keep_minutes * 60_000)
+        state.setTimeoutDuration(max(1, int(keep_minutes * 60_000)))
         yield pd.DataFrame(out, columns=["session_id", "seq", "reasoning"])
 
     return messages.groupBy("session_id").applyInPandasWithState(run, "session_id long, seq long, reasoning string", "kept string", "append", GroupStateTimeout.ProcessingTimeTimeout)
