@@ -38,7 +38,7 @@ class Settings:
     """A term is kept from ``least`` documents of a language on; ``top`` terms of a source are told.
 
     Tries are cut by the first ``prefix`` bytes; ``text_bytes`` of text are counted at a time, a cell holds up to ``cell``
-    terms, and a task of the second walk about ``share`` of them.
+    terms, and there is a task of the second walk for each ``share`` terms of all and each language.
     """
 
     least: int = 3
@@ -46,7 +46,7 @@ class Settings:
     prefix: int = 6
     text_bytes: int = 8 << 20
     cell: int = 4096
-    share: int = 8192
+    share: int = 16_384
 
 
 _SUBTRIE = "lang string, prefix binary, suffixes array<binary>, documents array<long>, widths array<int>, sources array<string>, counts array<long>"
@@ -296,10 +296,11 @@ def source_divergence(docs: DataFrame, p: Settings = Settings()) -> DataFrame:
     cells = kept_terms(docs, p)
     groups = stored(docs.select("lang", "source").distinct())
     totals = cells.select("lang", F.explode("totals").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    sized = cells.groupBy("lang").agg(F.sum("n_terms").alias("all_terms")).withColumn("tasks", F.ceil(F.col("all_terms") / p.share).cast("int"))
+    sized = cells.groupBy("lang").agg(F.sum("n_terms").alias("all_terms"))
+    tasks = max(1, -(-(cells.agg(F.sum("n_terms")).collect()[0][0] or 0) // p.share))
     known = groups.join(totals, ["lang", "source"], "left").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", F.coalesce("n", F.lit(0)).alias("n")))).alias("known"))
-    known = known.join(sized, "lang").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
-    dealt = cells.join(sized.drop("all_terms"), "lang").withColumn("task", F.pmod(F.xxhash64(F.col("terms")[0]), "tasks").cast("int"))
+    known = known.join(sized, "lang").withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    dealt = cells.withColumn("task", F.pmod(F.xxhash64(F.col("terms")[0]), F.lit(tasks)).cast("int"))
     walked = dealt.join(known, ["lang", "task"]).select("lang", "terms", "widths", "sources", "counts", "known", "all_terms")
     found = stored(walked.mapInArrow(_walking(p.top), "lang string, source string, part string, item string, value long"))
     pairs = groups.join(groups.withColumnRenamed("source", "item"), "lang").where("source <> item").withColumn("part", F.lit("pair"))
