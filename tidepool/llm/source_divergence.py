@@ -46,7 +46,7 @@ class Settings:
     prefix: int = 6
     text_bytes: int = 8 << 20
     cell: int = 4096
-    share: int = 16_384
+    share: int = 65_536
 
 
 _SUBTRIE = "lang string, prefix binary, suffixes array<binary>, documents array<long>, widths array<int>, sources array<string>, counts array<long>"
