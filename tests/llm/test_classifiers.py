@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 
 from tests.llm.common import DOC_SCHEMA, awkward, frame, shared
-from tidepool.llm import language_id, ngrams, quality_classifier, queries
+from tidepool.llm import language_id, ngrams, quality_classifier, quality_rules, queries
 from tidepool.llm.textbuf import text_buffers
 
 
@@ -125,3 +125,25 @@ def test_codewords_differ():
         code = language_id.codewords(n)
         assert len({tuple(c) for c in code}) == n
         assert min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)) >= (1 if n == 2 else 2)
+
+
+def test_counts_beyond_two_bytes():
+    """A long text's shares in training are those of all its n-grams."""
+    import pyarrow as pa
+
+    buckets = ngrams.Buckets((1,), 8, words=False)
+    texts = ["a" * 300_000 + "b" * 100_000, "ab", ""]
+    sample = pa.table(ngrams.sample_columns(buckets, pa.RecordBatch.from_pydict({"text": pa.array(texts)})))
+    long, short, empty = (ngrams.Shares(sample, [0, 1, 2])[i] for i in range(3))
+    assert sorted(long[1].tolist()) == [0.25, 0.75] and sorted(short[1].tolist()) == [0.5, 0.5]
+    assert set(long[0]) == set(short[0]) and len(empty[0]) == len(empty[1]) == 0
+
+
+def test_a_sample_is_bounded_when_ids_repeat(spark):
+    rows = [(i % 3, f"text {i}", "en", None, None) for i in range(300)] + [(7, None, "en", None, None)]
+    docs = spark.createDataFrame(rows, DOC_SCHEMA)
+    labels = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, quality int")
+    got = quality_rules.labelled_sample(docs, labels, "quality", 8).collect()
+    assert sorted((r.doc_id, r.text or "", r.y) for r in got) == [(0, "text 0", 1), (1, "text 1", 1), (2, "text 101", 1), (7, "", 1)]
+    two = docs.union(spark.createDataFrame([(i, "mot " * 9, "fr", None, None) for i in range(100, 103)] * 50, DOC_SCHEMA))
+    assert language_id.train(two).languages == ["en", "fr"]

@@ -6,7 +6,8 @@ well their classifier separates the sample, is the answer, and a small lead over
 
 Texts that are null or have no letter are ``und`` with score 0, as are all texts if nothing was
 learned. With one known language the answer is that one, score 1. A null ``doc_id`` is carried through
-and never learned from; repeated rows are judged one by one, further columns don't matter.
+and never learned from; repeated rows are judged one by one, and learned from once for each (doc_id, lang),
+by the smallest text. Further columns don't matter.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from tidepool.llm.ngrams import SAMPLE, Buckets, Shares, sample_columns
 from tidepool.llm.runtime import prepare
 from tidepool.llm.textbuf import release, slices, text_buffers
 
-#: Documents learned from at most, chosen by a hash of doc_id, the same number for each language (one at least).
+#: Documents learned from at most, chosen by a hash of doc_id, the same number for each language. Every language gives
+#: one at least, so that the bound is the number of languages where there are more than that.
 TRAIN_ROWS = 6000
 BUCKETS = Buckets((1, 2, 3), 14, words=False)
 EPOCHS, RATE, SCALE, AMBIGUOUS = 12, 0.5, 40.0, 0.2
@@ -109,14 +111,15 @@ def train(docs: DataFrame, where: Column | None = None, train_rows: int = TRAIN_
     # One pass: rows below a cut that some more than the quota are expected to pass, then the first ones of each language.
     cuts = spark.createDataFrame([(r.lang, min(1.0, (1.5 * quota + 100) / r["count"])) for r in known], "lang string, cut double")
     drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("drawn")
-    few = rows.select("doc_id", "lang", drawn).join(F.broadcast(cuts), "lang").where("drawn < cut")
+    few = rows.select("doc_id", "lang", drawn).join(F.broadcast(cuts), "lang").where("drawn < cut").distinct()
     chosen = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))).where(F.col("nth") <= quota)
 
     def run(batches):
         for batch in slices(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang")} | sample_columns(BUCKETS, batch))
 
-    sample = rows.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")  # bounded by train_rows
+    picked = rows.where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])  # bounded by train_rows
+    sample = picked.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     got = sample.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, {SAMPLE}").toArrow()
     keys = list(zip(*(got.column(c).to_pylist() for c in ("doc_id", "lang")), strict=True))
     order = sorted(range(len(got)), key=keys.__getitem__)

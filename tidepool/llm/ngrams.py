@@ -66,7 +66,7 @@ class Buckets:
         return out, count
 
     def sparse(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each document its buckets and how often each occurs, no count over 65535."""
+        """For each document its buckets and how often each occurs; counts take two bytes each where all of a document's fit, else eight."""
         parts: list[list] = [[] for _ in offsets[1:]]
         for at, starts, ends in self(data, offsets):
             for d, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
@@ -74,7 +74,7 @@ class Buckets:
         out = []
         for p in parts:
             values, counts = np.unique(np.concatenate(p), return_counts=True)
-            out.append((values.astype(np.int32), np.minimum(counts, 65535).astype(np.uint16)))
+            out.append((values.astype(np.int32), counts.astype(np.uint16) if counts.max(initial=0) <= 0xFFFF else counts.astype(np.int64)))
         return out
 
 
@@ -99,5 +99,7 @@ class Shares(Sequence):
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         if i >= len(self.order):
             raise IndexError(i)
-        at, times = (np.frombuffer(c[self.order[i]].as_buffer(), kind) for c, kind in ((self.at, np.int32), (self.times, np.uint16)))
+        at = np.frombuffer(self.at[self.order[i]].as_buffer(), np.int32)
+        raw = self.times[self.order[i]].as_buffer()
+        times = np.frombuffer(raw, np.uint16 if raw.size == 2 * len(at) else np.int64)
         return at, times.astype(np.float32) / np.float32(max(1, int(times.sum(dtype=np.int64))))

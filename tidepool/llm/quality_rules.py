@@ -199,12 +199,13 @@ def document_statistics(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, where=None) -> DataFrame:
-    """(doc_id, text, y) of at most ``rows`` labelled documents, those with the smallest hash of doc_id."""
+    """(doc_id, text, y) of at most ``rows`` labelled documents, those with the smallest hash of doc_id; of rows with one doc_id the smallest text."""
     known = labels.select("doc_id", F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     if where is not None:
         known = known.where(where)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # bounded by `rows`
+    # Both sides of the broadcast are bounded by `rows`, however often a doc_id is repeated.
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, target: str = "quality") -> Trees:
