@@ -54,8 +54,6 @@ def test_rounds_raise_likelihood():
         now = op.log_likelihood(model, flat, sizes, counts).sum()
         assert now >= last - 1e-6
         last, model = now, counts.model()
-    start = op.starting_point(sequences)
-    assert op.log_likelihood(start, flat, sizes).sum() > op.log_likelihood(op.Counts.empty().model(), flat, sizes).sum() + 100
 
 
 def test_query_equals_brute_force(spark, tmp_path):
@@ -79,8 +77,6 @@ def test_query_equals_brute_force(spark, tmp_path):
 
 def test_distributions_and_equal_texts(spark):
     docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(["a b", "a c a", "d"] * 3)])
-    model = op.starting_point([np.array([1, 2, op.END]), np.array([op.END])])
-    assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1)
     scored = {r.doc_id: r for r in op.hmm_scores(docs, F.lit(True)).collect()}
     assert len(scored) == 9 and scored[0].score == scored[3].score
 
@@ -90,3 +86,56 @@ def test_nothing_to_learn(spark):
     got = op.hmm_scores(docs, F.lit(False)).collect()
     assert len(got) == len(awkward()) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
     assert op.hmm_scores(frame(spark, []), F.lit(True)).count() == 0
+
+
+def kinds_of_documents(n: int) -> list[tuple]:
+    """Documents of four vocabularies; the last vocabulary is only in the last eighth of the rows."""
+    rng = np.random.default_rng(8)
+    kind = [3 if i >= n - n // 8 else i % 3 for i in range(n)]
+    return [(i, " ".join(f"{'abcd'[k]}{w}" for w in rng.integers(0, 60, 25)), None, None, None) for i, k in enumerate(kind)]
+
+
+def captured(monkeypatch) -> list:
+    models, learn = [], op.learned
+    monkeypatch.setattr(op, "learned", lambda *a: models.append(learn(*a)) or models[-1])
+    return models
+
+
+def test_starting_point_is_found_on_all_documents(spark, monkeypatch):
+    rows = kinds_of_documents(2400)
+    models = captured(monkeypatch)
+    scored = {r.doc_id: r for r in op.hmm_scores(spark.createDataFrame(rows, DOC_SCHEMA), F.lit(True), rounds=0).collect()}
+    model = models[0]
+    assert np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.move.sum(axis=1), 1) and np.isclose(model.start.sum(), 1)
+    for a in range(0, 2400, 300):  # each kind has a state of its own, also that of the last rows
+        assert np.mean([scored[i].score - scored[i].base_score for i in range(a, a + 300)]) > 5
+    again = op.hmm_scores(spark.createDataFrame(rows[::-1], DOC_SCHEMA).repartition(7), F.lit(True), rounds=0).collect()
+    assert all(math.isclose(r.score, scored[r.doc_id].score, rel_tol=1e-6) for r in again)
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """The score of each document by the plain forward recursion over P(symbol | state) (c + 1) / (C + V + 1)."""
+    import pyarrow as pa
+
+    from tidepool.llm.textbuf import Words, text_buffers
+
+    rows = [(i, *r[1:]) for i, r in enumerate(shared(61, 50))] + [(100, None, None, None, None), (101, "never seen words", None, None, None)]
+    models = captured(monkeypatch)
+    train = F.col("doc_id") % 3 != 2
+    got = {r.doc_id: r for r in op.hmm_scores(spark.createDataFrame(rows, DOC_SCHEMA), train).collect()}
+    model = models[0]
+    tokens = {r[0]: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")) for r in rows}
+    c = Counter(t for i, ts in tokens.items() if i % 3 != 2 for t in ts)
+    symbol = {t: int(op.symbols_of(Words(*text_buffers(pa.array([t]))).hashes(lower=True))[0]) for ts in tokens.values() for t in ts}
+    whole, kinds = Counter(), Counter()
+    for t, k in c.items():
+        whole[symbol[t]] += k
+        kinds[symbol[t]] += 1
+    for i, ts in tokens.items():
+        alpha, logs = None, 0.0
+        for t in [*ts, None]:
+            s = op.END if t is None else symbol[t]
+            alpha = [(model.start[k] if alpha is None else sum(alpha[j] * model.move[j, k] for j in range(op.STATES))) * model.emit[s, k] for k in range(op.STATES)]
+            logs += math.log10(sum(alpha)) + (0 if t is None else math.log10((c[t] + 1) / (whole[s] + kinds[s] + 1)))
+            alpha = [x / sum(alpha) for x in alpha]
+        assert math.isclose(got[i].score, logs, rel_tol=1e-9), i

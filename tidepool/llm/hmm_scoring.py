@@ -10,7 +10,7 @@ The model emits symbols from latent states and, given the symbol, a word by its
 symbol's tokens: P(word | state) = P(symbol | state) (c + 1) / (C + V + 1), where C and V are the
 tokens and different words of the symbol in training; 1 / (C + V + 1) is left for an unseen word.
 Baum-Welch counts are summed over all training documents in every round: each task adds up those of its
-documents, and the sums meet in slices. Only the starting point comes from a bounded sample. A text's
+documents, and the sums meet in slices. So does all that the starting point is made from. A text's
 score is its exact log10 probability by the scaled forward recursion over all its tokens.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; null and empty texts have the end only. A row with a
@@ -20,6 +20,7 @@ null doc_id is scored and not learned from. Without training rows all counts are
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +36,8 @@ SYMBOL_BITS = 14
 SYMBOLS = 1 << SYMBOL_BITS
 END = SYMBOLS
 STATES, ROUNDS = 4, 2
-#: Training documents that the starting point is found on.
-START_ROWS, START_ROUNDS = 1500, 6
+#: Of the starting point: symbols that part the kinds of documents, and rounds that take in all other symbols.
+FREQUENT, MIXTURE_ROUNDS = 256, 3
 BLOCK_BYTES = 12 << 20
 GROUP_TOKENS = 600_000
 SLICES = 16
@@ -140,28 +141,74 @@ def log_likelihood(model: Model, symbols: np.ndarray, sizes: np.ndarray, counts:
     return out
 
 
-def starting_point(sequences: list[np.ndarray], seed: int = 11) -> Model:
-    """A model whose states are clusters of the sample's documents by symbols, refined by a few rounds on the sample."""
-    if not sequences:
+def clusters_of(together: np.ndarray) -> np.ndarray:
+    """A state for each of some symbols, by how often two of them stand in one document: spectral, with centres far apart."""
+    often = np.sqrt(np.maximum(np.diag(together), 1e-12))
+    near = together / often[:, None] / often
+    near /= np.sqrt(np.outer(near.sum(axis=1), near.sum(axis=1)))
+    _, vectors = np.linalg.eigh(near)
+    place = vectors[:, -STATES:]
+    place = place / np.maximum(np.linalg.norm(place, axis=1, keepdims=True), 1e-12)
+    chosen = [0]
+    while len(chosen) < min(STATES, len(place)):
+        chosen.append(int(np.abs(place @ place[chosen].T).max(axis=1).argmin()))
+    centres = place[chosen]
+    for _ in range(10):
+        own = (place @ centres.T).argmax(axis=1)
+        centres = np.stack([place[own == s].mean(axis=0) if (own == s).any() else centres[s] for s in range(len(centres))])
+    return own
+
+
+def _together(place: np.ndarray, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """In how many documents each two of the symbols that have a ``place`` stand."""
+    n, at, doc = int(place.max()) + 1, place[symbols], np.repeat(np.arange(len(sizes)), sizes)
+    out, doc, at = np.zeros((n, n)), doc[at >= 0], at[at >= 0]
+    for a in range(0, len(sizes), 4096):
+        lo, hi = np.searchsorted(doc, [a, a + 4096])
+        holds = np.zeros((min(4096, len(sizes) - a), n), np.float32)
+        holds[doc[lo:hi] - a, at[lo:hi]] = 1
+        out += holds.T @ holds
+    return out.ravel()
+
+
+def _mixture(kinds: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Documents of each kind, and their symbols, by each document's shares of the kinds."""
+    doc, logs = np.repeat(np.arange(len(sizes)), sizes), np.log(kinds.emit)
+    fit = np.stack([np.bincount(doc, weights=logs[symbols, s], minlength=len(sizes)) for s in range(STATES)], axis=1) + np.log(kinds.start)
+    share = np.exp(fit - fit.max(axis=1, keepdims=True))
+    share /= share.sum(axis=1, keepdims=True)
+    return np.r_[share.sum(axis=0), np.stack([np.bincount(symbols, weights=share[doc, s], minlength=SYMBOLS + 1) for s in range(STATES)], axis=1).ravel()]
+
+
+def _expected(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    counts = Counts.empty()
+    log_likelihood(model, symbols, sizes, counts)
+    return counts.flat()
+
+
+def starting_point(blocks: DataFrame, symbol_tokens: np.ndarray) -> Model:
+    """A model whose states are kinds of documents, found on all training documents.
+
+    The most frequent symbols are parted by the documents that they share; that tells kinds of documents apart, and
+    a few rounds of a mixture over documents bring in all other symbols.
+    """
+    top = np.argsort(-symbol_tokens, kind="stable")[:FREQUENT]
+    top = top[symbol_tokens[top] > 0]
+    if len(top) < STATES:
         return Counts.empty().model()
-    rng = np.random.default_rng(seed)
-    share = rng.dirichlet(np.full(STATES, 0.3), len(sequences))
-    sizes = np.array([len(s) for s in sequences])
-    flat, doc = np.concatenate(sequences), np.repeat(np.arange(len(sequences)), sizes)
-    for _ in range(25):
-        emit = np.stack([np.bincount(flat, weights=share[doc, s], minlength=SYMBOLS + 1) for s in range(STATES)], axis=1)
-        emit += 0.05 * (emit.sum(axis=1, keepdims=True) / STATES + 0.01)
-        logs = np.log(emit / emit.sum(axis=0))
-        fit = np.stack([np.bincount(doc, weights=logs[flat, s], minlength=len(sizes)) for s in range(STATES)], axis=1)
-        fit += np.log(share.mean(axis=0) + 1e-3)
-        share = np.exp(fit - fit.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-    model = Model(np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1)), emit / emit.sum(axis=0))
-    for _ in range(START_ROUNDS):
-        counts = Counts.empty()
-        log_likelihood(model, flat, sizes, counts)
-        model = counts.model()
-    return model
+    place = np.full(SYMBOLS + 1, -1)
+    place[top] = np.arange(len(top))
+
+    own = clusters_of(_summed(blocks, _together, place, len(top) ** 2).reshape(len(top), len(top)))
+    emit = np.repeat((symbol_tokens + 1.0)[:, None], STATES, axis=1)
+    emit[top] *= np.where(own[:, None] == np.arange(STATES), 1.0, 0.1)
+    emit, weight = np.r_[emit, np.full((1, STATES), emit.sum() / STATES / 100)], np.full(STATES, 1 / STATES)
+    for _ in range(MIXTURE_ROUNDS):
+        given = Model(weight, np.empty(0), emit / emit.sum(axis=0))
+        sums = _summed(blocks, _mixture, given, STATES * (SYMBOLS + 2))
+        weight, emit = (sums[:STATES] + 1) / (sums[:STATES] + 1).sum(), sums[STATES:].reshape(-1, STATES)
+        emit = emit + 0.05 * (emit.sum(axis=1, keepdims=True) / STATES + 0.01)
+    return Model(weight, np.full((STATES, STATES), 0.1 / (STATES - 1)) + np.eye(STATES) * (0.9 - 0.1 / (STATES - 1)), emit / emit.sum(axis=0))
 
 
 def _blocks(docs: DataFrame, train: Column) -> DataFrame:
@@ -289,18 +336,19 @@ def _sequences(batch, i: int) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(_array(batch.column("symbols"), i, np.uint16).astype(np.int32), np.cumsum(sizes), END), sizes + 1
 
 
-def _round(blocks: DataFrame, model: Model) -> Counts:
-    """Baum-Welch counts of all training documents: summed in each task, then slice by slice."""
-    shipped = blocks.sparkSession.sparkContext.broadcast(model)  # fixed size: symbols times states
+def _summed(blocks: DataFrame, task: Callable, given: Model | np.ndarray, size: int) -> np.ndarray:
+    """The sum of the ``size`` numbers of ``task(given, symbols, document sizes)`` over the training documents of all blocks: in each task first, then slice by slice."""
+    shipped = blocks.sparkSession.sparkContext.broadcast(given)  # fixed size: symbols times states at most
 
     def expect(batches):
-        model, counts = shipped.value, Counts.empty()
+        given, sums = shipped.value, np.zeros(size)
         for batch in batches:
             for i in range(batch.num_rows):
                 symbols, sizes = _sequences(batch, i)
                 train = _array(batch.column("train"), i, np.uint8) > 0
-                log_likelihood(model, symbols[np.repeat(train, sizes)], sizes[train], counts)
-        parts = np.array_split(counts.flat(), SLICES)
+                if train.any():
+                    sums += task(given, symbols[np.repeat(train, sizes)], sizes[train])
+        parts = np.array_split(sums, SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "sums"])
 
     def add(batches):
@@ -311,23 +359,22 @@ def _round(blocks: DataFrame, model: Model) -> Counts:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "sums"])
 
     kind = "slice int, sums binary"
-    rows = blocks.select("train", "sizes", "symbols").mapInArrow(expect, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect()
-    if not rows:
-        return Counts.empty()
-    return Counts.of(np.concatenate([np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: r.slice)]))
+    rows = blocks.select("train", "sizes", "symbols").mapInArrow(expect, kind).repartition(SLICES, "slice").mapInArrow(add, kind).collect()  # SLICES rows
+    shipped.unpersist()
+    return np.concatenate([np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: r.slice)]) if rows else np.zeros(size)
 
 
-def _sample(docs: DataFrame, train: Column, rows: int) -> list[np.ndarray]:
-    ids = docs.where(train & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+def _round(blocks: DataFrame, model: Model) -> Counts:
+    """Baum-Welch counts of all training documents."""
+    return Counts.of(_summed(blocks, _expected, model, len(Counts.empty().flat())))
 
-    def run(batches):
-        for batch in slices(batches):
-            words = Words(*text_buffers(batch.column("text")))
-            symbols = symbols_of(words.hashes(lower=True))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.r_[symbols[a:b], END].astype(np.int32).tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary())], ["doc_id", "symbols"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, symbols binary").collect()  # bounded by `rows`
-    return [np.frombuffer(s, np.int32) for _, s in sorted(map(tuple, got))]
+def learned(blocks: DataFrame, symbol_tokens: np.ndarray, rounds: int) -> Model:
+    """The model of all training documents in ``blocks``."""
+    model = starting_point(blocks, symbol_tokens)
+    for _ in range(rounds):
+        model = _round(blocks, model).model()
+    return model
 
 
 def hmm_scores(docs: DataFrame, train: Column, rounds: int = ROUNDS) -> DataFrame:
@@ -353,9 +400,7 @@ def hmm_scores(docs: DataFrame, train: Column, rounds: int = ROUNDS) -> DataFram
     blocks = stored(_counted(plain, lists, spark.sparkContext.broadcast(symbol_tokens + symbol_words + 1), n, v))  # one number a symbol
     discard(plain, counts, lists)
 
-    model = starting_point(_sample(docs, admitted, START_ROWS))
-    for _ in range(rounds if ends else 0):
-        model = _round(blocks, model).model()
+    model = learned(blocks, symbol_tokens, rounds if ends else 0)
     shipped = spark.sparkContext.broadcast(model)  # fixed size
 
     def run(batches):
