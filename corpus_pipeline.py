@@ -56,12 +56,11 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; one of a few characters counts only where it makes up half of the text. Null and empty texts hold none; rows with one doc_id and text go or stay together."""
+    """Documents that hold no benchmark item, whatever its length. Null and empty texts hold none; rows with one doc_id and text go or stay together."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"), F.length("text").alias("chars"))
-    hits = decontamination.contaminated(keyed, benchmark, carry=("key", "chars"))
-    telling = (F.col("item_size") >= decontamination.LEAST) | (2 * (F.col("end") - F.col("start")) >= F.col("chars"))
-    found = stored(hits.where(telling).select(F.col("key").alias("bad"), F.col("doc_id").alias("id")).distinct())
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("key"))
+    hits = decontamination.contaminated(keyed, benchmark, carry=("key",))
+    found = stored(hits.select(F.col("key").alias("bad"), F.col("doc_id").alias("id")).distinct())
     return keyed.join(found, (F.col("key") == F.col("bad")) & F.col("doc_id").eqNullSafe(F.col("id")), "left_anti").select(*COLUMNS)
 
 
