@@ -131,13 +131,22 @@ def ripple_targets(memory: DataFrame, touched: DataFrame, hours: int = 48, most:
     return first_within(sources, memory.where(ripples() & (F.col("store") != "archive")), hours, most)
 
 
-def touched(memory: DataFrame, activations: DataFrame, now: Column, spread: float = 0.3) -> DataFrame:
-    """``memory`` after a log of ``activations`` (id): each counts 1 for its row and ``spread`` for its ripple targets.
-
-    The log is materialised first, so a plan that is run twice doesn't touch twice.
-    """
+def touch_waves(memory: DataFrame, activations: DataFrame) -> DataFrame:
+    """(id, hits, waves): how often each row was touched, and how many touches reached it as a ripple."""
     direct = activations.groupBy("id").agg(F.count("*").alias("hits"))
     ripple = ripple_targets(memory, activations).join(direct.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.sum("hits").alias("waves"))
-    both = memory.join(direct, "id", "left").join(ripple, "id", "left")
+    return direct.join(ripple, "id", "full")
+
+
+def with_waves(memory: DataFrame, waves: DataFrame, how: str, now: Column, spread: float) -> DataFrame:
     count = F.round(F.coalesce("activation_count", F.lit(1.0)) + F.coalesce("hits", F.lit(0)) + F.coalesce("waves", F.lit(0)) * F.lit(spread), 1)
+    both = memory.join(waves, "id", how)
     return both.withColumn("activation_count", count).withColumn("last_active", F.when(F.col("hits").isNotNull(), now).otherwise(F.col("last_active"))).select(*memory.columns)
+
+
+def touched(memory: DataFrame, activations: DataFrame, now: Column, spread: float = 0.3) -> DataFrame:
+    """``memory`` after a log of ``activations`` (id): each counts 1 for its row and ``spread`` for its ripple targets.
+
+    The log is materialised first, so a plan that is run twice doesn't touch twice. ``change_log.touch_changes`` gives the changed rows alone.
+    """
+    return with_waves(memory, touch_waves(memory, activations), "left", now, spread)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import scoring, text
-from tidepool.operators import fuzzy_search, packing, pairs, pivots, predicates, ranking, turns, writes
+from tidepool.operators import change_log, fuzzy_search, packing, pairs, pivots, predicates, ranking, turns, writes
 from tidepool.plans import memory_plans as plans
 from tidepool.plans import sql
 from tidepool.sources import providers
@@ -594,11 +594,31 @@ def decay_stats(spark, d):
     return writes.decay_stats(writes.decay_cycle(scored(spark, d), F.col("score"), now_column()))
 
 
-@query("touch_snapshot", with_(sql.MEM, sql.ROUNDS) + f", hit AS (SELECT bucket_id AS id, count(*) AS hits FROM rounds GROUP BY 1), p AS (SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS nth FROM mem a JOIN hit h ON h.id = a.id JOIN mem b ON a.id <> b.id AND abs(epoch(a.created) - epoch(b.created)) <= 48 * 3600 WHERE b.store <> 'archive' AND b.type NOT IN ('permanent', 'feel') AND NOT b.pinned AND NOT b.protected), w AS (SELECT target AS id, sum(hits) AS waves FROM p JOIN hit h ON h.id = p.source WHERE nth <= 5 GROUP BY 1) SELECT m.id, round(m.activation_count + coalesce(hits, 0) + coalesce(waves, 0) * 0.3::DOUBLE, 1) AS activation_count, CASE WHEN hits IS NOT NULL THEN {sql.NOW} ELSE last_active END AS last_active FROM mem m LEFT JOIN hit USING (id) LEFT JOIN w USING (id)")
+TOUCH_SQL = with_(sql.MEM, sql.ROUNDS) + f", hit AS (SELECT bucket_id AS id, count(*) AS hits FROM rounds GROUP BY 1), p AS (SELECT a.id AS source, b.id AS target, row_number() OVER (PARTITION BY a.id ORDER BY b.seq) AS nth FROM mem a JOIN hit h ON h.id = a.id JOIN mem b ON a.id <> b.id AND abs(epoch(a.created) - epoch(b.created)) <= 48 * 3600 WHERE b.store <> 'archive' AND b.type NOT IN ('permanent', 'feel') AND NOT b.pinned AND NOT b.protected), w AS (SELECT target AS id, sum(hits) AS waves FROM p JOIN hit h ON h.id = p.source WHERE nth <= 5 GROUP BY 1) SELECT m.id, round(m.activation_count + coalesce(hits, 0) + coalesce(waves, 0) * 0.3::DOUBLE, 1) AS activation_count, CASE WHEN hits IS NOT NULL THEN {sql.NOW} ELSE last_active END AS last_active FROM mem m LEFT JOIN hit USING (id) LEFT JOIN w USING (id)"
+
+
+@query("touch_snapshot", TOUCH_SQL)
 def touch_snapshot(spark, d):
     return writes.touched(memories(spark, d), rounds(spark, d).select(F.col("bucket_id").alias("id")), now_column()).select("id", "activation_count", "last_active")
 
 
+@query("touch_changes", TOUCH_SQL + " WHERE hits IS NOT NULL OR waves IS NOT NULL")
+def touch_changes(spark, d):
+    """The rows that a log of touches changes, as a write to the change log holds them."""
+    touches = rounds(spark, d).select(F.col("bucket_id").alias("id"))
+    return change_log.touch_changes(memories(spark, d), touches, now_column()).select("id", "activation_count", "last_active")
+
+
+@query("touch_laid_over", TOUCH_SQL)
+def touch_laid_over(spark, d):
+    """The table after two writes of changed rows, the touches and before them a wrong value of the same rows: the newest counts."""
+    m = memories(spark, d)
+    rows = change_log.touch_changes(m, rounds(spark, d).select(F.col("bucket_id").alias("id")), now_column())
+    older = m.select("id").join(rows.select("id"), "id", "left_semi").join(m.withColumn("activation_count", F.lit(-1.0)), "id")
+    marked = lambda x, v: x.select(*m.columns, F.lit(False).alias(change_log.REMOVED), F.lit(v).alias(change_log.VERSION))
+    return change_log.laid_over(m, marked(older, 1).unionByName(marked(rows, 2))).select("id", "activation_count", "last_active")
+
+
 @query("summary_cache", MEM + f"SELECT id, sha256(content) AS content_hash, CASE WHEN id % 2 = 0 THEN 'cached' ELSE {sql.summary()} END AS summary FROM mem")
 def summary_cache(spark, d):
     """Summaries by content hash: cached ones are joined, only misses are made."""
