@@ -84,3 +84,37 @@ def test_crowded_anchors(spark, crowd, least, gram):
 
 def test_empty(spark):
     assert op.remove_repeats(frame(spark, [])).count() == 0
+
+
+def shard_rows(raw, key=5):
+    """Segments whose texts begin ``lead`` bytes before one anchor, as a shard gets them."""
+    return [(key, i, i, 1, windows, lead, t) for i, (t, lead, windows) in enumerate(raw)]
+
+
+def test_index_holds_only_where_repeats_can_begin(monkeypatch):
+    """Segments that share an anchor but no window aren't indexed, others are cut; before, all bytes of a shard were."""
+    rnd = random.Random(3)
+    noise = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    anchor, passage = noise(96), noise(500)
+    lone = [(noise(120) + anchor + noise(400), 120, 120) for _ in range(50)]
+    # ``passage`` stands at equal places to the anchor in two segments, in a third only 399 bytes of it do.
+    twins = [(noise(59) + side + passage[:n] + side + noise(539 - n), 160, 161) for side, n in ((b"A", 500), (b"B", 500), (b"C", 399))]
+    held, whole = [], op.build_index
+    monkeypatch.setattr(op, "build_index", lambda data, offsets, *least: held.append(len(data)) or whole(data, offsets, *least))
+    rows = shard_rows(lone + twins)
+    got = op._shard(rows, op.Settings()).to_pydict()
+    assert sum(held) <= 3 * 560 < sum(len(r[6]) for r in rows) // 10
+    assert (got["d1"], got["starts"], got["ends"]) == ([50, 51, 52], [[60], [60], []], [[560], [560], []])
+    assert (got["shared_starts"], got["shared_ends"]) == ([[60], [60], [60]], [[400], [400], [400]])
+
+
+@pytest.mark.parametrize("least", [1, 7, 8, 20, 28, 60])
+def test_long_matches_are_sampled_whole(least):
+    """With a least length, matches of that length and more are those of the whole index; shorter ones may be less."""
+    rnd = random.Random(least)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(5, 50))) for _ in range(6)]
+    raw = ["".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))).encode() for _ in range(30)]
+    data, offsets, windows = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])], np.array([len(x) for x in raw])
+    want, got = (op.build_index(data, offsets, n).matching_statistics(windows) for n in (0, least))
+    np.testing.assert_array_equal(got[want >= least], want[want >= least])
+    assert (got <= want)[want < least].all()

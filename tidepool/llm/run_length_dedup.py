@@ -8,7 +8,8 @@
    Burrows-Wheeler transform, with the length of the match across each border of two runs sampled; the array
    itself is dropped. All segments then stream through the runs side by side, a byte a step: where a row lies at
    an end of its run its match is read from the sample, elsewhere it is one byte shorter than the step before.
-   Besides, windows of ``least`` bytes that are equal and lie alike to their anchor are marked as shared.
+   Besides, windows of ``least`` bytes that are equal and lie alike to their anchor are marked as shared. A string
+   of ``length`` bytes can only repeat where such windows do, so segments are cut to these before they are indexed.
 4. An anchor with very many different segments is cut into blocks of windows (keyed by what the
    block's windows have in common), in the end into single windows, so that no shard grows with it.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import anchors as an
 from tidepool.llm.runtime import discard, prepare, stored
-from tidepool.llm.textbuf import U64, byte_prefix, covered, duplicated, mix, rolling, slices, span, text_buffers
+from tidepool.llm.textbuf import U64, byte_prefix, covered, duplicated, mix, ranges, rolling, slices, span, text_buffers
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,7 @@ class Settings:
 
 
 _SYMBOLS = 7  # nine-bit symbols in the first sort key
+CACHED = 1 << 16  # bytes of text whose 64-bit hashes and temporaries stay in a core's cache
 
 
 @dataclass
@@ -110,31 +112,44 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[t
     # Texts that end within the key are in the order of their separators.
     tied = np.flatnonzero((equal | np.r_[equal[1:], False]) & (to_end[order] < _SYMBOLS))
     order[tied] = order[tied][np.lexsort((order[tied], sorted_key[tied]))]
+    order = order.astype(np.int32)
     fresh = ~equal | (to_end[order] < _SYMBOLS)
     rank = np.empty(n, np.int32)
-    group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    group = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
     rank[order] = group
     levels = [(_SYMBOLS, rank)]
     length = _SYMBOLS
-    open_at = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))
+    open_at = np.flatnonzero(~(fresh & np.r_[fresh[1:], True])).astype(np.int32)
+    pos, group = order[open_at], group[open_at]
+    rank_bits = U64(n.bit_length())
     while len(open_at):
-        pos, own = order[open_at], group[open_at]
-        both = (own.astype(np.int64) << 32) | rank[np.minimum(pos + length, n - 1)]
-        again = np.argsort(both)
-        both = both[again]
+        many = len(open_at)
+        place_bits = U64(many.bit_length())
+        both = (group.astype(U64) << rank_bits) | rank[np.minimum(pos + np.int32(length), np.int32(n - 1))].view(np.uint32)
+        # Where 64 bits hold it, the place goes into the key: a plain sort is far faster than an argsort.
+        if 2 * int(rank_bits) + int(place_bits) <= 64:
+            both <<= place_bits
+            both |= np.arange(many, dtype=U64)
+            both.sort()
+            again = (both & ((U64(1) << place_bits) - U64(1))).astype(np.int32)
+            both >>= place_bits
+        else:
+            again = np.argsort(both)
+            both = both[again]
         order[open_at] = pos = pos[again]
         split = np.r_[True, both[1:] != both[:-1]]
-        group[open_at] = np.maximum.accumulate(np.where(split, open_at, 0))
+        group = np.maximum.accumulate(np.where(split, open_at, np.int32(0)))
         rank = rank.copy()
-        rank[pos] = group[open_at]
+        rank[pos] = group
         length *= 2
         levels.append((length, rank))
-        open_at = open_at[~(split & np.r_[split[1:], True])]
+        still = np.flatnonzero(~(split & np.r_[split[1:], True]))
+        open_at, pos, group = open_at[still], pos[still], group[still]
     return order, levels
 
 
-def build_index(data: np.ndarray, offsets: np.ndarray) -> RunLengthIndex:
-    """Index of segments given as bytes and bounds."""
+def build_index(data: np.ndarray, offsets: np.ndarray, least: int = 0) -> RunLengthIndex:
+    """Index of segments given as bytes and bounds. Matches shorter than ``least`` may be sampled as 0."""
     count = len(offsets) - 1
     starts = offsets[:-1] + np.arange(count)
     ends = offsets[1:] + np.arange(count)
@@ -146,22 +161,27 @@ def build_index(data: np.ndarray, offsets: np.ndarray) -> RunLengthIndex:
     before = text[order - 1]
     # Separators differ from one another, so each is a run of its own.
     border = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0)) + 1
-    x, y = order[border - 1].astype(np.int32), order[border].astype(np.int32)
-    match = np.zeros(len(border), np.int32)
     last = np.int32(len(text) - 1)
+    # One level tells most of the borders whose match is shorter than ``least``.
+    rank = max((level for level in levels if level[0] <= least), key=lambda level: level[0], default=(0, None))[1]
+    tried = np.arange(len(border)) if rank is None else np.flatnonzero(rank[order[border - 1]] == rank[order[border]])
+    x, y = order[border[tried] - 1], order[border[tried]]
+    found = np.zeros(len(tried), np.int32)
     for length, rank in reversed(levels):
         same = (rank[np.minimum(x, last)] == rank[np.minimum(y, last)]) & (x <= last) & (y <= last)
         step = same * np.int32(length)
-        match += step
+        found += step
         x += step
         y += step
-    open_at = np.arange(len(border))
+    open_at = np.arange(len(tried))
     for _ in range(_SYMBOLS - 1):
         a, b = text[np.minimum(x[open_at], last)], text[np.minimum(y[open_at], last)]
         open_at = open_at[(a == b) & (a > 0) & (x[open_at] <= last) & (y[open_at] <= last)]
-        match[open_at] += 1
+        found[open_at] += 1
         x[open_at] += 1
         y[open_at] += 1
+    match = np.zeros(len(border), np.int32)
+    match[tried] = found
     first = np.flatnonzero(before == 0)
     entries = np.empty(count, np.int64)
     entries[np.searchsorted(starts, order[first])] = first
@@ -171,7 +191,7 @@ def build_index(data: np.ndarray, offsets: np.ndarray) -> RunLengthIndex:
 
 def _anchors(texts: DataFrame, p: Settings) -> DataFrame:
     def run(batches):
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=CACHED):
             data, offsets = text_buffers(batch.column("text"))
             if len(data) < p.least:
                 continue
@@ -195,7 +215,7 @@ def _segments(texts: DataFrame, p: Settings) -> DataFrame:
     """Segments of every repeated anchor of ``texts`` (t1, t2, text, anchors); ``places`` are the byte positions in the text at which it begins."""
 
     def run(batches):
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=2 * CACHED):
             data, offsets = text_buffers(batch.column("text"))
             pre = byte_prefix(data)
             doc, anchor, at, first, last = an.occurrences(rolling(pre, p.gram), p.gram, p.least, offsets)
@@ -264,36 +284,62 @@ def _joined(marked: np.ndarray, row: np.ndarray, place: np.ndarray, size: int, w
     return [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (place[opens], place[closes] + size)]
 
 
+def _candidates(twin: np.ndarray, whole: np.ndarray, row: np.ndarray, place: np.ndarray, further: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first place, last place) of the part of each segment in which a repeat can begin; the index needs no more of it.
+
+    All windows of ``least`` bytes within a repeat have a ``twin`` in another segment: the one at which it begins
+    and the ``further`` ones behind it, as far as they are windows of this segment.
+    """
+    n = len(row)
+    last = np.r_[row[1:] != row[:-1], True]
+    stops = np.flatnonzero(~twin)
+    to_stop = np.r_[stops, n][np.searchsorted(stops, np.arange(n))]
+    ends = np.flatnonzero(last)
+    to_end = ends[np.searchsorted(ends, np.arange(n))] + 1
+    at = np.flatnonzero(twin & whole & (to_stop >= np.minimum(np.arange(n) + further + 1, to_end)))
+    first = np.flatnonzero(np.r_[True, row[at[1:]] != row[at[:-1]]]) if len(at) else at
+    return row[at[first]], place[at[first]], place[at[np.r_[first[1:], len(at)] - 1]] if len(at) else at
+
+
+def _shard(rows: list[tuple], p: Settings) -> pa.RecordBatch:
+    """(key, d1, d2, starts, ends, shared_starts, shared_ends) of those rows (key, d1, d2, times, windows, anchor_at, bytes) of a shard that have any."""
+    key, d1, d2, times, windows, anchor_at, parts = zip(*rows, strict=True)
+    sizes, windows = np.array([len(x) for x in parts]), np.array(windows)
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum(sizes)]
+    row = np.repeat(np.arange(len(rows)), windows)
+    place = np.arange(len(row)) - np.r_[0, np.cumsum(windows)][row]
+    again = np.array(times)[row] > 1
+    first = offsets[row] + place
+    alike = span(byte_prefix(data), first, first + p.least) ^ mix(np.array(key)[row].view(U64) + (np.array(anchor_at)[row] - place).astype(U64))
+    twin = duplicated(alike)
+    shared = again | twin
+    told = np.flatnonzero(np.logical_or.reduceat(shared, np.r_[0, np.cumsum(windows)[:-1]]))
+    whole = sizes[row] - place >= p.length
+    gone = again & whole
+    held, low, high = _candidates(twin, whole, row, place, p.length - p.least)
+    if len(held):
+        begin, end = offsets[held] + low, np.minimum(offsets[held] + high + p.length, offsets[held + 1])
+        index = build_index(data[ranges(begin, end)], np.r_[0, np.cumsum(end - begin)], p.length)
+        base = np.r_[0, np.cumsum(windows)][held]
+        gone[ranges(base + low, base + high + 1)] |= index.matching_statistics(high - low + 1) >= p.length
+    lists = [*_joined(gone, row, place, p.length, told), *_joined(shared, row, place, p.least, told)]
+    return pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.int64)[told]) for x in (key, d1, d2)), *lists], ["key", "d1", "d2", *_RANGES])
+
+
 def _marked(distinct: DataFrame, p: Settings) -> DataFrame:
     """(key, d1, d2, starts, ends, shared_starts, shared_ends): the ranges of each distinct segment that repeats of ``length`` and of ``least`` bytes cover."""
 
-    def shard(rows: list[tuple]):
-        key, d1, d2, times, windows, anchor_at, parts = zip(*rows, strict=True)
-        sizes, windows = np.array([len(x) for x in parts]), np.array(windows)
-        data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum(sizes)]
-        stats = build_index(data, offsets).matching_statistics(windows)
-        row = np.repeat(np.arange(len(rows)), windows)
-        place = np.arange(len(row)) - np.r_[0, np.cumsum(windows)][row]
-        again = np.array(times)[row] > 1
-        first = offsets[row] + place
-        alike = span(byte_prefix(data), first, first + p.least) ^ mix(np.array(key)[row].view(U64) + (np.array(anchor_at)[row] - place).astype(U64))
-        shared = again | duplicated(alike)
-        told = np.flatnonzero(np.logical_or.reduceat(shared, np.r_[0, np.cumsum(windows)[:-1]]))
-        gone = np.where(again, sizes[row] - place, stats) >= p.length
-        lists = [*_joined(gone, row, place, p.length, told), *_joined(shared, row, place, p.least, told)]
-        return pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.int64)[told]) for x in (key, d1, d2)), *lists], ["key", "d1", "d2", *_RANGES])
-
     def run(batches):
         rows, size = [], 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "d1", "d2", "times", "windows", "anchor_at", "bytes")), strict=True):
                 if size >= p.shard_bytes and rows[-1][0] != row[0]:
-                    yield shard(rows)
+                    yield _shard(rows, p)
                     rows, size = [], 0
                 rows.append(row)
                 size += len(row[6])
         if rows:
-            yield shard(rows)
+            yield _shard(rows, p)
 
     dealt = distinct.repartition("key").sortWithinPartitions("key", "d1", "d2")
     return dealt.select("key", "d1", "d2", "times", "windows", "anchor_at", "bytes").mapInArrow(run, "key long, d1 long, d2 long" + "".join(f", {c} array<long>" for c in _RANGES))
