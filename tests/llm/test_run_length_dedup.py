@@ -118,3 +118,21 @@ def test_long_matches_are_sampled_whole(least):
     want, got = (op.build_index(data, offsets, n).matching_statistics(windows) for n in (0, least))
     np.testing.assert_array_equal(got[want >= least], want[want >= least])
     assert (got <= want)[want < least].all()
+
+
+def test_index_is_built_in_parts(monkeypatch):
+    """One index holds a quarter of a shard's bytes, or one anchor; before, it held the whole shard with the crowded anchor at its end."""
+    assert list(op._parts(np.array([1, 1, 2, 3, 3, 3, 4]), np.array([5, 5, 5, 50, 50, 50, 5]), 16)) == [(0, 3), (3, 6), (6, 7)]
+    assert list(op._parts(np.array([], np.int64), np.array([], np.int64), 16)) == []
+    rnd = random.Random(5)
+    noise = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    rows = []
+    for key in range(40):
+        passage = noise(600)
+        rows += shard_rows([(noise(20) + passage, 120, 150), (noise(20) + passage, 120, 150)], key)
+    rows = [(k, i, i, *r) for i, (k, _, _, *r) in enumerate(rows)]
+    held, whole = [], op.build_index
+    monkeypatch.setattr(op, "build_index", lambda data, offsets, *least: held.append(len(data)) or whole(data, offsets, *least))
+    got = op._shard(rows, op.Settings(shard_bytes=1 << 14)).to_pydict()
+    assert len(held) > 5 and max(held) <= 1 << 12
+    assert len(got["starts"]) == len(rows) and all(len(s) == 1 and s[0] in (19, 20) for s in got["starts"])

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import anchors as an
 from tidepool.llm.runtime import discard, prepare, stored
-from tidepool.llm.textbuf import U64, byte_prefix, covered, duplicated, mix, ranges, rolling, slices, span, text_buffers
+from tidepool.llm.textbuf import U64, byte_prefix, covered, duplicated, mix, ranges, release, rolling, slices, span, text_buffers
 
 
 @dataclass(frozen=True)
@@ -99,12 +99,13 @@ def suffix_ranks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[t
     ``text`` has symbols from 1 on and 0 at the separators ``ends``, each of which is smaller than all others after it.
     """
     n = len(text)
-    to_end = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n)
+    to_end = np.repeat(ends.astype(np.int32), np.diff(np.r_[-1, ends])) - np.arange(n, dtype=np.int32)
     whole = np.r_[text, np.zeros(_SYMBOLS, text.dtype)].astype(U64)
     two = (whole[:-1] << U64(9)) | whole[1:]
     four = (two[:-2] << U64(18)) | two[2:]
     key = (four[:n] << U64(27)) | ((two[4 : n + 4] << U64(9)) | whole[6 : n + 6])
-    short = np.minimum(to_end, _SYMBOLS)
+    short = np.minimum(to_end, np.int32(_SYMBOLS))
+    del whole, two, four
     key &= ~((U64(1) << (U64(9) * (U64(_SYMBOLS) - short.astype(U64)))) - U64(1))
     order = np.argsort(key)
     sorted_key = key[order]
@@ -301,6 +302,20 @@ def _candidates(twin: np.ndarray, whole: np.ndarray, row: np.ndarray, place: np.
     return row[at[first]], place[at[first]], place[at[np.r_[first[1:], len(at)] - 1]] if len(at) else at
 
 
+def _parts(key: np.ndarray, sizes: np.ndarray, limit: int):
+    """Bounds of stretches of rows with about ``limit`` bytes each, that part no two rows of one key; an index takes some hundred times its text."""
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    total = np.r_[0, np.cumsum(sizes)]
+    bounds = np.r_[starts, len(key)].tolist()
+    a = 0
+    for now, after in zip(bounds[:-1], bounds[1:], strict=True):
+        if now > a and total[after] - total[a] > limit:
+            yield a, now
+            a = now
+    if a < len(key):
+        yield a, len(key)
+
+
 def _shard(rows: list[tuple], p: Settings) -> pa.RecordBatch:
     """(key, d1, d2, starts, ends, shared_starts, shared_ends) of those rows (key, d1, d2, times, windows, anchor_at, bytes) of a shard that have any."""
     key, d1, d2, times, windows, anchor_at, parts = zip(*rows, strict=True)
@@ -317,11 +332,13 @@ def _shard(rows: list[tuple], p: Settings) -> pa.RecordBatch:
     whole = sizes[row] - place >= p.length
     gone = again & whole
     held, low, high = _candidates(twin, whole, row, place, p.length - p.least)
-    if len(held):
-        begin, end = offsets[held] + low, np.minimum(offsets[held] + high + p.length, offsets[held + 1])
-        index = build_index(data[ranges(begin, end)], np.r_[0, np.cumsum(end - begin)], p.length)
-        base = np.r_[0, np.cumsum(windows)][held]
-        gone[ranges(base + low, base + high + 1)] |= index.matching_statistics(high - low + 1) >= p.length
+    begin, end = offsets[held] + low, np.minimum(offsets[held] + high + p.length, offsets[held + 1])
+    base, owner = np.r_[0, np.cumsum(windows)][held], np.array(key)[held]
+    for a, b in _parts(owner, end - begin, p.shard_bytes // 4):
+        part = slice(a, b)
+        index = build_index(data[ranges(begin[part], end[part])], np.r_[0, np.cumsum((end - begin)[part])], p.length)
+        gone[ranges((base + low)[part], (base + high)[part] + 1)] |= index.matching_statistics((high - low + 1)[part]) >= p.length
+        del index
     lists = [*_joined(gone, row, place, p.length, told), *_joined(shared, row, place, p.least, told)]
     return pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.int64)[told]) for x in (key, d1, d2)), *lists], ["key", "d1", "d2", *_RANGES])
 
@@ -340,6 +357,8 @@ def _marked(distinct: DataFrame, p: Settings) -> DataFrame:
                 size += len(row[6])
         if rows:
             yield _shard(rows, p)
+        rows = None
+        release()
 
     dealt = distinct.repartition("key").sortWithinPartitions("key", "d1", "d2")
     return dealt.select("key", "d1", "d2", "times", "windows", "anchor_at", "bytes").mapInArrow(run, "key long, d1 long, d2 long" + "".join(f", {c} array<long>" for c in _RANGES))
