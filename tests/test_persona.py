@@ -4,7 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests.oracle import rows as both_sides
+from tidepool.functions import scoring
 from tidepool.operators import persona
+from tidepool.plans import registry, registry_tools  # noqa: F401
 from tidepool.streaming import imports
 
 SCHEMA = "profile_id string, session_id long, event_id long, ts timestamp_ntz, message string, raw string"
@@ -79,3 +82,17 @@ def test_import_status(spark):
     assert {k: (r.status, r.processed, r.memories_created, r.memories_merged, r.memories_raw) for k, r in got.items()} == {"a": ("completed", 3, 6, 3, 0), "b": ("running", 2, 0, 0, 0), "c": ("paused", 1, 5, 0, 5), "d": ("idle", 0, 0, 0, 0)}
     assert got["b"].errors == ["Chunk 0: " + "x" * 200] and got["a"].errors == []
     assert sorted(r.chunk_id for r in imports.pending_chunks(planned, outcomes, paused).collect()) == ["b2", "d0", "d1", "d2"]
+
+
+def test_rounding_of_four_places_to_three(spark):
+    import duckdb
+
+    values = [i / 10_000 for i in range(10_001)]
+    want = [r[0] for r in duckdb.sql("SELECT round(i::DOUBLE / 10000, 3) FROM range(10001) t(i) ORDER BY i").fetchall()]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", scoring.scaled_round(F.col("v"), 3).alias("r")).orderBy("i").collect()
+    assert [(i, r.r) for i, r in enumerate(got) if r.r != want[i]] == []
+
+
+def test_snapshot_of_many_sessions_equals_its_sql(spark):
+    got, want = both_sides(spark, "persona_snapshot", registry.QUERIES["persona_snapshot"], registry.ORACLES["persona_snapshot"], "/root/testdata/sf0.1")
+    assert [p for p in zip(got, want, strict=True) if p[0] != p[1]] == []

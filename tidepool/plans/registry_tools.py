@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepool.functions import answers, messages, text
+from tidepool.functions import answers, messages, scoring, text
 from tidepool.operators import persona, writes
 from tidepool.plans import sql, tools
 from tidepool.plans.registry import MEM, query
@@ -52,7 +52,7 @@ def session_moods(spark, d):
 def persona_snapshot(spark, d):
     """The last mood of each session, kept to four places; defensiveness is the larger of the session's and the profile's."""
     last = sessions.last_moods(mood_events(spark, d))
-    v, a = F.round(F.round("valence", 4), 3), F.round(F.round("arousal", 4), 3)
+    v, a = (scoring.scaled_round(scoring.scaled_round(F.col(c), 4), 3) for c in ("valence", "arousal"))
     return last.select("session_id", v.alias("valence"), a.alias("arousal"), F.greatest(F.round("session_defensiveness", 3), F.lit(0.3)).alias("defensiveness"), F.concat(F.lit("V"), F.format_string("%.3f", v), F.lit(" A"), F.format_string("%.3f", a)).alias("line"))
 
 
