@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def parsed(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row: used in branches, it would else be computed at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind_of(v: Column) -> Column:
     return F.regexp_extract(F.coalesce(F.schema_of_variant(v), F.lit("")), "^[A-Z]*", 0)
 
@@ -96,12 +103,16 @@ def items(raw: Column, most_tags: int = 15) -> Column:
 def evaluation(raw: Column, s: PersonaSettings = PersonaSettings()) -> Column:
     """Struct of a mood evaluation: labels cut to length, deltas limited; null if there is no JSON object in the answer."""
     inner = F.regexp_extract(F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```(json)?\s*", ""), r"\s*```$", ""), r"(?s)\{.*\}", 0)
-    v = parsed(inner)
-    words = lambda name, most, default: F.left(F.coalesce(get(v, f"$.{name}"), F.lit(default)), F.lit(most)).alias(name)
-    # An absent delta is 0, a broken one the lower bound.
-    deltas = lambda group, names, most: F.struct(*[limited(F.coalesce(get(v, f"$.{group}.{n}"), F.lit("0")), most).alias(n) for n in names]).alias(group)
-    out = F.struct(
-        words("event_type", 40, "neutral"), words("perceived_intent", 200, ""), deltas("affect_delta", AFFECT, s.affect_limit), deltas("relationship_delta", RELATIONSHIP, s.relationship_limit), deltas("personality_delta", PERSONALITY, s.personality_limit),
-        words("mood_label", 60, "warm_neutral"), words("reply_guidance", 240, ""), clamp(F.coalesce(F.coalesce(get(v, "$.confidence"), F.lit("0.5")).try_cast("double"), F.lit(0.0)), 0, 1).alias("confidence"),
-    )
-    return F.when(kind_of(v) == "OBJECT", out)
+    groups = {"affect_delta": (AFFECT, s.affect_limit), "relationship_delta": (RELATIONSHIP, s.relationship_limit), "personality_delta": (PERSONALITY, s.personality_limit)}
+    labels = {"event_type": (40, "neutral"), "perceived_intent": (200, ""), "mood_label": (60, "warm_neutral"), "reply_guidance": (240, "")}
+    told = ", ".join([f"{x} string" for x in (*labels, "confidence")] + [f"{g} struct<{', '.join(f'{n} string' for n in names)}>" for g, (names, _) in groups.items()])
+
+    def out(v: Column) -> Column:
+        words = lambda x: F.left(F.coalesce(v[x], F.lit(labels[x][1])), F.lit(labels[x][0])).alias(x)
+        # An absent delta is 0, a broken one the lower bound.
+        deltas = lambda g: F.struct(*[limited(F.coalesce(v[g][n], F.lit("0")), groups[g][1]).alias(n) for n in groups[g][0]]).alias(g)
+        confidence = clamp(F.coalesce(F.coalesce(v["confidence"], F.lit("0.5")).try_cast("double"), F.lit(0.0)), 0, 1).alias("confidence")
+        return F.when(v.isNotNull(), F.struct(words("event_type"), words("perceived_intent"), *map(deltas, groups), words("mood_label"), words("reply_guidance"), confidence))
+
+    # One read of the whole object, which is null for anything else; fields of another kind are null in it, as by paths.
+    return once(get(parsed(inner), "$", f"struct<{told}>"), out)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.config import PersonaSettings
@@ -18,7 +18,12 @@ from tidepool.functions.text import content_hash
 START = {"openness": 0.56, "conscientiousness": 0.50, "extraversion": 0.44, "agreeableness": 0.66, "neuroticism": 0.36, "affinity": 0.86, "dominance": 0.38, "defensiveness": 0.12, "trust": 0.82}
 STEADY = "保持稳定、温和、低压，不主动放大情绪。"
 NO_ANSWER = "persona evaluation unavailable"
-_RUN = "profile_id string, ts timestamp_ntz, event_id long, step array<double>, low array<double>, high array<double>"
+_ORDER = ["profile_id", "ts", "event_id"]
+_RUN = "profile_id string, ts timestamp_ntz, event_id long, step array<double>, low array<double>, high array<double>, told timestamp_ntz, began timestamp_ntz"
+
+
+def _has_text() -> Column:
+    return F.trim(F.coalesce("message", F.lit(""))) != ""
 
 
 def event_log(messages: DataFrame, s: PersonaSettings = PersonaSettings()) -> DataFrame:
@@ -26,11 +31,18 @@ def event_log(messages: DataFrame, s: PersonaSettings = PersonaSettings()) -> Da
 
     The message itself is kept as a hash only. An answer without a JSON object leaves its fields null and sets ``error``.
     """
-    said = messages.where(F.trim(F.coalesce("message", F.lit(""))) != "").withColumn("e", evaluation(F.coalesce("raw", F.lit("")), s))
+    said = messages.where(_has_text()).withColumn("e", evaluation(F.coalesce("raw", F.lit("")), s))
     fields = [F.col(f"e.{x}").alias(x) for x in ("event_type", "perceived_intent", "affect_delta", "relationship_delta", "personality_delta", "mood_label", "reply_guidance", "confidence")]
     return said.select("profile_id", "session_id", "event_id", "ts", content_hash(F.col("message")).alias("message_hash"), *fields, F.when(F.col("e").isNull(), NO_ANSWER).alias("error"))
 
 
+def mood_events(messages: DataFrame, s: PersonaSettings = PersonaSettings()) -> DataFrame:
+    """(session_id, event_id, ts, d_valence, d_arousal, d_defensiveness, mood_label) of all messages: blank ones and those without an evaluation change nothing but let time pass."""
+    e = messages.select("session_id", "event_id", "ts", F.when(_has_text(), evaluation(F.coalesce("raw", F.lit("")), s)).alias("e"))
+    deltas = {"d_valence": "affect_delta.valence", "d_arousal": "affect_delta.arousal", "d_defensiveness": "relationship_delta.defensiveness"}
+    return e.select("session_id", "event_id", "ts", *[F.coalesce(F.col(f"e.{c}"), F.lit(0.0)).alias(a) for a, c in deltas.items()], F.col("e.mood_label").alias("mood_label"))
+
+
 def listed_events(log: DataFrame, most: int = 20) -> DataFrame:
     """The newest ``most`` (1 to 100) events as they are listed: short hashes, defaults for what is missing."""
     text = lambda c, default="": F.coalesce(F.col(c), F.lit(default)).alias(c)
@@ -61,32 +73,42 @@ def profiles(log: DataFrame, start: dict[str, float] = START) -> DataFrame:
     range becomes one map of the traits (``_one_map``), and a profile's few maps are applied in order. Events without an
     evaluation move nothing; a profile that has only such ones keeps ``start``.
     """
+    return _folded(log.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER), start)
+
+
+def profiles_of(messages: DataFrame, start: dict[str, float] = START, s: PersonaSettings = PersonaSettings()) -> DataFrame:
+    """``profiles`` of the log of ``messages``: these are dealt out before they are evaluated, so that each answer is read once, not for the ranges too."""
+    said = messages.where(_has_text()).select("profile_id", "session_id", "event_id", "ts", "message", "raw")
+    return _folded(event_log(said.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER), s), start)
+
+
+def _folded(dealt: DataFrame, start: dict[str, float]) -> DataFrame:
+    """``profiles`` of a log whose partitions are ranges in order."""
     names = [*PERSONALITY, *RELATIONSHIP]
     deltas = [F.coalesce(F.col(f"personality_delta.{k}"), F.lit(0.0)).alias(k) for k in PERSONALITY] + [F.coalesce(F.col(f"relationship_delta.{k}"), F.lit(0.0)).alias(k) for k in RELATIONSHIP]
-    order = ["profile_id", "ts", "event_id"]
-    dealt = log.select(F.col("profile_id").cast("string").alias("profile_id"), "ts", F.col("event_id").cast("long").alias("event_id"), *deltas).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = dealt.select(F.col("profile_id").cast("string").alias("profile_id"), "ts", F.col("event_id").cast("long").alias("event_id"), *deltas, F.when(F.col("error").isNull(), F.col("ts")).alias("told"))
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = lambda at, done: pd.DataFrame([(*at, *done)], columns=["profile_id", "ts", "event_id", "step", "low", "high"])
-        at, done = None, None
+        later = lambda a, b, pick: b if pd.isna(a) else a if pd.isna(b) else pick(a, b)
+        row = lambda at, done, told, began: pd.DataFrame([(*at, *done, told, began)], columns=["profile_id", "ts", "event_id", "step", "low", "high", "told", "began"])
+        at, done, told, began = None, None, None, None
         for frame in frames:
             for _, rows in frame.groupby("profile_id", sort=False, dropna=False):
                 first, new = rows.iloc[0], _one_map(rows[names].to_numpy(dtype=float))
+                newest, oldest = rows.told.max(), rows.ts.min()
                 if at is not None and first.profile_id == at[0]:
-                    done = _then(done, new)
+                    done, told, began = _then(done, new), later(told, newest, max), later(began, oldest, min)
                     continue
                 if at is not None:
-                    yield row(at, done)
-                at, done = (first.profile_id, first.ts, first.event_id), new
+                    yield row(at, done, told, began)
+                at, done, told, began = (first.profile_id, first.ts, first.event_id), new, newest, oldest
         if at is not None:
-            yield row(at, done)
+            yield row(at, done, told, began)
 
-    listed = dealt.mapInPandas(runs, _RUN).groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "step", "low", "high"))).alias("runs"))
+    listed = dealt.mapInPandas(runs, _RUN).groupBy("profile_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "step", "low", "high"))).alias("runs"), F.coalesce(F.max("told"), F.min("began")).alias("updated_at"))
     first = F.array(*[F.lit(float(min(1.0, max(0.0, start[k])))) for k in names])
     moved = F.aggregate("runs", first, lambda acc, r: F.transform(acc, lambda v, i: F.least(F.get(r["high"], i), F.greatest(F.get(r["low"], i), v + F.get(r["step"], i)))))
-    dates = log.groupBy(F.col("profile_id").cast("string").alias("profile_id")).agg(F.coalesce(F.max(F.when(F.col("error").isNull(), F.col("ts"))), F.min("ts")).alias("updated_at"))
-    folded = listed.select("profile_id", moved.alias("v"))
-    return folded.join(dates, folded.profile_id.eqNullSafe(dates.profile_id)).select(folded.profile_id, *[F.get("v", F.lit(i)).alias(k) for i, k in enumerate(names)], "updated_at")
+    return listed.select("profile_id", moved.alias("v"), "updated_at").select("profile_id", *[F.get("v", F.lit(i)).alias(k) for i, k in enumerate(names)], "updated_at")
 
 
 def state_blocks(states: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ PROFILES = f"profiles AS (SELECT 'p' || (user_id % 3) AS profile_id, {_FOLDS}, c
 @query("persona_profiles", f"WITH {PROFILES} SELECT profile_id, {', '.join(f'round({k}, 4) AS {k}' for k in persona.START)}, updated_at FROM profiles")
 def persona_profiles(spark, d):
     """Each profile after all messages of all its sessions."""
-    p = persona.profiles(persona.event_log(persona_messages(spark, d)))
+    p = persona.profiles_of(persona_messages(spark, d))
     return p.select("profile_id", *[F.round(k, 4).alias(k) for k in persona.START], "updated_at")
 
 
