@@ -5,10 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from tests.oracle import rows as both_sides
-from tidepool.functions import scoring
+from tidepool.functions import answers, scoring
 from tidepool.operators import persona
 from tidepool.plans import registry, registry_tools  # noqa: F401
-from tidepool.streaming import imports
+from tidepool.streaming import imports, sessions
 
 SCHEMA = "profile_id string, session_id long, event_id long, ts timestamp_ntz, message string, raw string"
 DAY = dt.datetime(2024, 1, 1)
@@ -96,3 +96,43 @@ def test_rounding_of_four_places_to_three(spark):
 def test_snapshot_of_many_sessions_equals_its_sql(spark):
     got, want = both_sides(spark, "persona_snapshot", registry.QUERIES["persona_snapshot"], registry.ORACLES["persona_snapshot"], "/root/testdata/sf0.1")
     assert [p for p in zip(got, want, strict=True) if p[0] != p[1]] == []
+
+
+def test_an_answer_is_parsed_once(spark):
+    log = persona.event_log(spark.createDataFrame([("p", 1, 1, DAY, "hi", "{}")], SCHEMA).repartition(2))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get") == 1 and plan.count("parse_json") + plan.count("parseJson") <= 1
+
+
+def test_odd_answers(spark):
+    said = ['{"confidence": "x"}', '{"confidence": {"a": 1}}', '{"affect_delta": 3}', '{"affect_delta": {"valence": "NaN", "arousal": 9}}', '{"affect_delta": {"valence": null, "arousal": {}}}', '{"event_type": [1], "mood_label": 5}', "[1]", "no", '{"a": 1, "a": 2}']
+    got = spark.createDataFrame(list(enumerate(said)), "i int, raw string").select("i", answers.evaluation(F.col("raw")).alias("e")).orderBy("i").collect()
+    e = [r.e for r in got]
+    assert [x.confidence for x in e[:2]] == [0.0, 0.0]
+    assert [(x.affect_delta.valence, x.affect_delta.arousal) for x in e[2:5]] == [(0.0, 0.0), (-0.18, 0.18), (0.0, -0.18)]
+    assert (e[5].event_type, e[5].mood_label, e[5].confidence) == ("[1]", "5", 0.5) and e[6:] == [None, None, None]
+
+
+def test_last_moods_are_the_last_of_all_moods(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), i, DAY + dt.timedelta(seconds=rng.randrange(90_000)), rng.uniform(-0.3, 0.3), rng.choice([None, 0.1]), 0.0, rng.choice([None, f"l{i}"])) for i in range(400)] + [(9, 1, DAY, 0.0, 0.0, 0.0, None)]
+    events = spark.createDataFrame(rows, "session_id long, event_id long, ts timestamp_ntz, d_valence double, d_arousal double, d_defensiveness double, mood_label string").repartition(5)
+    last = {r[0]: r[:3] for r in sorted(rows, key=lambda r: (r[2], r[1]))}
+    labels = {r[0]: r[6] for r in sorted(rows, key=lambda r: (r[2], r[1])) if r[6]}
+    want = {r.session_id: r for r in sessions.moods(events).collect() if r.event_id == last[r.session_id][1]}
+    got = {r.session_id: r for r in sessions.last_moods(events).collect()}
+    assert sorted(got) == sorted(want) == [0, 1, 2, 3, 9]
+    for k, r in got.items():
+        assert (round(r.valence, 4), round(r.arousal, 4), round(r.session_defensiveness, 4)) == (want[k].valence, want[k].arousal, want[k].defensiveness)
+        assert r.mood_label == labels.get(k)
+    assert "mood_label" not in sessions.last_moods(events.drop("mood_label")).columns
+    assert sessions.last_moods(events.limit(0)).count() == 0
+
+
+def test_profiles_of_messages_are_those_of_their_log(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["p", None]), 1, i, DAY + dt.timedelta(minutes=i // 2), rng.choice(["hi", " ", None]), rng.choice(["no", None, '{"personality_delta": {"openness": -0.01}}'])) for i in range(120)] + [("r", 1, 999, DAY, "hi", "no"), ("s", 1, 1000, DAY, " ", "no")]
+    said = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    key = lambda df: sorted((str(r.profile_id), round(r.openness, 9), r.trust, r.updated_at) for r in df.collect())
+    assert key(persona.profiles_of(said)) == key(persona.profiles(persona.event_log(said)))
+    assert [x[0] for x in key(persona.profiles_of(said))] == ["None", "p", "r"]

@@ -113,14 +113,9 @@ FROM moods JOIN profiles ON profile_id = 'p' || (user_id % 3)"""
 def persona_blocks(spark, d):
     """The text block of each session: its mood after its last message, beside its profile."""
     said = persona_messages(spark, d)
-    log = persona.event_log(said)
-    deltas = log.select("event_id", *[F.coalesce(F.col(c), F.lit(0.0)).alias(a) for c, a in (("affect_delta.valence", "d_valence"), ("affect_delta.arousal", "d_arousal"), ("relationship_delta.defensiveness", "d_defensiveness"))], "mood_label")
-    # Empty messages have no event but let the mood drift.
-    fed = said.select("session_id", "event_id", "ts").join(deltas, "event_id", "left").fillna(0.0, ["d_valence", "d_arousal", "d_defensiveness"])
-    last = sessions.last_moods(fed.drop("mood_label"))
-    labels = log.where(F.col("error").isNull()).groupBy("session_id").agg(F.max_by("mood_label", F.struct("ts", "event_id")).alias("mood_label"))
+    last = sessions.last_moods(persona.mood_events(said))  # empty messages have no event but let the mood drift
     owners = said.select("profile_id", "session_id").distinct()
-    states = owners.join(last, "session_id").join(labels, "session_id", "left").join(persona.profiles(log), "profile_id")
+    states = owners.join(last, "session_id").join(persona.profiles_of(said), "profile_id")
     return persona.state_blocks(states.withColumn("reply_guidance", F.lit("")))
 
 

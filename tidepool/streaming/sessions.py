@@ -7,7 +7,9 @@ import time
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidepool.config import PersonaSettings
@@ -70,13 +72,39 @@ def moods(events: DataFrame, s: PersonaSettings = PersonaSettings()) -> DataFram
 
 
 def last_moods(events: DataFrame, s: PersonaSettings = PersonaSettings()) -> DataFrame:
-    """(session_id, valence, arousal, session_defensiveness) after each session's last message."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        mood = _fold(frame, dict(REST), None, s)[1]
-        return pd.DataFrame([(frame.session_id.iloc[0], *(mood[k] for k in REST))], columns=["session_id", "valence", "arousal", "session_defensiveness"])
-
-    return events.groupBy("session_id").applyInPandas(run, "session_id long, valence double, arousal double, session_defensiveness double")
+    """(session_id, valence, arousal, session_defensiveness) after each session's last message, and ``mood_label``, the last
+    that isn't null, if ``events`` has it. Sessions stream through their tasks in order, so that none is held whole."""
+    labelled = "mood_label" in events.columns
+    columns = ["session_id", "event_id", "ts", "d_valence", "d_arousal", "d_defensiveness", *["mood_label"] * labelled]
+    told = "session_id long, valence double, arousal double, session_defensiveness double" + ", mood_label string" * labelled
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, mood, at, label, some = None, dict(REST), None, None, False
+        for batch in batches:
+            out = []
+            labels = batch.column(5).to_pylist() if labelled else [None] * len(batch)
+            for session, ts, valence, arousal, defensiveness, said in zip(*(batch.column(i).to_pylist() for i in range(5)), labels, strict=True):
+                if not some or session != who:
+                    if some:
+                        out.append((who, *mood.values(), *[label] * labelled))
+                    who, mood, at, label, some = session, dict(REST), None, None, True
+                minutes = 0.0 if at is None or ts is None else (ts - at) / 60_000_000
+                mood = mood_step(mood, minutes, {"valence": valence, "arousal": arousal, "defensiveness": defensiveness}, s)
+                at, label = ts, label if said is None else said
+            yield _batch(out, told)
+        if some:
+            yield _batch([(who, *mood.values(), *[label] * labelled)], told)
+
+    # Nulls come last, as in the other forms. Sorted by session, each task has its sessions one after another.
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) if dict(events.dtypes)["ts"] == "timestamp" else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    dealt = events.select(*columns).withColumn("ts", micros).repartition("session_id").sortWithinPartitions("session_id", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    return dealt.drop("event_id").mapInArrow(run, told)
+
+
+def _batch(rows: list[tuple], told: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    fields = [x.split() for x in told.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], [name for name, _ in fields])
 
 
 def streamed_moods(events: DataFrame, s: PersonaSettings = PersonaSettings()) -> DataFrame:
@@ -127,7 +155,5 @@ def activation_windows(events: DataFrame, width: str = "1 day", late: str = "1 h
 
     An extension: it has no counterpart among the memory tools, and feeds counts into ``operators.writes.touched``.
     """
-    from pyspark.sql import functions as F
-
     counted = events.withWatermark("at", late).groupBy("bucket_id", F.window("at", width)).agg(F.count("*").alias("hits"))
     return counted.select("bucket_id", F.col("window.start").alias("start"), "hits")
