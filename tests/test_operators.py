@@ -214,3 +214,24 @@ def test_hold_and_grow(spark):
     assert (made[9003].store, made[9003].importance, made[9004].store, made[9004].domain) == ("permanent", 10, "feel", ["未分类"])
     diary = spark.createDataFrame([(1, "short one", None), (2, "a longer entry " * 5, '[{"content": "x"}, {"content": "y", "tags": ["t"]}]'), (3, "another long entry " * 5, "broken")], "diary_id long, text string, answer string")
     assert [(r.new_id, r.content) for r in tools.grown(diary, 0).orderBy("new_id").collect()] == [(1000, "short one"), (2000, "x"), (2001, "y")]
+
+
+def test_searches_in_passes_copy_no_rows(spark, monkeypatch):
+    """Queries in one pass and in several, with ties, odd vectors and fewer rows than asked for; rows go to no cells."""
+    rng = np.random.default_rng(8)
+    vecs = [rng.integers(-1, 2, size=4).astype(float).tolist() for _ in range(90)] + [None, [], [1.0, 2.0]]
+    v = spark.createDataFrame(list(enumerate(vecs)), "id long, embedding array<double>").repartition(3)
+    q = v.where("id % 4 = 0 OR id > 88").select(F.col("id").alias("asked_id"), F.col("embedding").alias("asked"))
+    cos = lambda a, b: round(float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))), 6) + 0.0 if a and b and len(a) == len(b) and any(a) and any(b) else 0.0
+    near = sorted((a, i, -s) for a in range(93) if a % 4 == 0 or a > 88 for s, i in sorted((-cos(vecs[a], y), i) for i, y in enumerate(vecs))[:7])
+    lists = [rng.choice(40, size=rng.integers(0, 12), replace=False).tolist() for _ in range(80)]
+    held = spark.createDataFrame([(i, [f"w{x}" for x in words] or None) for i, words in enumerate(lists)], "id long, words array<string>").repartition(3)
+    asks = held.where("id % 5 = 0").select(F.col("id").alias("asked_id"), F.col("words").alias("asked"))
+    shared = sorted((a, i, n / len(lists[a])) for a in range(0, 80, 5) for n, i in [(-m, i) for m, i in sorted((-len(set(lists[a]) & set(x)), i) for i, x in enumerate(lists)) if m][:6])
+    for bytes_at_once in (1 << 20, 300):
+        monkeypatch.setattr(pairs, "PASS_BYTES", bytes_at_once)
+        found = pairs.nearest_each(v, q, 7)
+        assert sorted((r.asked_id, r.id, r.similarity + 0.0) for r in found.collect()) == [(a, i, s + 0.0) for a, i, s in near]
+        assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.asked_id, r.id, r.score) for r in pairs.most_shared(held, asks, 6).collect()) == shared
+    assert pairs.nearest_each(v, q.limit(0), 3).count() == pairs.nearest_each(v.limit(0), q, 3).count() == 0
