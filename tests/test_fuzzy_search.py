@@ -160,3 +160,15 @@ def test_breath_equals_brute_force(spark):
 
 def now_column_value(spark):
     return spark.range(1).select(now_column()).collect()[0][0]
+
+
+def test_memories_are_not_copied_for_groups_of_queries(spark, monkeypatch):
+    """Later levels are read once a pass, however many queries there are, and any number of passes finds the same."""
+    for name, value in (("FIRST", 10), ("MEMORIES", 37), ("QUERIES", 2)):
+        monkeypatch.setattr(op, name, value)
+    m, asked = memories(spark, DATA).cache(), spark.createDataFrame(ASKED, QUERY)
+    want = brute(m.collect(), ASKED, 3, 50.0)
+    for size in (8 << 20, 250):
+        monkeypatch.setattr(op, "PASS_BYTES", size)
+        assert "Generate" not in op.fuzzy_cells(m, asked, 3, 50.0)._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.asked_id, r.id, r.score, r.rank) for r in op.fuzzy_hits(m, asked, 3, 50.0).collect()) == want
