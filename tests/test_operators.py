@@ -235,3 +235,32 @@ def test_searches_in_passes_copy_no_rows(spark, monkeypatch):
         assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
         assert sorted((r.asked_id, r.id, r.score) for r in pairs.most_shared(held, asks, 6).collect()) == shared
     assert pairs.nearest_each(v, q.limit(0), 3).count() == pairs.nearest_each(v.limit(0), q, 3).count() == 0
+
+
+def test_clusters_of_vectors_need_no_pairs(spark, monkeypatch):
+    """The same clusters as through pairs, in one round and in many, with vectors that are near none."""
+    rng = np.random.default_rng(9)
+    vecs = [rng.normal(size=3).tolist() for _ in range(120)] + [None, [], [0.0] * 3, [1.0, 2.0], [2.0, 1.0]]
+    v = spark.createDataFrame(list(enumerate(vecs)), "id long, embedding array<double>").repartition(3)
+    want = sorted(map(tuple, pairs.leader_clusters(pairs.similar_pairs(v, 0.8).select("source", "target"), v).collect()))
+    assert len({a for a, _ in want}) > 10
+    for rows in (4096, 6):
+        monkeypatch.setattr(pairs, "LED_ROWS", rows)
+        assert sorted(map(tuple, pairs.vector_clusters(v, 0.8).collect())) == want
+    assert pairs.vector_clusters(v.limit(0), 0.8).count() == 0
+
+
+def test_pairs_of_large_blocks_are_all_pairs(spark, monkeypatch):
+    """Numbers that four bytes don't hold, several tiles a cell, and no more cells than blocks of PAIR_ROWS need."""
+    rng = np.random.default_rng(10)
+    vecs = [rng.normal(size=5).tolist() for _ in range(150)]
+    v = spark.createDataFrame(list(enumerate(vecs)), "id long, embedding array<double>").repartition(3)
+    m = np.array(vecs) / np.linalg.norm(vecs, axis=1)[:, None]
+    want = {(a, b): round(float(m[a] @ m[b]), 9) for a in range(150) for b in range(a + 1, 150) if m[a] @ m[b] > 0.4}
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 11)
+    for rows, blocks in ((10_000, 2), (60, 3)):
+        monkeypatch.setattr(pairs, "PAIR_ROWS", rows)
+        monkeypatch.setattr(pairs, "PAIR_BLOCKS", 2)
+        found = pairs.similar_pairs(v, 0.4)
+        assert {(r.source, r.target): round(r.similarity, 9) for r in found.collect()} == want
+        assert found.rdd.getNumPartitions() == blocks * (blocks + 1) // 2
