@@ -264,3 +264,10 @@ def test_pairs_of_large_blocks_are_all_pairs(spark, monkeypatch):
         found = pairs.similar_pairs(v, 0.4)
         assert {(r.source, r.target): round(r.similarity, 9) for r in found.collect()} == want
         assert found.rdd.getNumPartitions() == blocks * (blocks + 1) // 2
+
+
+def test_a_record_without_content_is_broken(spark):
+    """As the reference's check has it: name, domain or content missing; the SQL of broken_rows knows the first two only."""
+    rows = [(1, "n", ["d"], "c"), (2, "", ["d"], "c"), (3, None, ["d"], "c"), (4, "n", [], "c"), (5, "n", None, "c"), (6, "n", ["d"], ""), (7, "n", ["d"], None), (8, "n", [None], " ")]
+    got = spark.createDataFrame(rows, "id long, name string, domain array<string>, content string").select("id", predicates.is_broken().alias("broken")).orderBy("id").collect()
+    assert [r.broken for r in got] == [False, True, True, True, True, True, True, False]
